@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MAX_RANGES = 1024
+FEW_RANGES = 16
 ROWS_PER_RANGE = 200_000
 
 
@@ -22,16 +23,23 @@ def range_cuts(values: DataFrame, col: str, rows_per_range: int = ROWS_PER_RANGE
     The driver receives at most MAX_RANGES numbers. Fixed literals keep the assignment the same in
     every branch of a plan and in every retried task.
     """
-    probs = [i / MAX_RANGES for i in range(1, MAX_RANGES)]
-    row = values.agg(
-        F.count(F.lit(1)).alias("n"), F.percentile_approx(col, probs, 10_000).alias("cuts")
-    ).first()
+
+    def quantiles(parts: int):
+        probs = ", ".join(f"{i / parts}D" for i in range(1, parts))
+        cuts = F.expr(f"percentile_approx({col}, array({probs}), 10000)")
+        return values.agg(F.count(F.lit(1)).alias("n"), cuts.alias("cuts")).first()
+
+    row = quantiles(FEW_RANGES)
     want = min(MAX_RANGES, math.ceil(row["n"] / rows_per_range))
     if want <= 1 or not row["cuts"]:
         return []
-    step = MAX_RANGES / want
-    picked = [row["cuts"][min(int(round(step * i)), MAX_RANGES - 1) - 1] for i in range(1, want)]
-    return sorted(set(float(c) for c in picked))
+    if want > FEW_RANGES:
+        row = quantiles(want)
+    return sorted(set(float(c) for c in row["cuts"]))
+
+
+def _literal(numbers: list[float]) -> Column:
+    return F.expr("array(" + ", ".join(f"CAST({c!r} AS DOUBLE)" for c in numbers) + ")")
 
 
 def range_of(col: Column | str, cuts: list[float]) -> Column:
@@ -40,8 +48,8 @@ def range_of(col: Column | str, cuts: list[float]) -> Column:
     if not cuts:
         return F.lit(0)
     width = max(1, math.isqrt(len(cuts)))
-    heads = F.array(*[F.lit(c) for c in cuts[::width]])
-    blocks = F.array(*[F.array(*[F.lit(c) for c in cuts[i : i + width]]) for i in range(0, len(cuts), width)])
+    heads = _literal(cuts[::width])
+    blocks = F.array(*[_literal(cuts[i : i + width]) for i in range(0, len(cuts), width)])
     head = F.size(F.filter(heads, lambda c: c < value))
     inner = F.size(F.filter(F.element_at(blocks, F.greatest(head, F.lit(1))), lambda c: c < value))
     return F.when(head == 0, F.lit(0)).otherwise((head - 1) * F.lit(width) + inner)
@@ -54,11 +62,18 @@ def with_running(
     order: list[Column],
     sums: dict[str, str],
     descending: bool = False,
+    whole: bool = False,
 ) -> DataFrame:
     """Add, per output name, the exclusive running total of a column in the given order.
 
-    ``range_cols`` must be an order-preserving coarsening of ``order`` within ``by``.
+    ``range_cols`` must be an order-preserving coarsening of ``order`` within ``by``. ``whole`` says
+    that the caller counted the rows and found one range enough: then one window does it.
     """
+    if whole:
+        alone = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+        return df.select(
+            "*", *[F.coalesce(F.sum(c).over(alone), F.lit(0)).alias(o) for o, c in sums.items()]
+        )
     keys = by + range_cols
     inner = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     totals = df.groupBy(*keys).agg(*[F.sum(c).alias(f"_t_{o}") for o, c in sums.items()])
@@ -105,7 +120,7 @@ def exact_percentiles(df: DataFrame, col: str, probs: list[float], by: list[str]
     counts = value_counts(df, by, col)
     cuts = range_cuts(counts, "v")
     ranged = counts.withColumn("_r", range_of("v", cuts))
-    running = with_running(ranged, by, ["_r"], [F.col("v")], {"before": "n"})
+    running = with_running(ranged, by, ["_r"], [F.col("v")], {"before": "n"}, whole=not cuts)
     total = counts.groupBy(*by).agg(F.sum("n").alias("total"))
     if by:
         match = [F.col(k).eqNullSafe(F.col(f"_t_{k}")) for k in by]

@@ -117,11 +117,12 @@ def roc_curve(df: DataFrame, y: str, s: str, by=None, drop_collinear: bool = Fal
     """
     keys = _keys(by)
     counts = score_counts(df, y, s, by)
-    ranged = counts.withColumn("_r", range_of("s", range_cuts(counts, "s")))
+    cuts = range_cuts(counts, "s")
+    ranged = counts.withColumn("_r", range_of("s", cuts))
     if drop_collinear:
         ranged = _mark_corners(ranged, keys)
     curve = with_running(
-        ranged, keys, ["_r"], [F.col("s").desc()], {"_tp": "p", "_fp": "n"}, descending=True
+        ranged, keys, ["_r"], [F.col("s").desc()], {"_tp": "p", "_fp": "n"}, descending=True, whole=not cuts
     )
     totals = counts.groupBy(*keys).agg(F.sum("p").alias("n_pos"), F.sum("n").alias("n_neg"))
     if keys:
@@ -213,9 +214,10 @@ def fpr_at_order_stat(df: DataFrame, y: str, s: str, tail: float = 0.05) -> Data
     truth = F.col(y).cast("int")
     positives = df.where(truth == 1)
     counts = value_counts(positives, [], s)
-    ranged = counts.withColumn("_r", range_of("v", range_cuts(counts, "v")))
-    running = with_running(ranged, [], ["_r"], [F.col("v")], {"before": "n"})
-    pos = F.floor(F.lit(tail) * counts.agg(F.sum("n")).scalar())
+    cuts = range_cuts(counts, "v")
+    ranged = counts.withColumn("_r", range_of("v", cuts))
+    running = with_running(ranged, [], ["_r"], [F.col("v")], {"before": "n"}, whole=not cuts)
+    pos = F.floor(F.lit(float(tail)) * counts.agg(F.sum("n")).scalar())
     threshold = running.where((F.col("before") <= pos) & (pos < F.col("before") + F.col("n"))).agg(F.max("v"))
     hit = F.col(s).cast("double") >= threshold.scalar()
     return df.where(truth == 0).agg(
@@ -247,8 +249,9 @@ def ecdf(df: DataFrame, col: str, by=None) -> DataFrame:
     """Distinct values with the fraction of rows at or below them."""
     keys = _keys(by)
     counts = value_counts(df, keys, col)
-    ranged = counts.withColumn("_r", range_of("v", range_cuts(counts, "v")))
-    running = with_running(ranged, keys, ["_r"], [F.col("v")], {"before": "n"})
+    cuts = range_cuts(counts, "v")
+    ranged = counts.withColumn("_r", range_of("v", cuts))
+    running = with_running(ranged, keys, ["_r"], [F.col("v")], {"before": "n"}, whole=not cuts)
     totals = counts.groupBy(*keys).agg(F.sum("n").alias("total"))
     if keys:
         renamed = totals.select(*[F.col(k).alias(f"_k_{k}") for k in keys], "total")
@@ -268,8 +271,9 @@ def pct_rank(scores: DataFrame, train: DataFrame, col: str = "dist", out: str =
         .select("v", F.lit(0).cast("long").alias("t"), F.lit(1).alias("asked"))
     )
     merged = t.unionByName(q).groupBy("v").agg(F.sum("t").alias("t"), F.max("asked").alias("asked"))
-    ranged = merged.withColumn("_r", range_of("v", range_cuts(merged, "v")))
-    running = with_running(ranged, [], ["_r"], [F.col("v")], {"before": "t"})
+    cuts = range_cuts(merged, "v")
+    ranged = merged.withColumn("_r", range_of("v", cuts))
+    running = with_running(ranged, [], ["_r"], [F.col("v")], {"before": "t"}, whole=not cuts)
     total = train.where(F.col(col).isNotNull()).agg(F.count(F.lit(1)))
     placed = running.where("asked = 1").select(
         F.col("v").alias("_v"),
@@ -288,7 +292,10 @@ def bootstrap_auc(
     so neither the score table nor the replicates pass through one task. The draws are those of the
     exact multinomial resampling.
     """
-    counts = score_counts(df, y, s)
+    return _bootstrap_counts(score_counts(df, y, s), replicates, seed, reps_per_task)
+
+
+def _bootstrap_counts(counts: DataFrame, replicates: int, seed: int, reps_per_task: int) -> DataFrame:
     ranged = counts.withColumn("_r", range_of("s", range_cuts(counts, "s", rows_per_range=20_000)))
     table = (
         ranged.groupBy("_r").agg(F.sum("p").alias("p"), F.sum("n").alias("n")).orderBy("_r").collect()
@@ -332,10 +339,10 @@ def bootstrap_auc(
     )
 
 
-def bootstrap_interval(reps: DataFrame, col: str = "auc", level: float = 0.95) -> DataFrame:
+def bootstrap_interval(reps: DataFrame, col: str = "auc", level: float = 0.95, by=None) -> DataFrame:
     """Mean, deviation and percentile interval over replicate values (a table of B rows)."""
     lo, hi = (1 - level) / 2, 1 - (1 - level) / 2
-    return reps.agg(
+    return reps.groupBy(*_keys(by)).agg(
         F.avg(col).alias("mean"),
         F.stddev_pop(col).alias("std"),
         F.expr(f"percentile({col}, {lo})").alias("ci_low"),
@@ -358,3 +365,56 @@ def snr_floor(curve: DataFrame, limits: list[float], level: str = "ordinal", snr
         *[F.struct(F.lit(float(x)).alias("limit"), F.col(f"f{i}").alias("floor_db")) for i, x in enumerate(limits)]
     )
     return curve.agg(*aggs).select(F.explode(rows).alias("_x")).select("_x.*")
+
+
+def bootstrap_auc_by_type(
+    df: DataFrame, y: str, s: str, type_col: str, replicates: int = 1000, seed: int = 42, reps_per_task: int = 100
+) -> DataFrame:
+    """Per-type replicates: each type's positives and, per type, a fresh draw of the shared negatives.
+
+    Types of positives are few (a label set); each one is an independent bootstrap over the same
+    negatives, so the negative counts are joined once per type as distinct scores, not as rows.
+    """
+    counts = score_counts(df, y, s, [type_col])
+    neg = counts.groupBy("s").agg(F.sum("n").alias("n")).where("n > 0")
+    types = counts.groupBy(type_col).agg(F.sum("p").alias("_p")).where("_p > 0")
+    names = [row[type_col] for row in types.select(type_col).orderBy(type_col).collect()]
+    out = None
+    for i, name in enumerate(names):
+        pos = counts.where((F.col(type_col) == F.lit(name)) & (F.col("p") > 0)).select("s", "p")
+        both = pos.withColumn("n", F.lit(0).cast("long")).unionByName(
+            neg.select("s", F.lit(0).cast("long").alias("p"), "n")
+        )
+        merged = both.groupBy("s").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
+        one = _bootstrap_counts(merged, replicates, seed + 1000 * (i + 1), reps_per_task).withColumn(
+            type_col, F.lit(name)
+        )
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def bootstrap_closer_rate(
+    df: DataFrame, y: str, dist: str, replicates: int = 1000, seed: int = 42
+) -> DataFrame:
+    """Rate of random (positive, negative) pairs whose positive is closer, per replicate.
+
+    Pairs are drawn independently, so the number of successes among m pairs is binomial with the
+    share of strictly closer pairs, which the count form of the AUC gives exactly.
+    """
+    counts = score_counts(df.withColumn("_s", -F.col(dist)), y, "_s")
+    cuts = range_cuts(counts, "s")
+    ranged = counts.withColumn("_r", range_of("s", cuts))
+    running = with_running(ranged, [], ["_r"], [F.col("s")], {"below": "n"}, whole=not cuts)
+    share = running.agg(
+        (F.sum(F.col("p").cast("double") * F.col("below")) / (F.sum("p").cast("double") * F.sum("n"))).alias("share"),
+        F.least(F.sum("p"), F.sum("n")).alias("pairs"),
+    )
+
+    def draws(frames):
+        for pdf in frames:
+            for row in pdf.itertuples(index=False):
+                rng = np.random.default_rng([seed, 3])
+                got = rng.binomial(int(row.pairs), float(row.share), size=replicates) / row.pairs
+                yield pd.DataFrame({"replicate": np.arange(replicates), "rate": got})
+
+    return share.where("pairs > 0").mapInPandas(draws, "replicate long, rate double")
