@@ -37,3 +37,8 @@ def to_list_array(matrix: np.ndarray, value_type=None) -> pa.ListArray:
 
 def normalize_rows(m: np.ndarray, eps: float = 1e-8) -> np.ndarray:
     return m / (np.linalg.norm(m, axis=1, keepdims=True) + eps)
+
+
+def unit_rows(m: np.ndarray) -> np.ndarray:
+    """Rows scaled to unit length; zero rows stay zero."""
+    return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
