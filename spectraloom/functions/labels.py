@@ -165,8 +165,9 @@ GATES = [
 
 def protocol_gates(metrics: DataFrame, metric: str = "metric", value: str = "value") -> DataFrame:
     """Every gate with the measured value and whether it passed (NULL when not measured)."""
-    spark = metrics.sparkSession
-    rules = spark.createDataFrame(GATES, "gate_metric string, op string, limit_value double, gate string")
+    names = ("gate_metric", "op", "limit_value", "gate")
+    items = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(names, g)]) for g in GATES])
+    rules = metrics.sparkSession.range(1).select(F.inline(items))
     v, x = F.col(value), F.col("limit_value")
     ok = F.when(F.col("op") == ">", v > x).when(F.col("op") == ">=", v >= x).when(F.col("op") == "<", v < x)
     return rules.join(metrics, F.col("gate_metric") == F.col(metric), "left").select(

@@ -208,8 +208,10 @@ def _knn_cells(q, b, k, n, metric, b_block, q_block, extra_b, extra_q) -> DataFr
     qh = q.withColumn("_a", assign("q_vec")).select("*", F.col("_a.cell").alias("cell")).drop("_a")
     hits = [_search_blocks(qh, based, blocks, k, b_block, q_block, extra_b, extra_q)]
 
-    kth = hits[0].groupBy("q_id").agg(F.sort_array(F.collect_list("d2")).alias("_ds")).select(
-        F.col("q_id").alias("_kid"), F.sqrt(F.get("_ds", F.lit(k - 1))).alias("bound")
+    at_k = Window.partitionBy("q_id").orderBy("d2", "b_id")
+    kth = (
+        hits[0].withColumn("_rk", F.row_number().over(at_k)).where(F.col("_rk") <= k).where(F.col("_rk") == k)
+        .select(F.col("q_id").alias("_kid"), F.sqrt("d2").alias("bound"))
     )
     reach = _reach_udf(pivots, radius)
     rest = (

@@ -154,7 +154,8 @@ def step_curve(history: DataFrame, by: list[str], value: str) -> DataFrame:
 def confusion(df: DataFrame, truth: str, guess: str, labels: list) -> DataFrame:
     """Matrix with one row and one column per label in the given order, zeros included."""
     wide = df.groupBy(truth).pivot(guess, labels).count()
-    names = df.sparkSession.createDataFrame([(l, i) for i, l in enumerate(labels)], ["_label", "_ord"])
+    items = F.array(*[F.struct(F.lit(l).alias("_label"), F.lit(i).alias("_ord")) for i, l in enumerate(labels)])
+    names = df.sparkSession.range(1).select(F.inline(items))
     cells = [F.coalesce(F.col(f"`{l}`"), F.lit(0)).cast("long").alias(f"as_{l}") for l in labels]
     return names.join(wide, F.col("_label") == F.col(truth), "left").select(F.col("_label").alias(truth), F.col("_ord").cast("long").alias("ord"), *cells)
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from spectraloom.operators.prefix import ordered_rank
 
 RANK_BLOCK = 65_536
+KEY_BLOCK = 1024
 
 
 def parse_path(col: Column | str, part: int = 3) -> tuple[Column, Column]:
@@ -80,14 +81,17 @@ def build_manifest(df: DataFrame, split: str = "split", kind: str = "drone_type"
 def explode_samples(groups: DataFrame, group: str, key: str, item: str) -> DataFrame:
     """One row per stored sample in numeric-aware key order, numbered inside its group.
 
-    ``item`` is an array of samples under one key; groups are single recordings' trees.
+    ``item`` is an array of samples under one key. Numbers come from key ranges, so a group that
+    holds most of the samples is still many tasks.
     """
-    from pyspark.sql import Window
-
-    rows = groups.select(group, key, F.posexplode(item).alias("pos", "sample"))
-    number = F.expr(f"try_cast({key} AS bigint)")
-    w = Window.partitionBy(group).orderBy(number.asc_nulls_last(), F.col(key), F.col("pos"))
-    return rows.withColumn("sample_no", F.row_number().over(w) - 1)
+    rows = groups.select(group, key, F.posexplode(item).alias("pos", "sample")).withColumn(
+        "_num", F.expr(f"try_cast({key} AS bigint)")
+    )
+    ranged = rows.withColumn("_named", F.col("_num").isNull().cast("int")).withColumn(
+        "_blk", F.coalesce(F.floor(F.col("_num") / KEY_BLOCK), F.lit(0))
+    )
+    order = [F.col("_named"), F.col("_num"), F.col(key), F.col("pos")]
+    return ordered_rank(ranged, [group], ["_named", "_blk"], order, "sample_no", start=0).drop("_num", "_named", "_blk")
 
 
 def read_xml_meta(spark: SparkSession, path: str, row_tag: str | None = None) -> DataFrame:
