@@ -17,7 +17,7 @@ FEW_RANGES = 16
 ROWS_PER_RANGE = 200_000
 
 
-def range_cuts(values: DataFrame, col: str, rows_per_range: int = ROWS_PER_RANGE) -> list[float]:
+def range_cuts(values: DataFrame, col: str, rows_per_range: int | None = None) -> list[float]:
     """Cut points that split ``col`` into ranges of similar size; [] when one range is enough.
 
     The driver receives at most MAX_RANGES numbers. Fixed literals keep the assignment the same in
@@ -30,7 +30,7 @@ def range_cuts(values: DataFrame, col: str, rows_per_range: int = ROWS_PER_RANGE
         return values.agg(F.count(F.lit(1)).alias("n"), cuts.alias("cuts")).first()
 
     row = quantiles(FEW_RANGES)
-    want = min(MAX_RANGES, math.ceil(row["n"] / rows_per_range))
+    want = min(MAX_RANGES, math.ceil(row["n"] / (rows_per_range or ROWS_PER_RANGE)))
     if want <= 1 or not row["cuts"]:
         return []
     if want > FEW_RANGES:

@@ -197,7 +197,7 @@ def enroll_type_means(spark, sf_dir):
 KNN_SQL = LONG_CTE + f""",
 b AS (SELECT sample_id, label, split, embedding FROM samples WHERE split IN ('train', 'negatives')),
 q AS (SELECT sample_id, label, embedding FROM samples WHERE split = 'holdout'),
-nn AS (SELECT q.sample_id, b.sample_id AS neighbour, b.split, round(1 - list_cosine_similarity(q.embedding, b.embedding), 9) AS dist,
+nn AS (SELECT q.sample_id, b.sample_id AS neighbour, b.split, 1 - list_cosine_similarity(q.embedding, b.embedding) AS dist,
   row_number() OVER (PARTITION BY q.sample_id ORDER BY round(1 - list_cosine_similarity(q.embedding, b.embedding), 9), b.sample_id) AS rank
   FROM q CROSS JOIN b)"""
 

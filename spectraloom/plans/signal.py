@@ -317,10 +317,10 @@ def _half_model():
 
 @query(
     "B27 K1",
-    f"WITH {LONG_CTE} SELECT sample_id, (d + 1) // 2 AS dim, {R('sum(CAST(x AS FLOAT))', 4)} AS v FROM long GROUP BY ALL",
+    f"WITH {LONG_CTE} SELECT sample_id, (d + 1) // 2 AS dim, {R('CAST(max(x) FILTER (d % 2 = 1) AS FLOAT) + CAST(max(x) FILTER (d % 2 = 0) AS FLOAT)')} AS v FROM long GROUP BY ALL",
 )
 def embed_with_user_model(spark, sf_dir):
     out = S.embed(planes(spark, sf_dir), _half_model, 64)
     return out.select("sample_id", F.posexplode("embedding").alias("p", "v")).select(
-        "sample_id", (F.col("p") + 1).cast("long").alias("dim"), r("v", 4).alias("v")
+        "sample_id", (F.col("p") + 1).cast("long").alias("dim"), r("v").alias("v")
     )
