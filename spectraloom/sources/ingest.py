@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,10 +25,12 @@ def spectrogram_rows(
 
 def ingest(spark: SparkSession, path: str, store: str, drone_type: str, split: str = "train", **options) -> None:
     """Append the spectrograms of a folder of recordings and note each file. Raw files are kept."""
-    append_samples(spectrogram_rows(spark, path, drone_type, split, **options), store)
+    run = uuid.uuid4().hex
+    rows = spectrogram_rows(spark, path, drone_type, split, **options).withColumn("ingest_run", F.lit(run))
+    append_samples(rows, store)
     done = (
         spark.read.parquet(store)
-        .where((F.col("drone_type") == drone_type) & (F.col("split") == split))
+        .where((F.col("drone_type") == drone_type) & (F.col("split") == split) & (F.col("ingest_run") == run))
         .groupBy("recording_id")
         .agg(F.count(F.lit(1)).alias("n_samples"))
         .withColumn("drone_type", F.lit(drone_type))

@@ -26,8 +26,8 @@ IQ_SCHEMA = "recording_id string, chunk_no long, start_sample long, i array<floa
 
 
 class _Range(InputPartition):
-    def __init__(self, path: str, first: int, last: int, total: int):
-        self.path, self.first, self.last, self.total = path, first, last, total
+    def __init__(self, path: str, name: str, first: int, last: int, total: int):
+        self.path, self.name, self.first, self.last, self.total = path, name, first, last, total
 
 
 class IqDataSource(DataSource):
@@ -62,31 +62,57 @@ class _IqReader(DataSourceReader):
 
     def partitions(self):
         parts = []
-        for path, length in self.files:
+        for path, name, length in self.files:
             total = length // SAMPLE_BYTES
             total = total if self.limit is None else min(total, self.limit)
             for first in range(0, total, self.span):
-                parts.append(_Range(path, first, min(first + self.span, total), total))
-        return parts or [_Range("", 0, 0, 0)]
+                parts.append(_Range(path, name, first, min(first + self.span, total), total))
+        return parts or [_Range("", "", 0, 0, 0)]
 
     def read(self, part: _Range) -> Iterator[pa.RecordBatch]:
         if not part.path:
             return
-        local = part.path[5:] if part.path.startswith("file:") else part.path
-        name = os.path.basename(local)
-        with open("/" + local.lstrip("/"), "rb") as fh:
+        name = part.name
+        with open(_local(part.path), "rb") as fh:
             for start in range(part.first, part.last, self.chunk):
                 stop = min(start + self.chunk, part.last)
                 fh.seek(start * SAMPLE_BYTES)
                 want = min(stop + self.halo, part.total) - start
-                data = np.frombuffer(fh.read(want * SAMPLE_BYTES), dtype="<f4")
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([name]), pa.array([start // self.chunk]), pa.array([start]),
-                        pa.array([data[0::2]], pa.list_(pa.float32())), pa.array([data[1::2]], pa.list_(pa.float32())),
-                    ],
-                    names=["recording_id", "chunk_no", "start_sample", "i", "q"],
-                )
+                yield _chunk_batch(name, start, self.chunk, fh.read(want * SAMPLE_BYTES))
+
+
+def _local(path: str) -> str:
+    return "/" + path.removeprefix("file:").lstrip("/")
+
+
+def _chunk_batch(name: str, start: int, chunk: int, data: bytes) -> pa.RecordBatch:
+    pairs = np.frombuffer(data, dtype="<f4")
+    floats = pa.list_(pa.float32())
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array([name]), pa.array([start // chunk]), pa.array([start]),
+            pa.array([pairs[0::2]], floats), pa.array([pairs[1::2]], floats),
+        ],
+        names=["recording_id", "chunk_no", "start_sample", "i", "q"],
+    )
+
+
+def _read_objects(spark: SparkSession, files: list[tuple[str, str, int]], chunk: int, halo: int, max_samples: int | None) -> DataFrame:
+    """Recordings on an object store or HDFS: one task reads one file (2 GB at most) through Spark's own file access."""
+    names = F.create_map(*[x for path, name, _ in files for x in (F.lit(path), F.lit(name))])
+    rows = spark.read.format("binaryFile").load([p for p, _, _ in files])
+    rows = rows.select(F.element_at(names, F.col("path")).alias("name"), "content")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, content in zip(batch.column("name").to_pylist(), batch.column("content").to_pylist()):
+                total = len(content) // SAMPLE_BYTES
+                total = total if max_samples is None else min(total, max_samples)
+                for start in range(0, total, chunk):
+                    stop = min(start + chunk + halo, total)
+                    yield _chunk_batch(name, start, chunk, content[start * SAMPLE_BYTES : stop * SAMPLE_BYTES])
+
+    return rows.mapInArrow(cut, IQ_SCHEMA)
 
 
 def list_recordings(spark: SparkSession, root: str, suffixes: tuple[str, ...] = RAW_SUFFIXES + CSV_SUFFIXES) -> DataFrame:
@@ -110,31 +136,52 @@ def read_iq(
     raw, text = [], []
     for row in listing.orderBy("path").collect():
         is_text = format == "csv" or (format == "auto" and row["path"].lower().endswith(CSV_SUFFIXES))
-        (text if is_text else raw).append((row["path"], row["length"]))
-    spark.dataSource.register(IqDataSource)
-    reader = spark.read.format("iq").option("paths", json.dumps(raw)).option("chunk", chunk).option("halo", halo)
-    reader = reader.option("rangesamples", range_samples)
-    if max_samples is not None:
-        reader = reader.option("maxsamples", max_samples)
-    out = reader.load()
+        (text if is_text else raw).append((row["path"], _recording_name(row["path"], path), row["length"]))
+    parts = []
+    near = [f for f in raw if f[0].startswith("file:")]
+    far = [f for f in raw if not f[0].startswith("file:")]
+    if near or not raw:
+        spark.dataSource.register(IqDataSource)
+        reader = spark.read.format("iq").option("paths", json.dumps(near)).option("chunk", chunk).option("halo", halo)
+        reader = reader.option("rangesamples", range_samples)
+        parts.append((reader if max_samples is None else reader.option("maxsamples", max_samples)).load())
+    if far:
+        parts.append(_read_objects(spark, far, chunk, halo, max_samples))
     if text:
-        out = out.unionByName(read_iq_csv(spark, [p for p, _ in text], chunk, max_samples))
+        names = {p: n for p, n, _ in text}
+        parts.append(read_iq_csv(spark, list(names), chunk, max_samples, halo, root=path))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
     return out
 
 
-def read_iq_csv(spark: SparkSession, path: str | list[str], chunk: int = 65_536, max_samples: int | None = None) -> DataFrame:
+def _recording_name(file: str, root: str) -> str:
+    """Path below the folder that was read, so equal names in different folders stay apart."""
+    base = root.split("*")[0].rstrip("/") if "*" not in root else root.split("*")[0].rsplit("/", 1)[0]
+    at = file.find(base.removeprefix("file:") + "/")
+    return file[at + len(base.removeprefix("file:")) + 1 :] if at >= 0 else os.path.basename(file)
+
+
+def read_iq_csv(
+    spark: SparkSession, path: str | list[str], chunk: int = 65_536, max_samples: int | None = None, halo: int = 0, root: str | None = None
+) -> DataFrame:
     """Text of comma-separated numbers, even positions I and odd positions Q, as chunk rows.
 
     A text recording is one line, so one row; binary recordings are the format for large ones.
     """
-    text = spark.read.text(path, wholetext=True).withColumn("recording_id", F.element_at(F.split("_metadata.file_path", "/"), -1))
+    name = F.element_at(F.split("_metadata.file_path", "/"), -1)
+    if root is not None:
+        base = root.split("*")[0].rstrip("/").removeprefix("file:") + "/"
+        name = F.coalesce(F.try_element_at(F.split("_metadata.file_path", base.replace(".", "[.]"), 2), F.lit(2)), name)
+    text = spark.read.text(path, wholetext=True).withColumn("recording_id", name)
     numbers = F.filter(F.split(F.regexp_replace("value", r"[\s;]+", ","), ","), lambda x: x != "")
     rows = text.select("recording_id", F.transform(numbers, lambda x: x.cast("float")).alias("_n"))
     pairs = F.floor(F.size("_n") / 2).cast("int")
     total = pairs if max_samples is None else F.least(pairs, F.lit(max_samples))
     starts = F.when(total > 0, F.sequence(F.lit(0), total - 1, F.lit(chunk)))
     cut = rows.withColumn("_total", total).select("*", F.posexplode(starts).alias("chunk_no", "_s"))
-    size = F.least(F.lit(chunk), F.col("_total") - F.col("_s"))
+    size = F.least(F.lit(chunk + halo), F.col("_total") - F.col("_s"))
 
     def side(offset: int):
         at = F.sequence(F.lit(0), F.col("_len") - 1)
