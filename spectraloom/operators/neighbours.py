@@ -101,10 +101,7 @@ def knn(
     b_block = None if not exclude_equal else ("b_id" if exclude_equal == base_id else f"b_{exclude_equal}")
     q_block = None if not exclude_equal else ("q_id" if exclude_equal == query_id else f"q_{exclude_equal}")
 
-    size = base.where(F.col(col).isNotNull()).agg(
-        F.count(F.lit(1)).alias("n"), F.max(F.size(col)).alias("d")
-    ).first()
-    n, dim = size["n"], size["d"] or 0
+    n, dim = _base_size(base, col)
     if n * dim * 8 <= broadcast_bytes:
         hits = _knn_shipped(q, b, k, payload, metric, b_block, q_block)
     else:
@@ -119,38 +116,52 @@ def knn(
     )
 
 
-def _knn_shipped(q, b, k, payload, metric, b_block, q_block) -> DataFrame:
-    table = b.toArrow().sort_by("b_id")  # bounded by broadcast_bytes, checked by the caller
-    names = [f"b_{c}" for c in payload]
-    item = T.StructType([b.schema["b_id"], T.StructField("dist", T.DoubleType())] + [b.schema[c] for c in names])
+def _shipped_search(b: DataFrame, k: int, names: list[str], metric: str, b_block: str | None):
+    """UDF (vector, mark) -> the k nearest base rows as structs; None when the base is empty.
+
+    The caller has checked that the base fits ``broadcast_bytes``.
+    """
+    table = b.toArrow().sort_by("b_id")
     if table.num_rows == 0:
-        return q.limit(0).select("*", F.explode(F.lit(None).cast(T.ArrayType(item))).alias("_h"), F.lit(1).alias("rank")).select("*", "_h.*")
+        return None
+    item = T.StructType([b.schema["b_id"], T.StructField("dist", T.DoubleType())] + [b.schema[c] for c in names])
     matrix = to_matrix(table.column("b_vec"))[1]
     carried = [table.column(c).combine_chunks() for c in ["b_id"] + names]
     blocked_b = np.asarray(table.column(b_block).to_pylist()) if b_block else None
 
     def search(vectors: pa.Array, marks: pa.Array) -> pa.Array:
         valid, m = to_matrix(vectors)
-        blocked = (np.asarray(marks.to_pylist()), blocked_b) if b_block else None
         if not len(m):
             m = np.empty((0, matrix.shape[1]))
+        if metric == "cosine":
+            m = unit_rows(m)
+        blocked = (np.asarray(marks.filter(pa.array(valid)).to_pylist()), blocked_b) if b_block else None
         val, pos = _topk(m, matrix, k, blocked)
-        flat = pos.ravel()
-        fields = [carried[0].take(pa.array(flat)), pa.array(_as_distance(val, metric).ravel())]
-        fields += [c.take(pa.array(flat)) for c in carried[1:]]
+        keep = np.isfinite(val)
+        flat = pa.array(pos[keep])
+        fields = [carried[0].take(flat), pa.array(_as_distance(val[keep], metric))]
+        fields += [c.take(flat) for c in carried[1:]]
         structs = pa.StructArray.from_arrays(fields, names=["b_id", "dist"] + names)
-        width = pos.shape[1]
-        return pa.ListArray.from_arrays(pa.array(np.arange(len(pos) + 1, dtype=np.int32) * width), structs)
+        sizes = np.zeros(len(valid), dtype=np.int64)
+        sizes[valid] = keep.sum(axis=1)
+        offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+        return pa.ListArray.from_arrays(offsets, structs)
+
+    return F.arrow_udf(search, T.ArrayType(item))
 
-    udf = F.arrow_udf(search, T.ArrayType(item))
+
+def _knn_shipped(q, b, k, payload, metric, b_block, q_block) -> DataFrame:
+    names = [f"b_{c}" for c in payload]
+    search = _shipped_search(b, k, names, metric, b_block)
     marks = F.col(q_block) if q_block else F.lit(0)
-    found = q.withColumn("_hits", udf(F.col("q_vec"), marks)).drop("q_vec")
-    out = found.select(
-        *[c for c in found.columns if c != "_hits"], F.posexplode("_hits").alias("_p", "_h")
-    )
-    return out.select(
-        "*", (F.col("_p") + 1).alias("rank"), "_h.*"
-    ).where(~F.col("dist").isin(float("inf"))).drop("_p", "_h")
+    if search is None:
+        item = T.StructType([b.schema["b_id"], T.StructField("dist", T.DoubleType())] + [b.schema[c] for c in names])
+        hits = F.lit(None).cast(T.ArrayType(item))
+    else:
+        hits = search(F.col("q_vec"), marks)
+    found = q.withColumn("_hits", hits).drop("q_vec")
+    out = found.select(*[c for c in found.columns if c != "_hits"], F.posexplode("_hits").alias("_p", "_h"))
+    return out.select("*", (F.col("_p") + 1).alias("rank"), "_h.*").drop("_p", "_h")
 
 
 def _assign_udf(pivots: np.ndarray):
@@ -283,12 +294,29 @@ def knn_vote(hits: DataFrame, query_id: str, label: str, ks: list[int], keep: li
     return counted.groupBy(query_id, *keep, "k").agg(best.alias("predicted"))
 
 
+def _base_size(base: DataFrame, col: str) -> tuple[int, int]:
+    size = base.where(F.col(col).isNotNull()).agg(F.count(F.lit(1)).alias("n"), F.max(F.size(col)).alias("d")).first()
+    return size["n"], size["d"] or 0
+
+
 def nearest_one(
     df: DataFrame, base: DataFrame, df_id: str, base_id: str, col: str, base_col: str, out_id: str, out_sim: str,
     broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
-    """Add the id and cosine similarity of the closest base row; NULL when there is none."""
+    """Add the id and cosine similarity of the closest base row; NULL when there is none.
+
+    A base that fits adds a column in place; a larger one goes through the cells and is joined back.
+    """
     right = base.select(F.col(base_id).alias("_bid"), F.col(base_col).alias(col))
+    n, dim = _base_size(right, col)
+    if n * dim * 8 <= broadcast_bytes:
+        search = _shipped_search(_prepare(right, "_bid", col, [], "cosine", "b_"), 1, [], "cosine", None)
+        if search is None:
+            kind = base.schema[base_id].dataType
+            return df.withColumn(out_id, F.lit(None).cast(kind)).withColumn(out_sim, F.lit(None).cast("double"))
+        best = F.get(search(F.col(col).cast("array<double>"), F.lit(0)), F.lit(0))
+        staged = df.withColumn("_best", best)
+        return staged.withColumn(out_id, F.col("_best.b_id")).withColumn(out_sim, F.lit(1.0) - F.col("_best.dist")).drop("_best")
     hits = knn(df, right, 1, query_id=df_id, base_id="_bid", col=col, broadcast_bytes=broadcast_bytes)
     found = hits.select(
         F.col(df_id).alias("_qid"), F.col("neighbour").alias(out_id), (F.lit(1.0) - F.col("dist")).alias(out_sim)

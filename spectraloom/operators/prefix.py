@@ -12,6 +12,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spectraloom.session import materialize
+
 MAX_RANGES = 1024
 FEW_RANGES = 16
 ROWS_PER_RANGE = 200_000
@@ -103,11 +105,13 @@ def ordered_rank(
 
 
 def value_counts(df: DataFrame, by: list[str], col: str) -> DataFrame:
-    return (
+    """Rows per distinct value, written once: cut points and results both start from this narrow table."""
+    counts = (
         df.where(F.col(col).isNotNull() & ~F.isnan(F.col(col).cast("double")))
         .groupBy(*by, F.col(col).cast("double").alias("v"))
         .agg(F.count(F.lit(1)).alias("n"))
     )
+    return materialize(counts, "value-counts")
 
 
 def exact_percentiles(df: DataFrame, col: str, probs: list[float], by: list[str] | None = None) -> DataFrame:

@@ -20,6 +20,9 @@ from spectraloom.functions import vectors as V
 from spectraloom.functions.arrow import to_list_array, to_matrix, unit_rows
 from spectraloom.operators.moments import merge_sums, scatter, vector_totals
 from spectraloom.operators.sampling import kfold
+from spectraloom.session import materialize
+
+CHUNK_BYTES = 64 << 20
 
 
 def _vec(col: str) -> Column:
@@ -77,32 +80,82 @@ def intent_classifier(train: DataFrame, test: DataFrame, label: str, col: str, w
 # ---- silhouette and clusters --------------------------------------------------------------------
 
 
-def silhouette(df: DataFrame, label: str, col: str = "embedding", by: str | None = None) -> DataFrame:
+def silhouette(df: DataFrame, label: str, col: str = "embedding", by: str | None = None, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """Exact mean cosine silhouette from class sums: O(rows x classes), no pairs.
 
-    Class sums travel with every row's group as one array per ``by`` value (classes are a label set).
-    Rows alone in their class count 0.
+    Class sums travel inside Arrow UDFs in chunks of bounded size; each chunk gives a row its own
+    class's term and its nearest other class, and the chunks are combined per row. Rows alone in
+    their class count 0.
     """
     keys = [by] if by else []
-    unit = df.where(F.col(col).isNotNull()).select(*keys, F.col(label).alias("_c"), V.l2_normalize(col, 0.0).alias("_u"))
-    sums = vector_totals(unit, "_u", [*keys, "_c"])
-    table = sums.groupBy(*keys).agg(F.collect_list(F.struct("_c", "n", "total")).alias("_t"))
-    if by:
-        joined = unit.join(table.withColumnRenamed(by, "_by"), F.col(by).eqNullSafe(F.col("_by"))).drop("_by")
-    else:
-        joined = unit.join(F.broadcast(table), F.lit(True), "left")  # one row, one vector per class
-    own = F.element_at(F.filter("_t", lambda t: t["_c"] == F.col("_c")), 1)
-    others = F.filter("_t", lambda t: t["_c"] != F.col("_c"))
-    a = (own["n"] - V.dot("_u", own["total"])) / (own["n"] - 1)
-    b = F.array_min(F.transform(others, lambda t: F.lit(1.0) - V.dot(F.col("_u"), t["total"]) / t["n"]))
-    staged = joined.select(*keys, F.when(own["n"] > 1, a).alias("_a"), b.alias("_b"))
+    unit = df.where(F.col(col).isNotNull() & F.col(label).isNotNull()).select(
+        *keys, F.col(label).alias("_c"), V.as_doubles(col).alias("_u")
+    )
+    sums = materialize(
+        vector_totals(unit.withColumn("_u", V.l2_normalize("_u", 0.0)), "_u", [*keys, "_c"]), "class-sums"
+    )
+    mark = F.col(by) if by else F.lit(0)
+    staged, own, near = unit, [], []
+    for i, chunk in enumerate(_sum_chunks(sums, by, chunk_bytes)):
+        staged = staged.withColumn(f"_t{i}", _silhouette_udf(chunk, bool(by))("_u", "_c", mark))
+        own.append(F.col(f"_t{i}.a"))
+        near.append(F.col(f"_t{i}.b"))
+    if not own:
+        return unit.groupBy(*keys).agg(F.avg(F.lit(None).cast("double")).alias("silhouette"), F.count(F.lit(1)).alias("n"))
+    scored = staged.select(*keys, F.coalesce(*own).alias("_a"), (F.least(*near) if len(near) > 1 else near[0]).alias("_b"))
     worst = F.greatest("_a", "_b")
-    s = F.when(F.col("_a").isNull(), F.lit(0.0)).when(worst == 0, F.lit(0.0)).otherwise((F.col("_b") - F.col("_a")) / worst)
-    return staged.where("_b IS NOT NULL").groupBy(*keys).agg(
-        F.avg(s).alias("silhouette"), F.count(F.lit(1)).alias("n")
+    s = F.when(F.col("_a").isNull() | (worst == 0), F.lit(0.0)).otherwise((F.col("_b") - F.col("_a")) / worst)
+    counted = F.col("_b").isNotNull()
+    return scored.groupBy(*keys).agg(
+        F.avg(F.when(counted, s)).alias("silhouette"), F.count(F.when(counted, 1)).alias("n")
     )
 
 
+def _sum_chunks(sums: DataFrame, by: str | None, chunk_bytes: int):
+    """{group: (class index, counts, sums)} dictionaries of bounded size, fetched one at a time."""
+    chunk, size = {}, 0
+
+    def packed(groups):
+        return {
+            g: ({c: i for i, (c, _, _) in enumerate(r)}, np.array([n for _, n, _ in r], float), np.array([t for _, _, t in r]))
+            for g, r in groups.items()
+        }
+
+    for row in sums.orderBy(*([by] if by else []), "_c").toLocalIterator():
+        need = 8 * len(row["total"])
+        if chunk and size + need > chunk_bytes:
+            yield packed(chunk)
+            chunk, size = {}, 0
+        chunk.setdefault(row[by] if by else None, []).append((row["_c"], row["n"], row["total"]))
+        size += need
+    if chunk:
+        yield packed(chunk)
+
+
+def _silhouette_udf(packed: dict, grouped: bool):
+    def score(vectors: pa.Array, classes: pa.Array, marks: pa.Array) -> pa.Array:
+        valid, u = to_matrix(vectors)
+        u = unit_rows(u)
+        a, b = np.full(len(valid), np.nan), np.full(len(valid), np.nan)
+        names, groups = classes.to_pylist(), (marks.to_pylist() if grouped else [None] * len(valid))
+        for g in set(groups) & set(packed):
+            index, n, total = packed[g]
+            at = np.array([i for i, x in enumerate(groups) if x == g])
+            own = np.array([index.get(names[i], -1) for i in at])
+            sims = u[at] @ total.T
+            far = 1.0 - sims / n
+            here = np.flatnonzero(own >= 0)
+            mine = own[here]
+            many = n[mine] > 1
+            a[at[here[many]]] = ((n[mine] - sims[here, mine])[many]) / (n[mine][many] - 1)
+            far[here, mine] = np.inf
+            nearest = far.min(axis=1)
+            b[at] = np.where(np.isinf(nearest), np.nan, nearest)
+        return pa.StructArray.from_arrays([pa.array(a, mask=np.isnan(a)), pa.array(b, mask=np.isnan(b))], names=["a", "b"])
+
+    return F.arrow_udf(score, "struct<a: double, b: double>")
+
+
 def kmeans_report(df: DataFrame, ks: list[int], seed: int, col: str = "embedding") -> DataFrame:
     """Cost and squared-Euclidean silhouette for every k (a short list of independent fits)."""
     rows = df.select(_vec(col).alias("features"))

@@ -19,6 +19,7 @@ from spectraloom.operators.prefix import (
     value_counts,
     with_running,
 )
+from spectraloom.session import materialize
 
 
 def _keys(by) -> list[str]:
@@ -26,10 +27,14 @@ def _keys(by) -> list[str]:
 
 
 def score_counts(df: DataFrame, y: str, s: str, by=None) -> DataFrame:
-    """Distinct scores with positive (p) and negative (n) counts."""
+    """Distinct scores with positive (p) and negative (n) counts, written once.
+
+    Every metric needs the counts at least twice (cut points, then the metric); the written table
+    saves scoring and shuffling the rows again.
+    """
     score = F.col(s).cast("double")
     truth = F.col(y).cast("int")
-    return (
+    counts = (
         df.where(score.isNotNull() & ~F.isnan(score) & truth.isNotNull())
         .groupBy(*_keys(by), (score + F.lit(0.0)).alias("s"))
         .agg(
@@ -37,6 +42,7 @@ def score_counts(df: DataFrame, y: str, s: str, by=None) -> DataFrame:
             F.sum(F.when(truth == 1, 0).otherwise(1)).alias("n"),
         )
     )
+    return materialize(counts, "score-counts")
 
 
 def auc_from_counts(counts: DataFrame, by=None, cuts: list[float] | None = None) -> DataFrame:
@@ -79,6 +85,7 @@ def auc_by_type(pos: DataFrame, neg: DataFrame, s: str, type_col: str) -> DataFr
     merged = p.withColumn("n", F.lit(0).cast("long")).unionByName(
         n.select(F.lit(None).cast(p.schema["type"].dataType).alias("type"), "s", F.lit(0).cast("long").alias("p"), "n")
     )
+    merged = materialize(merged, "type-counts")
     ranged = merged.withColumn("_r", range_of("s", range_cuts(merged, "s")))
     upto = Window.partitionBy("_r").orderBy("s").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     same = Window.partitionBy("_r", "s")
@@ -94,7 +101,7 @@ def auc_by_type(pos: DataFrame, neg: DataFrame, s: str, type_col: str) -> DataFr
         F.col("_r").alias("_or"),
         F.coalesce(F.sum("_n").over(by_range), F.lit(0)).alias("_off"),
     )
-    n_neg = n.agg(F.sum("n"))
+    n_neg = merged.agg(F.sum("n"))
     done = (
         part.where("type IS NOT NULL")
         .join(F.broadcast(offsets), F.col("_r") == F.col("_or"))
@@ -263,18 +270,22 @@ def ecdf(df: DataFrame, col: str, by=None) -> DataFrame:
 
 def pct_rank(scores: DataFrame, train: DataFrame, col: str = "dist", out: str = "pct_greater") -> DataFrame:
     """Percent of training values strictly greater than each score, as a range-wise merge."""
-    t = value_counts(train, [], col).select("v", F.col("n").alias("t"), F.lit(0).alias("asked"))
+    value = F.col(col).cast("double")
+    known = train.where(value.isNotNull() & ~F.isnan(value))
+    t = known.groupBy(value.alias("v")).agg(F.count(F.lit(1)).alias("t")).withColumn("asked", F.lit(0))
     q = (
         scores.where(F.col(col).isNotNull())
         .select(F.col(col).cast("double").alias("v"))
         .distinct()
         .select("v", F.lit(0).cast("long").alias("t"), F.lit(1).alias("asked"))
     )
-    merged = t.unionByName(q).groupBy("v").agg(F.sum("t").alias("t"), F.max("asked").alias("asked"))
+    merged = materialize(
+        t.unionByName(q).groupBy("v").agg(F.sum("t").alias("t"), F.max("asked").alias("asked")), "rank-counts"
+    )
     cuts = range_cuts(merged, "v")
     ranged = merged.withColumn("_r", range_of("v", cuts))
     running = with_running(ranged, [], ["_r"], [F.col("v")], {"before": "t"}, whole=not cuts)
-    total = train.where(F.col(col).isNotNull()).agg(F.count(F.lit(1)))
+    total = merged.agg(F.sum("t"))
     placed = running.where("asked = 1").select(
         F.col("v").alias("_v"),
         (F.lit(100.0) * (F.lit(1.0) - (F.col("before") + F.col("t")) / total.scalar())).alias(out),

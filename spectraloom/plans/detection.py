@@ -9,6 +9,7 @@ from spectraloom.operators import gaussian as G
 from spectraloom.operators import moments as M
 from spectraloom.operators import ranking as K
 from spectraloom.operators.prefix import exact_percentiles
+from spectraloom.session import materialize
 from spectraloom.plans.base import LONG_CTE, SAMPLES_CTE, R, query, r, samples
 
 
@@ -17,16 +18,20 @@ def train_of(df):
 
 
 def cosine_scores(spark, sf_dir):
-    """Every sample with its cosine distance to the mean train vector, to six places."""
+    """Every sample with its cosine distance to the mean train vector, to six places.
+
+    The narrow scores are written once, so reports over them do not read the vectors again.
+    """
     all_rows = samples(spark, sf_dir)
     center = M.centroid(train_of(all_rows)).select("centroid")
     # the centre is one row, so the broadcast is bounded
     joined = all_rows.join(F.broadcast(center), on=F.lit(True), how="left")
-    return joined.select(
+    scored = joined.select(
         "sample_id", "label", "split", "recording_id",
         r(F.lit(1.0) - V.cosine("embedding", "centroid")).alias("dist"),
         (F.col("split") != "negatives").cast("int").alias("y"),
     )
+    return materialize(scored, "cosine-scores")
 
 
 SCORES_CTE = LONG_CTE + f""",
@@ -43,7 +48,7 @@ def detect_report(spark, sf_dir):
     """Fit on train types, threshold at the train p99, report each type against the negatives."""
     all_rows = samples(spark, sf_dir)
     models = G.fit_gaussian(train_of(all_rows))
-    scored = G.mahalanobis(all_rows, models)
+    scored = materialize(G.mahalanobis(all_rows, models).drop("embedding"), "scores")
     threshold = exact_percentiles(train_of(scored), "dist", [0.99]).select(F.element_at("pct", 1))
     scored = scored.withColumn("detected", F.col("dist") <= threshold.scalar())
     rates = scored.groupBy("label", "split").agg(

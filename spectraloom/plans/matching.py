@@ -11,6 +11,7 @@ from spectraloom.operators import neighbours as N
 from spectraloom.operators import registry as G
 from spectraloom.plans.base import LONG_CTE, SAMPLES_CTE, R, events, query, r, samples, table
 from spectraloom.plans.detection import SCORES_CTE, cosine_scores
+from spectraloom.session import materialize
 
 THR = 0.25  # the given vectors are nearly isotropic, so the default 0.85 would only ever say UNKNOWN
 EPOCH = "2024-01-01 00:00:00"
@@ -20,7 +21,8 @@ EPOCH = "2024-01-01 00:00:00"
 
 def label_registry(spark, sf_dir):
     """Labels 0-7 enrolled by their means; 8 and 9 stay unknown."""
-    return G.enroll_means(samples(spark, sf_dir).where("label <= 7"), "label", enrolled_at=EPOCH)
+    rows = samples(spark, sf_dir).where("label <= 7")
+    return materialize(G.enroll_means(rows, "label", enrolled_at=EPOCH), "registry")
 
 
 def packets(spark, sf_dir):

@@ -12,9 +12,9 @@ from spectraloom.plans.base import LONG_CTE, SAMPLES_CTE, R, events, query, r, s
 def series(spark, sf_dir):
     """Events of one user as a sampled signal: position, value."""
     ev = events(spark, sf_dir).select(
-        "user_id", "event_id", "ts", (F.col("value") / 100).alias("v"), F.to_date("ts").alias("day")
+        "user_id", "event_id", "ts", (F.col("value") / 100).alias("v"), F.date_trunc("hour", "ts").alias("hour")
     )
-    return S.indexed_series(ev, ["user_id"], [F.col("ts"), F.col("event_id")], ["day"]).drop("day")
+    return S.indexed_series(ev, ["user_id"], [F.col("ts"), F.col("event_id")], ["hour"]).drop("hour")
 
 
 def segments(spark, sf_dir, length, stride=None):

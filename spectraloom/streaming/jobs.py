@@ -54,7 +54,12 @@ def rates(counts: DataFrame, truth: str, positive: str = "DRONE", verdict: str =
 
 
 def alert_sessions(detections: DataFrame, hold: str = "3 seconds", by: list[str] | None = None, ts: str = "ts", late: str | None = None) -> DataFrame:
-    """Alerts that stay on until ``hold`` after the last detection."""
+    """Alerts that stay on until ``hold`` after the last detection.
+
+    Sessions are merged inside each input partition before the shuffle (a session setting), so a
+    sensor with most of the detections sends partial sessions, not rows.
+    """
+    detections.sparkSession.conf.set("spark.sql.sessionWindow.merge.sessions.in.local.partition", "true")
     rows = detections.withWatermark(ts, late) if late else detections
     window = F.session_window(ts, hold)
     return rows.groupBy(*(by or []), window.alias("alert")).agg(F.count(F.lit(1)).alias("detections")).select(
@@ -95,21 +100,22 @@ def _duplicate_flags(ts_q, ids_q, q, ts_b, ids_b, b, gap_us: int, sim: float) ->
 
 
 def _time_bucket(ts: str, gap_us: int) -> Column:
-    return F.floor(F.unix_micros(ts) / F.lit(gap_us))
+    return F.expr(f"floor(unix_micros({ts}) div {gap_us})")
 
 
 def dedup_tracks(
     rows: DataFrame, sensor: str, id_col: str, ts: str = "ts", col: str = "embedding", sim: float = 0.95, gap_us: int = 1_000_000,
-    block: int = DEDUP_BLOCK,
+    block: int = DEDUP_BLOCK, bucket_us: int | None = None,
 ) -> DataFrame:
     """Flag detections that repeat an earlier one of the same sensor within the gap; the rest start tracks.
 
-    Only rows in the same or the previous gap-long bucket can match. Buckets are cut into blocks on
+    Only rows in the same or the previous time bucket (at least a gap long) can match. Buckets are cut into blocks on
     both sides, so a sensor that holds most detections is many tasks; a task returns flags, no pairs.
     """
+    width = max(gap_us, bucket_us or 8 * gap_us)
     base = rows.select(
         F.col(sensor).alias("_s"), F.col(id_col).cast("long").alias("_id"), F.unix_micros(ts).alias("_t"),
-        _time_bucket(ts, gap_us).alias("_k"), F.col(col).cast("array<double>").alias("_x"),
+        _time_bucket(ts, width).alias("_k"), F.col(col).cast("array<double>").alias("_x"),
     ).where("_x IS NOT NULL")
     sizes = base.groupBy("_s", "_k").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("_nb"))
     here = base.join(sizes, ["_s", "_k"]).withColumn("_blk", F.pmod(F.xxhash64("_id"), F.col("_nb")).cast("int"))
