@@ -8,11 +8,21 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from spectraloom.functions.arrow import normalize_rows, spread, to_matrix
 
 
-@F.udtf(returnType="segment_idx: int, start_sample: int, values: array<double>")
+SEGMENT_TYPE = T.StructType(
+    [
+        T.StructField("segment_idx", T.IntegerType()),
+        T.StructField("start_sample", T.IntegerType()),
+        T.StructField("values", T.ArrayType(T.DoubleType())),
+    ]
+)
+
+
+@F.udtf(returnType=SEGMENT_TYPE)
 class Segments:
     """segments(array, length, stride): windows of an array, partial tail dropped."""
 
@@ -23,7 +33,7 @@ class Segments:
             yield idx, start, values[start : start + length]
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def auc_agg(y: pd.Series, s: pd.Series) -> float:
     """AUC as a grouped aggregate for groups that fit in memory; ``ranking.auc`` has no such limit."""
     rank = s.rank().to_numpy()
