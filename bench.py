@@ -13,7 +13,7 @@ from spectraloom.plans import catalogue  # noqa: E402
 from spectraloom.session import build_session  # noqa: E402
 
 HEADLINE = [
-    "detect_report", "detect_report_cosine", "mahalanobis_to_nearest_type_full", "roc_auc_overall", "roc_auc_by_group",
+    "detect_report", "detect_report_cosine", "mahalanobis_to_nearest_type", "roc_auc_overall", "roc_auc_by_group",
     "roc_auc_by_type_shared_negatives", "average_precision_overall", "tpr_at_fpr_last_below", "youden_threshold",
     "bootstrap_auc_interval", "empirical_cdf", "score_summary_by_population", "box_statistics_by_type", "density_histogram",
     "knn_cosine_neighbours", "knn_cosine_by_cells", "knn_cross_validated", "silhouette_cosine", "collapse_statistics",

@@ -10,7 +10,7 @@ from spectraloom.operators import reports as P
 from spectraloom.operators import studies as U
 from spectraloom.operators.prefix import exact_percentiles
 from spectraloom.plans.base import LONG_CTE, SAMPLES_CTE, R, events, query, r, samples, table
-from spectraloom.plans.detection import SCORES_CTE, cosine_scores, train_of
+from spectraloom.plans.detection import SCORES_CTE, TRAIN_DIST, cosine_scores, distance_sql, train_of
 from spectraloom.plans.ranking import PRICED, priced
 
 # ---- moments and models -------------------------------------------------------------------------
@@ -41,90 +41,32 @@ def covariance_by_label(spark, sf_dir):
     return M.covariance_long(samples(spark, sf_dir), by=["label"]).select("label", "i", "j", r("cov", 8).alias("cov"))
 
 
-def chol_sql(source: str, key: str, dims: int, reg: float, where: str) -> str:
-    """CTEs that factor the covariance of columns x1..xD per key and solve for each row (check SQL)."""
-    part = f"{key}, " if key else ""
-    group = f"GROUP BY {key}" if key else ""
-    aggs = [f"avg(x{i}) AS m{i}" for i in range(1, dims + 1)]
-    for i in range(1, dims + 1):
-        for j in range(1, i + 1):
-            aggs.append(f"covar_samp(x{i}, x{j})" + (f" + {reg}" if i == j else "") + f" AS c{i}_{j}")
-    ctes = [f"f0 AS (SELECT {part}{', '.join(aggs)} FROM {source} {where} {group})"]
-    step = 0
-    for j in range(1, dims + 1):
-        inner = " ".join(f"- l{j}_{k} * l{j}_{k}" for k in range(1, j))
-        ctes.append(f"f{step + 1} AS (SELECT *, sqrt(c{j}_{j} {inner}) AS l{j}_{j} FROM f{step})")
-        step += 1
-        rest = []
-        for i in range(j + 1, dims + 1):
-            inner = " ".join(f"- l{i}_{k} * l{j}_{k}" for k in range(1, j))
-            rest.append(f"(c{i}_{j} {inner}) / l{j}_{j} AS l{i}_{j}")
-        if rest:
-            ctes.append(f"f{step + 1} AS (SELECT *, {', '.join(rest)} FROM f{step})")
-            step += 1
-    return ",\n".join(ctes) + f",\nmodel AS (SELECT * FROM f{step})"
-
-
-def solve_sql(source: str, dims: int, join: str) -> str:
-    ctes, prev = [], f"(SELECT * FROM {source} {join})"
-    for i in range(1, dims + 1):
-        inner = " ".join(f"- l{i}_{k} * y{k}" for k in range(1, i))
-        ctes.append(f"y{i}t AS (SELECT *, (x{i} - m{i} {inner}) / l{i}_{i} AS y{i} FROM {prev})")
-        prev = f"y{i}t"
-    return ",\n".join(ctes)
-
-
-DIMS = 6
-COLS = ", ".join(f"embedding[{i}] AS x{i}" for i in range(1, DIMS + 1))
-NORM = f"sqrt(list_dot_product(embedding[1:{DIMS}], embedding[1:{DIMS}])) + 1e-8"
-UCOLS = ", ".join(f"embedding[{i}] / ({NORM}) AS x{i}" for i in range(1, DIMS + 1))
-D2 = "sqrt(" + " + ".join(f"y{i} * y{i}" for i in range(1, DIMS + 1)) + ")"
-
-
-def head(df):
-    return df.withColumn("embedding", F.slice("embedding", 1, DIMS))
+PLAIN_DIST = distance_sql("split = 'train'", l2=False)
+TYPE_DIST = distance_sql("split = 'train' AND label = ml", "ml", "(SELECT unnest(range(0, 6)) AS ml)")
 
 
-@query(
-    "F1 E3",
-    f"""WITH {SAMPLES_CTE}, w AS (SELECT sample_id, split, {COLS} FROM samples), {chol_sql('w', '', DIMS, 0.001, "WHERE split = 'train'")},
-{solve_sql('w', DIMS, 'CROSS JOIN model')} SELECT sample_id, {R(D2)} AS dist FROM y{DIMS}t""",
-)
-def mahalanobis_of_leading_dims(spark, sf_dir):
-    rows = head(samples(spark, sf_dir))
+@query("F1 E3", f"WITH RECURSIVE {PLAIN_DIST} SELECT sample_id, {R('dist')} AS dist FROM dist")
+def mahalanobis_distances(spark, sf_dir):
+    rows = samples(spark, sf_dir)
     out = G.mahalanobis(rows, G.fit_gaussian(train_of(rows), l2=False), l2=False)
     return out.select("sample_id", r("dist").alias("dist"))
 
 
-@query(
-    "F2 E3",
-    f"""WITH {SAMPLES_CTE}, w AS (SELECT sample_id, split, {UCOLS} FROM samples), {chol_sql('w', '', DIMS, 0.001, "WHERE split = 'train'")},
-{solve_sql('w', DIMS, 'CROSS JOIN model')} SELECT sample_id, {R(D2)} AS dist FROM y{DIMS}t""",
-)
-def mahalanobis_of_normalized_dims(spark, sf_dir):
-    rows = head(samples(spark, sf_dir))
+@query("F2 E3", f"WITH RECURSIVE {TRAIN_DIST} SELECT sample_id, {R('dist')} AS dist FROM dist")
+def mahalanobis_distances_normalized(spark, sf_dir):
+    rows = samples(spark, sf_dir)
     out = G.mahalanobis(rows, G.fit_gaussian(train_of(rows)))
     return out.select("sample_id", r("dist").alias("dist"))
 
 
 @query(
     "F3 E4",
-    f"""WITH {SAMPLES_CTE}, w AS (SELECT sample_id, split, label, {UCOLS} FROM samples), wt AS (SELECT label AS ml, * EXCLUDE (sample_id, split, label) FROM w WHERE split = 'train'),
-{chol_sql('wt', 'ml', DIMS, 0.001, '')}, {solve_sql('w', DIMS, 'CROSS JOIN model')},
-d AS (SELECT sample_id, ml, {D2} AS dist FROM y{DIMS}t)
-SELECT sample_id, {R('min(dist)')} AS dist, CAST(arg_min(ml, dist) AS INTEGER) AS nearest_type FROM d GROUP BY sample_id""",
+    f"WITH RECURSIVE {TYPE_DIST} SELECT sample_id, {R('min(dist)')} AS dist, CAST(arg_min(ml, dist) AS INTEGER) AS nearest_type FROM dist GROUP BY sample_id",
 )
 def mahalanobis_to_nearest_type(spark, sf_dir):
-    rows = head(samples(spark, sf_dir))
-    out = G.mahalanobis_nearest(rows, G.fit_gaussian(train_of(rows), by=["label"]), "label")
-    return out.select("sample_id", r("dist").alias("dist"), "nearest_type")
-
-
-@query("F3 E4")
-def mahalanobis_to_nearest_type_full(spark, sf_dir):
     rows = samples(spark, sf_dir)
     out = G.mahalanobis_nearest(rows, G.fit_gaussian(train_of(rows), by=["label"]), "label")
-    return out.select("sample_id", r("dist", 4).alias("dist"), "nearest_type")
+    return out.select("sample_id", r("dist").alias("dist"), "nearest_type")
 
 
 @query("F4", f"WITH {SCORES_CTE} SELECT sample_id, label, dist FROM scores")
@@ -345,15 +287,27 @@ def distinct_types_per_split(spark, sf_dir):
 # ---- studies ------------------------------------------------------------------------------------
 
 
-@query("G15 C7")
+FAMILY_DIST = distance_sql("split = 'train' AND label % 3 <> fam", "fam", "(SELECT unnest(range(0, 3)) AS fam)")
+
+
+@query(
+    "G15 C7",
+    f"""WITH RECURSIVE {FAMILY_DIST} SELECT CAST(s.fam AS INTEGER) AS family, s.label, {R('avg(CASE WHEN s.dist < n.dist THEN 1.0 WHEN s.dist = n.dist THEN 0.5 ELSE 0 END)')} AS auc,
+ count(DISTINCT s.sample_id) AS n_pos, count(DISTINCT n.sample_id) AS n_neg
+FROM dist s JOIN dist n ON s.fam = n.fam AND n.split = 'negatives' AND s.split = 'train' AND s.label % 3 = s.fam GROUP BY s.fam, s.label""",
+)
 def leave_family_out_auc(spark, sf_dir):
     rows = samples(spark, sf_dir).withColumn("family", (F.col("label") % 3).cast("int"))
     out = U.leave_family_out(rows.where("split = 'train'"), rows.where("split = 'negatives'"), "family", [0, 1, 2], "label")
-    return out.select("family", "label", r("auc", 4).alias("auc"), "n_pos", "n_neg")
+    return out.select("family", "label", r("auc").alias("auc"), "n_pos", "n_neg")
 
 
-@query("G16")
+@query(
+    "G16",
+    f"""WITH RECURSIVE {TRAIN_DIST}, t AS (SELECT quantile_cont(dist, 0.99) AS thr FROM dist WHERE split = 'train')
+SELECT sample_id, label, {R('dist')} AS dist FROM dist CROSS JOIN t WHERE split = 'negatives' AND dist <= thr""",
+)
 def mislabelled_negatives(spark, sf_dir):
     rows = samples(spark, sf_dir)
     suspects, _ = U.mislabel_scan(train_of(rows), rows.where("split = 'negatives'"))
-    return suspects.select("sample_id", "label", r("dist", 4).alias("dist"))
+    return suspects.select("sample_id", "label", r("dist").alias("dist"))

@@ -142,14 +142,16 @@ def drop_garbage_vectors(spark, sf_dir):
 
 @query(
     "B11",
-    f"""WITH {SAMPLES_CTE}, s AS (SELECT sample_id, sample_id % 3 + 1 AS c, CASE WHEN sample_id % 3 = 0 THEN list_slice(embedding, 1, 16) WHEN sample_id % 3 = 1 THEN list_slice(embedding, 1, 32) ELSE list_slice(embedding, 1, 48) END AS spec FROM samples),
-t AS (SELECT sample_id, c, CASE WHEN c = 1 THEN list_concat(spec, spec) ELSE list_slice(spec, 1, 32) END AS two, spec FROM s)
-SELECT sample_id, {R('list_sum(two)')} AS two_sum, CAST(len(two) AS BIGINT) AS two_len, {R('CASE WHEN c = 3 THEN list_sum(spec) ELSE list_sum(two) END')} AS three_sum, CAST(48 AS BIGINT) AS three_len FROM t""",
+    f"""WITH {SAMPLES_CTE}, s AS (SELECT sample_id, [1, 2, 4][sample_id % 3 + 1] AS c, 64 // [1, 2, 4][sample_id % 3 + 1] AS pl, embedding AS spec FROM samples),
+t AS (SELECT sample_id, c, pl, CASE WHEN c = 1 THEN list_concat(spec, spec) ELSE list_slice(spec, 1, 2 * pl) END AS two, spec FROM s)
+SELECT sample_id, {R('list_sum(list_transform(two, lambda x: CAST(CAST(x AS FLOAT) AS DOUBLE)))')} AS two_sum, CAST(len(two) AS BIGINT) AS two_len,
+ {R('CASE WHEN c = 4 THEN list_sum(list_slice(spec, 1, 3 * pl)) ELSE list_sum(two) END')} AS three_sum, CAST(3 * pl AS BIGINT) AS three_len FROM t""",
 )
 def harmonise_channels(spark, sf_dir):
-    c = (F.col("sample_id") % 3 + 1).cast("int")
-    rows = samples(spark, sf_dir).select("sample_id", c.alias("c"), F.lit(4).alias("h"), F.lit(4).alias("w"), "embedding")
-    rows = rows.withColumn("spec", F.slice("embedding", F.lit(1), F.col("c") * 16).cast("array<float>"))
+    """Vectors read as one, two or four planes, brought to two and to three channels."""
+    c = F.element_at(F.array(F.lit(1), F.lit(2), F.lit(4)), (F.col("sample_id") % 3 + 1).cast("int"))
+    rows = samples(spark, sf_dir).select("sample_id", c.alias("c"), F.col("embedding").cast("array<float>").alias("spec"))
+    rows = rows.withColumn("h", (F.lit(16) / F.col("c")).cast("int")).withColumn("w", F.lit(4))
     both = S.to_channels(rows, 2).select("sample_id", F.col("spec").alias("two")).join(
         S.to_channels(rows, 3).select("sample_id", F.col("spec").alias("three")), "sample_id"
     )

@@ -6,9 +6,8 @@ from pyspark.sql import functions as F
 
 from spectraloom.functions.sql import mahalanobis_function, register_sql
 from spectraloom.operators import gaussian as G
-from spectraloom.plans.base import LONG_CTE, SAMPLES_CTE, R, query, r, samples, table
-from spectraloom.plans.detection import train_of
-from spectraloom.plans.reports import D2, DIMS, UCOLS, chol_sql, head, solve_sql
+from spectraloom.plans.base import SAMPLES_CTE, R, query, r, samples, table
+from spectraloom.plans.detection import TRAIN_DIST, train_of
 
 
 @query(
@@ -28,13 +27,9 @@ def sql_vector_functions(spark, sf_dir):
     )
 
 
-@query(
-    "K2 F2",
-    f"""WITH {SAMPLES_CTE}, w AS (SELECT sample_id, split, {UCOLS} FROM samples), {chol_sql('w', '', DIMS, 0.001, "WHERE split = 'train'")},
-{solve_sql('w', DIMS, 'CROSS JOIN model')} SELECT sample_id, {R(D2)} AS dist FROM y{DIMS}t""",
-)
+@query("K2 F2", f"WITH RECURSIVE {TRAIN_DIST} SELECT sample_id, {R('dist')} AS dist FROM dist")
 def sql_mahalanobis_function(spark, sf_dir):
-    rows = head(samples(spark, sf_dir))
+    rows = samples(spark, sf_dir)
     model = G.fit_gaussian(train_of(rows)).first().asDict()
     mahalanobis_function(spark, model)
     return spark.sql("SELECT sample_id, round(mahalanobis(embedding), 6) + 0.0D AS dist FROM {rows}", rows=rows)

@@ -5,13 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from spectraloom.operators import gaussian as G
-from spectraloom.operators import matching as M
 from spectraloom.operators import registry as REG
 from spectraloom.operators.signal import intent_rule
-from spectraloom.plans.base import SAMPLES_CTE, R, events, query, r, samples, table
-from spectraloom.plans.detection import train_of
+from spectraloom.plans.base import R, events, query, r, samples, table
+from spectraloom.plans.detection import TRAIN_DIST, train_of
 from spectraloom.plans.matching import PACKET_CTE, THR, label_registry
-from spectraloom.plans.reports import D2, DIMS, UCOLS, chol_sql, head, solve_sql
 from spectraloom.session import shared_dir
 from spectraloom.streaming import jobs as J
 
@@ -34,15 +32,14 @@ def sample_stream(spark, sf_dir):
 
 @query(
     "J1 B25",
-    f"""WITH {SAMPLES_CTE}, w AS (SELECT sample_id, split, label, {UCOLS} FROM samples), {chol_sql('w', '', DIMS, 0.001, "WHERE split = 'train'")},
-{solve_sql('w', DIMS, 'CROSS JOIN model')}, d AS (SELECT sample_id, label, {D2} AS dist FROM y{DIMS}t)
-SELECT sample_id, {R('dist')} AS dist, CASE WHEN dist <= 2.4 THEN 'DRONE' ELSE 'BACKGROUND' END AS verdict,
- CASE WHEN dist <= 2.4 THEN CASE WHEN label / 5.0 < 0.5 AND label / 5.0 < 1 THEN 'SURVEILLANCE' WHEN label / 5.0 > 2 OR label / 5.0 > 3 THEN 'ATTACK' ELSE 'TRANSIT' END END AS intent FROM d""",
+    f"""WITH RECURSIVE {TRAIN_DIST}
+SELECT sample_id, {R('dist')} AS dist, CASE WHEN dist <= 7.8 THEN 'DRONE' ELSE 'BACKGROUND' END AS verdict,
+ CASE WHEN dist <= 7.8 THEN CASE WHEN label / 5.0 < 0.5 AND label / 5.0 < 1 THEN 'SURVEILLANCE' WHEN label / 5.0 > 2 OR label / 5.0 > 3 THEN 'ATTACK' ELSE 'TRANSIT' END END AS intent FROM dist""",
 )
 def scored_sample_stream(spark, sf_dir):
-    model = G.fit_gaussian(train_of(head(samples(spark, sf_dir))))
+    model = G.fit_gaussian(train_of(samples(spark, sf_dir)))
     feature = F.col("label") / 5.0
-    stream = J.score_stream(head(sample_stream(spark, sf_dir)), model, 2.4, extra=lambda df: intent_rule(feature, feature))
+    stream = J.score_stream(sample_stream(spark, sf_dir), model, 7.8, extra=lambda df: intent_rule(feature, feature))
     folder, _ = J.run_to_folder(stream, "append", "scored")
     return J.read_folder(spark, folder).select("sample_id", r("dist").alias("dist"), "verdict", "intent")
 
