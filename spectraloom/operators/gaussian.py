@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from spectraloom.functions.arrow import normalize_rows, spread, to_matrix
-from spectraloom.operators.moments import covariance_of, scatter
+from spectraloom.operators.moments import covariance_of, merge_sums, scatter
 from spectraloom.operators.prefix import exact_percentiles
+from spectraloom.session import materialize
 
 PERCENTILES = (0.50, 0.75, 0.90, 0.95, 0.99)
 MODEL_CHUNK_BYTES = 128 << 20
@@ -57,8 +58,7 @@ def fit_gaussian(
     by = by or []
     sums = scatter(df, col, by, l2)
     if by:
-        from spectraloom.operators.moments import merge_sums
-
+        sums = materialize(sums, "group-sums")
         pooled = merge_sums(sums, [], ["s", "xx"], ["n"]).select(
             F.col("n").alias("_gn"), F.col("s").alias("_gs"), F.col("xx").alias("_gxx")
         )
@@ -73,6 +73,24 @@ def fit_gaussian(
         )
     else:
         sums = sums.where("n > 0").withColumn("fit_n", F.col("n"))
+    return _models(sums, by, reg, ddof)
+
+
+def fit_without_each(df: DataFrame, family: str, col: str = "embedding", reg: float = 1e-3, l2: bool = True, ddof: int = 1) -> DataFrame:
+    """One model per family, fitted on everything but it: total sums minus the family's own."""
+    sums = materialize(scatter(df, col, [family], l2), "family-sums")
+    total = merge_sums(sums, [], ["s", "xx"], ["n"]).select(
+        F.col("n").alias("_gn"), F.col("s").alias("_gs"), F.col("xx").alias("_gxx")
+    )
+    rest = sums.join(F.broadcast(total), on=F.lit(True), how="left").select(  # one total row
+        family, (F.col("_gn") - F.col("n")).alias("n"),
+        F.zip_with("_gs", "s", lambda a, b: a - b).alias("s"), F.zip_with("_gxx", "xx", lambda a, b: a - b).alias("xx"),
+    )
+    return _models(rest.where("n > 1").withColumn("fit_n", F.col("n")), [family], reg, ddof)
+
+
+def _models(sums: DataFrame, by: list[str], reg: float, ddof: int) -> DataFrame:
+    """Invert each group's covariance in its own task."""
     schema = T.StructType([sums.schema[k] for k in by] + _MODEL_FIELDS)
 
     def invert(frames):
@@ -208,3 +226,31 @@ def model_chunks(models: DataFrame, key: str):
         size += need
     if chunk:
         yield chunk
+
+
+def all_distances(df: DataFrame, models: DataFrame, key: str, out_key: str, col: str = "embedding", l2: bool = True) -> DataFrame:
+    """Distance of every row to every model, one row per (row, model), without the vectors."""
+    kept = [c for c in df.columns if c != col]
+    out = None
+    for chunk in model_chunks(models, key):
+        names = F.array(*[F.lit(m.key) for m in chunk])
+        dists = _chunk_distances_udf(chunk, l2)(F.col(col).cast("array<double>"))
+        part = df.select(*kept, dists.alias("_d")).select(*kept, F.posexplode("_d").alias("_p", "dist"))
+        part = part.withColumn(out_key, F.element_at(names, F.col("_p") + 1)).drop("_p")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def _chunk_distances_udf(chunk: list[GaussianModel], l2: bool):
+    @F.arrow_udf("array<double>")
+    def dists(vectors: pa.Array) -> pa.Array:
+        valid, x = to_matrix(vectors)
+        if not len(x):
+            return pa.nulls(len(valid), pa.list_(pa.float64()))
+        if l2:
+            x = normalize_rows(x)
+        d = np.stack([np.sqrt(np.square((x - m.centroid) @ m.whitener).sum(axis=1)) for m in chunk], axis=1)
+        offsets = np.concatenate([[0], np.cumsum(valid * len(chunk))]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(d.ravel()))
+
+    return dists

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from spectraloom.functions.arrow import spread, to_matrix, unit_rows
+from spectraloom.session import materialize
 
 BROADCAST_BYTES = 64 << 20
 BLOCK_ROWS = 16_384
@@ -188,14 +189,17 @@ def _reach_udf(pivots: np.ndarray, radius: np.ndarray):
     @F.arrow_udf("array<int>")
     def reach(vectors: pa.Array, home: pa.Array, bound: pa.Array) -> pa.Array:
         _, m = to_matrix(vectors)
-        homes, bounds = home.to_pylist(), bound.to_numpy(zero_copy_only=False)
-        out = []
-        for i in range(len(m)):
-            d = np.sqrt(np.square(pivots - m[i]).sum(axis=1))
-            limit = np.inf if np.isnan(bounds[i]) else bounds[i] * (1 + 1e-9) + 1e-6
-            near = np.flatnonzero((d - radius <= limit) & (radius >= 0))
-            out.append([int(c) for c in near if c != homes[i]])
-        return pa.array(out, type=pa.list_(pa.int32()))
+        if not len(m):
+            return pa.array([[]] * len(vectors), pa.list_(pa.int32()))
+        p2 = np.square(pivots).sum(axis=1)
+        d2 = np.square(m).sum(axis=1)[:, None] + p2[None, :] - 2.0 * m @ pivots.T
+        d = np.sqrt(np.maximum(d2, 0.0))
+        bounds = bound.to_numpy(zero_copy_only=False).astype(float)
+        limit = np.where(np.isnan(bounds), np.inf, bounds * (1 + 1e-9) + 1e-6)
+        near = (d - radius[None, :] <= limit[:, None]) & (radius >= 0)[None, :]
+        near[np.arange(len(m)), home.to_numpy(zero_copy_only=False)] = False
+        offsets = np.concatenate([[0], np.cumsum(near.sum(axis=1))]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.nonzero(near)[1].astype(np.int32)))
 
     return reach
 
@@ -217,31 +221,32 @@ def _knn_cells(q, b, k, n, metric, b_block, q_block, extra_b, extra_q) -> DataFr
     based = bc.withColumn("blk", F.pmod(F.xxhash64("b_id"), n_blocks).cast("int")).drop("_d")
 
     qh = q.withColumn("_a", assign("q_vec")).select("*", F.col("_a.cell").alias("cell")).drop("_a")
-    hits = [_search_blocks(qh, based, blocks, k, b_block, q_block, extra_b, extra_q)]
-
+    # narrow results and cell lists are written, so no search and no bound is computed twice
+    home = materialize(_search_blocks(qh, based, blocks, k, b_block, q_block, extra_b, extra_q), "home-hits")
     at_k = Window.partitionBy("q_id").orderBy("d2", "b_id")
     kth = (
-        hits[0].withColumn("_rk", F.row_number().over(at_k)).where(F.col("_rk") <= k).where(F.col("_rk") == k)
+        home.withColumn("_rk", F.row_number().over(at_k)).where(F.col("_rk") <= k).where(F.col("_rk") == k)
         .select(F.col("q_id").alias("_kid"), F.sqrt("d2").alias("bound"))
     )
     reach = _reach_udf(pivots, radius)
-    rest = (
-        qh.join(kth, F.col("q_id") == F.col("_kid"), "left")
-        .drop("_kid")
-        .withColumn("cell", F.explode(reach("q_vec", "cell", F.col("bound").cast("double"))))
-        .drop("bound")
+    asked = qh.join(kth, F.col("q_id") == F.col("_kid"), "left").select(
+        F.col("q_id").alias("_vid"), reach("q_vec", "cell", F.col("bound").cast("double")).alias("_cells")
     )
-    hits.append(_search_blocks(rest, based, blocks, k, b_block, q_block, extra_b, extra_q))
+    asked = materialize(asked.where(F.size("_cells") > 0), "cell-lists")
+    rest = qh.drop("cell").join(asked, F.col("q_id") == F.col("_vid")).withColumn("cell", F.explode("_cells")).drop("_vid", "_cells")
+    visits = asked.select(F.explode("_cells").alias("cell"))
+    away = _search_blocks(rest, based, blocks, k, b_block, q_block, extra_b, extra_q, visits)
     w = Window.partitionBy("q_id").orderBy("d2", "b_id")
-    best = hits[0].unionByName(hits[1]).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    best = home.unionByName(away).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
     dist = F.col("d2") / 2 if metric == "cosine" else F.sqrt("d2")
     return best.withColumn("dist", dist)
 
 
-def _search_blocks(visits, based, blocks, k, b_block, q_block, extra_b, extra_q) -> DataFrame:
-    """Top k inside every (cell, base block, query block) a visit names."""
+def _search_blocks(visits, based, blocks, k, b_block, q_block, extra_b, extra_q, cells=None) -> DataFrame:
+    """Top k inside every (cell, base block, query block) a visit names; ``cells`` is its narrow form."""
+    narrow = visits.select("cell") if cells is None else cells
     per_cell = {
-        row["cell"]: row["n"] for row in visits.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()
+        row["cell"]: row["n"] for row in narrow.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()
     }  # one row per pivot
     q_blocks = [max(1, math.ceil(per_cell.get(c, 0) / BLOCK_ROWS)) for c in range(len(blocks))]
     nb = F.element_at(F.array(*[F.lit(x) for x in blocks]), F.col("cell") + 1)

@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 from spectraloom.functions import vectors as V
 from spectraloom.functions.arrow import to_list_array, to_matrix, unit_rows
 from spectraloom.operators.moments import merge_sums, scatter, vector_totals
-from spectraloom.operators.sampling import kfold
+from spectraloom.operators.sampling import hash_int, kfold
 from spectraloom.session import materialize
 
 CHUNK_BYTES = 64 << 20
@@ -333,7 +333,7 @@ def _supcon(x: np.ndarray, labels: np.ndarray) -> tuple[float, int]:
     return float((tot - pos)[has].sum()), int(has.sum())
 
 
-def supcon_stat(df: DataFrame, label: str, id_col: str, block: int = 512, col: str = "embedding", n_rows: int | None = None) -> DataFrame:
+def supcon_stat(df: DataFrame, label: str, id_col: str, block: int = 512, col: str = "embedding", n_rows: int | None = None, seed: int = 0) -> DataFrame:
     """Supervised contrastive statistic averaged over hash blocks, the mini-batches of the original.
 
     The number of blocks comes from the row count, so a block stays near ``block`` rows whatever the
@@ -342,7 +342,7 @@ def supcon_stat(df: DataFrame, label: str, id_col: str, block: int = 512, col: s
     n = df.count() if n_rows is None else n_rows
     blocks = max(1, -(-n // block))
     rows = df.where(F.col(col).isNotNull()).select(
-        F.pmod(F.xxhash64(id_col), F.lit(blocks)).alias("_b"), F.col(id_col).alias("_id"), F.col(label).alias("_l"),
+        (hash_int(id_col, seed) % blocks).alias("_b"), F.col(id_col).alias("_id"), F.col(label).alias("_l"),
         F.col(col).cast("array<double>").alias("_x"),
     )
 

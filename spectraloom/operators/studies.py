@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spectraloom.operators.gaussian import fit_gaussian, mahalanobis
+from spectraloom.operators.gaussian import all_distances, fit_gaussian, fit_without_each, mahalanobis
 from spectraloom.operators.prefix import exact_percentiles
 from spectraloom.operators.quality import kmeans_report
 from spectraloom.operators.ranking import auc_by_type
+from spectraloom.session import materialize
 
 
 def leave_family_out(
@@ -16,16 +17,20 @@ def leave_family_out(
 ) -> DataFrame:
     """For every family: fit without it, then AUC of each of its types against the background.
 
-    The list of families is short; each one is its own fit over sums of a different population.
+    Sums are taken per family in one pass; the fit without a family is the total minus its sums. A
+    second pass scores rows against all fits and keeps only (family, type, distance).
     """
+    models = fit_without_each(train, family, reg=reg)
+    own = all_distances(train, models, family, "_fit").where(F.col(family) == F.col("_fit"))
+    back = all_distances(background, models, family, "_fit")
+    score = (-F.col("dist")).alias("s")
+    left_out = materialize(own.select(F.col("_fit"), type_col, score), "left-out")
+    negatives = materialize(back.select("_fit", score), "background")
     out = None
     for name in families:
-        model = fit_gaussian(train.where(F.col(family) != F.lit(name)), reg=reg)
-        left_out = mahalanobis(train.where(F.col(family) == F.lit(name)), model)
-        back = mahalanobis(background, model)
-        score = (-F.col("dist")).alias("s")
-        part = auc_by_type(left_out.select(type_col, score), back.select(score), "s", type_col)
-        part = part.withColumn(family, F.lit(name))
+        part = auc_by_type(
+            left_out.where(F.col("_fit") == F.lit(name)), negatives.where(F.col("_fit") == F.lit(name)), "s", type_col
+        ).withColumn(family, F.lit(name))
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -33,9 +38,9 @@ def leave_family_out(
 def mislabel_scan(train: DataFrame, negatives: DataFrame, q: float = 0.99, seed: int = 0, least: int = 4) -> tuple[DataFrame, DataFrame | None]:
     """Negatives inside the train threshold and, when there are enough, how they cluster."""
     model = fit_gaussian(train)
-    scored_train = mahalanobis(train, model)
-    threshold = exact_percentiles(scored_train, "dist", [q]).select(F.element_at("pct", 1)).first()[0]
-    suspects = mahalanobis(negatives, model).where(F.col("dist") <= threshold)
+    model = materialize(model, "model")
+    threshold = exact_percentiles(mahalanobis(train, model), "dist", [q]).select(F.element_at("pct", 1)).first()[0]
+    suspects = materialize(mahalanobis(negatives, model).where(F.col("dist") <= threshold), "suspects")
     n = suspects.count()
     clusters = kmeans_report(suspects, [k for k in (2, 3) if k < n], seed) if n >= least else None
     return suspects, clusters

@@ -128,9 +128,18 @@ def normality_along_axes(spark, sf_dir):
     return Q.gaussianity(rows, np.eye(64)).select("n", r("statistic").alias("statistic"))
 
 
-@query("H10")
+DIRECTIONS = Q.projections(64, 16, 0)
+DIRECTION_ROWS = ", ".join(f"({d + 1}, {k}, CAST({DIRECTIONS[d, k]!r} AS DOUBLE))".replace("np.float64(", "").replace(") AS", " AS") for d in range(64) for k in range(16))
+
+
+@query(
+    "H10",
+    f"""WITH {LONG_CTE}, w(d, k, w) AS (VALUES {DIRECTION_ROWS}), t(t) AS (VALUES {POINTS}),
+pr AS (SELECT sample_id, k, sum(x * w) AS p FROM long JOIN w USING (d) GROUP BY ALL), e AS (SELECT k, t, avg(cos(p * t)) AS c, avg(sin(p * t)) AS s FROM pr CROSS JOIN t GROUP BY k, t)
+SELECT (SELECT count(*) FROM samples) AS n, {R('avg(power(c - exp(-t * t / 2), 2) + s * s)')} AS statistic FROM e""",
+)
 def normality_along_random_directions(spark, sf_dir):
-    return Q.gaussianity(samples(spark, sf_dir), Q.projections(64, 16, 0)).select("n", r("statistic").alias("statistic"))
+    return Q.gaussianity(samples(spark, sf_dir), DIRECTIONS).select("n", r("statistic").alias("statistic"))
 
 
 @query(
@@ -150,32 +159,55 @@ def _pairs(spark, sf_dir):
     return pairs.join(a, F.col("sample_id") == F.col("_a")).join(b, F.col("partner_id") == F.col("_b"))
 
 
+PAIRS_SQL = f"""{SAMPLES_CTE}, k AS (SELECT sample_id, label, embedding, row_number() OVER (PARTITION BY label ORDER BY md5(sample_id || ':21'), sample_id) AS rn,
+  count(*) OVER (PARTITION BY label) AS n, CAST(CAST('0x' || substr(md5(sample_id || ':22'), 1, 8) AS UBIGINT) AS BIGINT) AS h FROM samples),
+w AS (SELECT *, (rn - 1 + CASE WHEN n > 1 THEN 1 + h % greatest(n - 1, 1) ELSE 0 END) % n + 1 AS want FROM k),
+pp AS (SELECT w.sample_id, w.embedding AS a, p.embedding AS b FROM w JOIN k p ON p.label = w.label AND p.rn = w.want)"""
+
+
 @query(
     "H12 D11",
-    f"""WITH {SAMPLES_CTE}, k AS (SELECT sample_id, label, embedding, row_number() OVER (PARTITION BY label ORDER BY md5(sample_id || ':21'), sample_id) AS rn,
-  count(*) OVER (PARTITION BY label) AS n, CAST(CAST('0x' || substr(md5(sample_id || ':22'), 1, 8) AS UBIGINT) AS BIGINT) AS h FROM samples),
-w AS (SELECT *, (rn - 1 + CASE WHEN n > 1 THEN 1 + h % greatest(n - 1, 1) ELSE 0 END) % n + 1 AS want FROM k)
-SELECT {R('avg(power(list_distance(w.embedding, p.embedding), 2) / 64)')} AS alignment, count(*) AS n_pairs FROM w JOIN k p ON p.label = w.label AND p.rn = w.want""",
+    f"WITH {PAIRS_SQL} SELECT {R('avg(power(list_distance(a, b), 2) / 64)')} AS alignment, count(*) AS n_pairs FROM pp",
 )
 def positive_pair_alignment(spark, sf_dir):
     return Q.alignment(_pairs(spark, sf_dir), "a", "b").select(r("alignment").alias("alignment"), "n_pairs")
 
 
-@query("H15")
+@query(
+    "H15",
+    f"""WITH {PAIRS_SQL}, l AS (SELECT sample_id, unnest(a) AS x, unnest(range(1, 65)) AS d FROM pp),
+c AS (SELECT p.d AS i, q.d AS j, covar_samp(p.x, q.x) AS v FROM l p JOIN l q ON p.sample_id = q.sample_id GROUP BY p.d, q.d),
+e AS (SELECT sqrt(sum(power(v - CASE WHEN i = j THEN 1 ELSE 0 END, 2))) AS epsilon FROM c),
+g AS (SELECT greatest(0, avg(power(list_distance(a, b), 2)) - 2 * 0.01 * 64) AS delta FROM pp), t AS (SELECT delta, epsilon, delta / (2 * 0.99 * 0.01) AS gap_term FROM e CROSS JOIN g)
+SELECT {R('delta')} AS delta, {R('epsilon')} AS epsilon, {R('gap_term', 4)} AS gap_term, {R('gap_term + power(epsilon + gap_term, 2)', 2)} AS bound FROM t""",
+)
 def recovery_error_bound(spark, sf_dir):
-    out = Q.recovery_bound(_pairs(spark, sf_dir), 0.5)
-    return out.select(r("delta").alias("delta"), r("epsilon").alias("epsilon"), r("gap_term").alias("gap_term"), r("bound").alias("bound"))
+    out = Q.recovery_bound(_pairs(spark, sf_dir), 0.99)
+    return out.select(r("delta").alias("delta"), r("epsilon").alias("epsilon"), r("gap_term", 4).alias("gap_term"), r("bound", 2).alias("bound"))
+
 
+def supcon_sql(label: str, name: str) -> str:
+    """CTEs ending in one row ``name(statistic, n)`` (check SQL)."""
+    return f"""{name}s AS (SELECT sample_id, {label} AS c, list_transform(embedding, lambda x: x / sqrt(list_dot_product(embedding, embedding))) AS u,
+  CAST(CAST('0x' || substr(md5(sample_id || ':0'), 1, 8) AS UBIGINT) AS BIGINT) % (SELECT CAST(ceil(count(*) / 256) AS BIGINT) FROM samples) AS blk FROM samples),
+{name}p AS (SELECT a.sample_id, a.c = b.c AS same, exp(greatest(-10, least(10, list_dot_product(a.u, b.u) / 0.07))) AS e FROM {name}s a JOIN {name}s b ON a.blk = b.blk AND a.sample_id <> b.sample_id),
+{name}r AS (SELECT sample_id, ln(sum(e)) - ln(sum(e) FILTER (same)) AS v FROM {name}p GROUP BY sample_id HAVING count(*) FILTER (same) > 0),
+{name} AS (SELECT avg(v) AS statistic, count(*) AS n FROM {name}r)"""
 
-@query("H13")
+
+@query("H13", f"WITH {SAMPLES_CTE}, {supcon_sql('label', 'fine')} SELECT {R('statistic')} AS statistic, n FROM fine")
 def contrastive_statistic(spark, sf_dir):
-    return Q.supcon_stat(samples(spark, sf_dir), "label", "sample_id", 256).select(r("statistic", 5).alias("statistic"), "n")
+    return Q.supcon_stat(samples(spark, sf_dir), "label", "sample_id", 256).select(r("statistic").alias("statistic"), "n")
 
 
-@query("H14 C2")
+@query(
+    "H14 C2",
+    f"""WITH {SAMPLES_CTE}, {supcon_sql('label', 'fine')}, {supcon_sql('CAST(label >= 8 AS INT)', 'coarse')}
+SELECT {R('fine.statistic')} AS fine, {R('coarse.statistic')} AS coarse, {R('0.7 * fine.statistic + 0.3 * coarse.statistic')} AS statistic FROM fine CROSS JOIN coarse""",
+)
 def hierarchical_contrastive_statistic(spark, sf_dir):
     out = Q.hier_supcon_stat(samples(spark, sf_dir), "label", 8, "sample_id", block=256)
-    return out.select(r("fine", 5).alias("fine"), r("coarse", 5).alias("coarse"), r("statistic", 5).alias("statistic"))
+    return out.select(r("fine").alias("fine"), r("coarse").alias("coarse"), r("statistic").alias("statistic"))
 
 
 @query("H16")

@@ -31,13 +31,17 @@ def build_session(cores: int | str = "*", app: str = "spectraloom", **conf: str)
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach, named by the cluster in ``spark.checkpoint.dir``.
 
-    Only a session that names none (a test on one machine) gets a temporary folder.
+    A session that names none gets a temporary folder in local mode (tests), a folder in the shared
+    warehouse otherwise.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not named:
-        named = tempfile.mkdtemp(prefix="spectraloom-")
+        if spark.sparkContext.master.startswith("local"):
+            named = tempfile.mkdtemp(prefix="spectraloom-")
+        else:
+            named = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_spectraloom"
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
 
