@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from spectraloom.functions.rows import attach_row
 from spectraloom.functions.arrow import normalize_rows, spread, to_matrix
 from spectraloom.operators.moments import covariance_of, merge_sums, scatter
 from spectraloom.operators.prefix import exact_percentiles
@@ -63,8 +64,7 @@ def fit_gaussian(
             F.col("n").alias("_gn"), F.col("s").alias("_gs"), F.col("xx").alias("_gxx")
         )
         small = F.col("n") < min_members
-        # one pooled row, never more: broadcast is bounded by construction
-        sums = sums.join(F.broadcast(pooled), on=F.lit(True), how="left").select(
+        sums = attach_row(sums, pooled).select(
             *by,
             F.col("n"),
             F.when(small, F.col("_gn")).otherwise(F.col("n")).alias("fit_n"),
@@ -82,7 +82,7 @@ def fit_without_each(df: DataFrame, family: str, col: str = "embedding", reg: fl
     total = merge_sums(sums, [], ["s", "xx"], ["n"]).select(
         F.col("n").alias("_gn"), F.col("s").alias("_gs"), F.col("xx").alias("_gxx")
     )
-    rest = sums.join(F.broadcast(total), on=F.lit(True), how="left").select(  # one total row
+    rest = attach_row(sums, total).select(
         family, (F.col("_gn") - F.col("n")).alias("n"),
         F.zip_with("_gs", "s", lambda a, b: a - b).alias("s"), F.zip_with("_gxx", "xx", lambda a, b: a - b).alias("xx"),
     )

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from spectraloom.functions.rows import attach_row
 from spectraloom.functions import vectors as V
 from spectraloom.functions.arrow import unit_rows, to_list_array, to_matrix
 from spectraloom.operators.moments import centroid
@@ -147,11 +148,7 @@ def centroid_analysis(
     train = means.where(F.col(split) == "train").agg(F.collect_list("centroid").alias("_train"))
     background = centroid(df.where(F.col(split) == "negatives"), col).select(F.col("centroid").alias("_bg"))
     # one row each; the train row holds one vector per type
-    held = (
-        means.where(F.col(split) == "holdout")
-        .join(F.broadcast(train), on=F.lit(True), how="left")
-        .join(F.broadcast(background), on=F.lit(True), how="left")
-    )
+    held = attach_row(attach_row(means.where(F.col(split) == "holdout"), train), background)
 
     def dist(a, b):
         if metric == "cosine":
@@ -169,7 +166,7 @@ def centroid_analysis(
 def centroid_cosine(a: DataFrame, b: DataFrame, col: str = "embedding") -> DataFrame:
     left = centroid(a, col).select(F.col("centroid").alias("_a"))
     right = centroid(b, col).select(F.col("centroid").alias("_b"))
-    return left.join(F.broadcast(right), on=F.lit(True), how="left").select(  # one row each
+    return attach_row(left, right).select(
         V.cosine("_a", "_b", eps=0.0).alias("cosine")
     )
 

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from spectraloom.functions.rows import attach_row
 from spectraloom.functions import vectors as V
 from spectraloom.functions.arrow import to_list_array, to_matrix, unit_rows
 from spectraloom.operators.moments import merge_sums, scatter, vector_totals
@@ -308,7 +309,7 @@ def recovery_bound(pairs: DataFrame, rho: float, a: str = "a", b: str = "b") ->
                 yield pd.DataFrame({"epsilon": [np.linalg.norm(cov - np.eye(d))], "d": [d]})
 
     eps = sums.mapInPandas(cov_gap, "epsilon double, d long")
-    joined = eps.join(F.broadcast(gap), F.lit(True), "left")  # one row each
+    joined = attach_row(eps, gap)
     delta = F.greatest(F.lit(0.0), F.col("alignment") * F.col("d") - F.lit(2.0 * (1 - rho)) * F.col("d"))
     term = F.col("delta") / F.lit(2.0 * rho * (1 - rho))
     return joined.withColumn("delta", delta).withColumn("gap_term", term).withColumn(
@@ -361,7 +362,7 @@ def hier_supcon_stat(df: DataFrame, label: str, n_types: int, id_col: str, fine:
     coarse = df.withColumn("_super", (F.col(label) >= n_types).cast("int"))
     a = supcon_stat(df, label, id_col, block, n_rows=n).select(F.col("statistic").alias("fine"))
     b = supcon_stat(coarse, "_super", id_col, block, n_rows=n).select(F.col("statistic").alias("coarse"))
-    return a.join(F.broadcast(b), F.lit(True), "left").withColumn(  # one row each
+    return attach_row(a, b).withColumn(
         "statistic", F.lit(fine) * F.col("fine") + F.lit(1 - fine) * F.col("coarse")
     )
 

@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spectraloom.functions.rows import attach_row
 from spectraloom.operators.prefix import (
     exact_percentiles,
     ordered_rank,
@@ -136,7 +137,7 @@ def roc_curve(df: DataFrame, y: str, s: str, by=None, drop_collinear: bool = Fal
         renamed = totals.select(*[F.col(k).alias(f"_k_{k}") for k in keys], "n_pos", "n_neg")
         curve = curve.join(renamed, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys])
     else:
-        curve = curve.join(F.broadcast(totals), on=F.lit(True), how="left")  # one totals row
+        curve = attach_row(curve, totals)
     tp, fp = F.col("_tp") + F.col("p"), F.col("_fp") + F.col("n")
     curve = curve.select(
         *keys,
@@ -264,7 +265,7 @@ def ecdf(df: DataFrame, col: str, by=None) -> DataFrame:
         renamed = totals.select(*[F.col(k).alias(f"_k_{k}") for k in keys], "total")
         running = running.join(renamed, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys])
     else:
-        running = running.join(F.broadcast(totals), on=F.lit(True), how="left")  # one totals row
+        running = attach_row(running, totals)
     return running.select(*keys, F.col("v").alias(col), ((F.col("before") + F.col("n")) / F.col("total")).alias("cdf"))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spectraloom.functions.rows import attach_row
 from spectraloom.functions import vectors as V
 from spectraloom.operators import ranking as K
 from spectraloom.operators.prefix import exact_percentiles
@@ -62,8 +63,9 @@ def score_summary(df: DataFrame, col: str, by=None) -> DataFrame:
         F.element_at("pct", 2).alias("median"),
         F.element_at("pct", 3).alias("p95"),
     )
-    match = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys] or F.lit(True)
-    joined = plain.join(tails, match) if keys else plain.join(F.broadcast(tails), match, "left")
+    if not keys:
+        return attach_row(plain, tails)
+    joined = plain.join(tails, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys])
     return joined.drop(*[f"_k_{k}" for k in keys])
 
 

@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spectraloom.functions.rows import attach_row
 from spectraloom.functions import vectors as V
 from spectraloom.functions.arrow import to_matrix
 from spectraloom.operators.prefix import ordered_rank
@@ -295,7 +296,7 @@ def standardize_vectors(df: DataFrame, col: str, by: str = "dataset", ddof: int
             V.as_doubles(col),
             lambda x: F.when(F.col("_std") < F.lit(eps), x - F.col("_mean")).otherwise((x - F.col("_mean")) / F.col("_std")),
         )
-    joined = df.join(F.broadcast(stats), F.lit(True), "left")
+    joined = attach_row(df, stats)
     return joined.withColumn(out or col, scaled).drop("_mean", "_std")
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from spectraloom.functions.rows import attach_row
 from spectraloom.functions import vectors as V
 from spectraloom.operators import gaussian as G
 from spectraloom.operators import moments as M
@@ -24,8 +25,7 @@ def cosine_scores(spark, sf_dir):
     """
     all_rows = samples(spark, sf_dir)
     center = M.centroid(train_of(all_rows)).select("centroid")
-    # the centre is one row, so the broadcast is bounded
-    joined = all_rows.join(F.broadcast(center), on=F.lit(True), how="left")
+    joined = attach_row(all_rows, center)
     scored = joined.select(
         "sample_id", "label", "split", "recording_id",
         r(F.lit(1.0) - V.cosine("embedding", "centroid")).alias("dist"),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from spectraloom.functions.rows import attach_row
 from spectraloom.functions import vectors as V
 from spectraloom.operators import continual as C
 from spectraloom.operators import matching as M
@@ -414,7 +415,7 @@ def replay_consistency(spark, sf_dir):
 
     rows = samples(spark, sf_dir)
     center = centroid(rows.where("split = 'train'")).select("centroid")
-    scored = rows.join(F.broadcast(center), F.lit(True), "left").select(  # one row
+    scored = attach_row(rows, center).select(
         (F.col("sample_id") - F.col("sample_id") % 5).alias("original_id"), "sample_id", "embedding",
         F.sqrt(V.sq_dist("embedding", "centroid")).alias("dist"),
     )
