@@ -96,11 +96,12 @@ def with_running(
 
 
 def ordered_rank(
-    df: DataFrame, by: list[str], range_cols: list[str], order: list[Column], out: str = "rank", start: int = 1
+    df: DataFrame, by: list[str], range_cols: list[str], order: list[Column], out: str = "rank", start: int = 1,
+    whole: bool = False,
 ) -> DataFrame:
     """Dense row number within ``by``, safe for a group that holds most of the rows."""
     counted = df.withColumn("_one", F.lit(1).cast("long"))
-    ranked = with_running(counted, by, range_cols, order, {"_before": "_one"})
+    ranked = with_running(counted, by, range_cols, order, {"_before": "_one"}, whole=whole)
     return ranked.withColumn(out, F.col("_before") + F.lit(start)).drop("_one", "_before")
 
 

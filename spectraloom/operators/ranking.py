@@ -87,7 +87,8 @@ def auc_by_type(pos: DataFrame, neg: DataFrame, s: str, type_col: str) -> DataFr
         n.select(F.lit(None).cast(p.schema["type"].dataType).alias("type"), "s", F.lit(0).cast("long").alias("p"), "n")
     )
     merged = materialize(merged, "type-counts")
-    ranged = merged.withColumn("_r", range_of("s", range_cuts(merged, "s")))
+    cuts = range_cuts(merged, "s")
+    ranged = merged.withColumn("_r", range_of("s", cuts))
     upto = Window.partitionBy("_r").orderBy("s").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     same = Window.partitionBy("_r", "s")
     local = ranged.select(
@@ -103,10 +104,13 @@ def auc_by_type(pos: DataFrame, neg: DataFrame, s: str, type_col: str) -> DataFr
         F.coalesce(F.sum("_n").over(by_range), F.lit(0)).alias("_off"),
     )
     n_neg = merged.agg(F.sum("n"))
+    typed = part.where("type IS NOT NULL")
+    if cuts:
+        typed = typed.join(F.broadcast(offsets), F.col("_r") == F.col("_or"))
+    else:
+        typed = typed.withColumn("_off", F.lit(0))
     done = (
-        part.where("type IS NOT NULL")
-        .join(F.broadcast(offsets), F.col("_r") == F.col("_or"))
-        .groupBy("type")
+        typed.groupBy("type")
         .agg(F.sum(F.col("u") + F.col("p") * F.col("_off")).alias("u"), F.sum("p").alias("n_pos"))
         .withColumn("n_neg", n_neg.scalar())
     )
@@ -128,7 +132,7 @@ def roc_curve(df: DataFrame, y: str, s: str, by=None, drop_collinear: bool = Fal
     cuts = range_cuts(counts, "s")
     ranged = counts.withColumn("_r", range_of("s", cuts))
     if drop_collinear:
-        ranged = _mark_corners(ranged, keys)
+        ranged = _mark_corners(ranged, keys, whole=not cuts)
     curve = with_running(
         ranged, keys, ["_r"], [F.col("s").desc()], {"_tp": "p", "_fp": "n"}, descending=True, whole=not cuts
     )
@@ -153,10 +157,17 @@ def roc_curve(df: DataFrame, y: str, s: str, by=None, drop_collinear: bool = Fal
     return curve.where("_corner").drop("_corner") if drop_collinear else curve
 
 
-def _mark_corners(ranged: DataFrame, keys: list[str]) -> DataFrame:
+def _mark_corners(ranged: DataFrame, keys: list[str], whole: bool) -> DataFrame:
     """A point stays when the next lower score adds another (p, n) step than it did itself."""
-    w = Window.partitionBy(*keys, "_r").orderBy(F.col("s").desc())
     step = F.struct("p", "n")
+
+    def is_corner(following: Column) -> Column:
+        return following.isNull() | (following["p"] != F.col("p")) | (following["n"] != F.col("n"))
+
+    if whole:
+        after = F.lead(step).over(Window.partitionBy(*keys).orderBy(F.col("s").desc()))
+        return ranged.withColumn("_next", after).withColumn("_corner", is_corner(F.col("_next"))).drop("_next")
+    w = Window.partitionBy(*keys, "_r").orderBy(F.col("s").desc())
     firsts = ranged.groupBy(*keys, "_r").agg(F.max_by(step, "s").alias("_first"))
     wr = Window.partitionBy(*keys).orderBy(F.col("_r").desc())
     nexts = firsts.select(
@@ -164,8 +175,7 @@ def _mark_corners(ranged: DataFrame, keys: list[str]) -> DataFrame:
     )
     match = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys] + [F.col("_r") == F.col("_kr")]
     joined = ranged.withColumn("_next", F.lead(step).over(w)).join(nexts, match)
-    following = F.coalesce(F.col("_next"), F.col("_nf"))
-    corner = following.isNull() | (following["p"] != F.col("p")) | (following["n"] != F.col("n"))
+    corner = is_corner(F.coalesce(F.col("_next"), F.col("_nf")))
     return joined.withColumn("_corner", corner).drop("_next", "_nf", "_kr", *[f"_k_{k}" for k in keys])
 
 

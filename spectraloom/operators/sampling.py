@@ -186,7 +186,7 @@ def position_of(df: DataFrame, id_col: str, out: str = "position") -> DataFrame:
     """Position in id order over the whole table, by id ranges."""
     cuts = range_cuts(df.select(F.col(id_col).cast("double").alias("v")), "v")
     ranged = df.withColumn("_r", range_of(id_col, cuts))
-    return ordered_rank(ranged, [], ["_r"], [F.col(id_col)], out).drop("_r")
+    return ordered_rank(ranged, [], ["_r"], [F.col(id_col)], out, whole=not cuts).drop("_r")
 
 
 def pair_by_position(a: DataFrame, b: DataFrame, a_id: str, b_id: str) -> DataFrame:
