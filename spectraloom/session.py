@@ -31,17 +31,18 @@ def build_session(cores: int | str = "*", app: str = "spectraloom", **conf: str)
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach, named by the cluster in ``spark.checkpoint.dir``.
 
-    A session that names none gets a temporary folder in local mode (tests), a folder in the shared
-    warehouse otherwise.
+    Only a session whose executors are threads of this process may go without one: it gets a temporary
+    folder (tests). Anywhere else a missing setting is an error, since executors would write to their own
+    disks and the read-back would be incomplete.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not named:
-        if spark.sparkContext.master.startswith("local"):
-            named = tempfile.mkdtemp(prefix="spectraloom-")
-        else:
-            named = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_spectraloom"
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        named = tempfile.mkdtemp(prefix="spectraloom-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
 
