@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spectraloom.llm import chat_format, exact_dedup, sharding, url_filters
+from spectraloom.llm import chat_format, exact_dedup, language_id, packing, sharding, simhash, url_filters
 from spectraloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -92,3 +92,25 @@ URL_RULES = [
 def op8_url_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A verdict for every page's URL."""
     return url_filters.judge(table(spark, sf_dir, "pages"), url_filters.fit(spark), URL_RULES)
+
+
+@query()
+def op2_gray_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and near-duplicate component of every document."""
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", simhash.hex_code(F.col("code")).alias("fingerprint"), "component_id")
+
+
+@query()
+def op3_conflict_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's pieces in sequences of 8,192 bytes."""
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op4_viterbi_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every document."""
+    docs = table(spark, sf_dir, "documents")
+    model = language_id.fit(docs)
+    found = language_id.identify(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", language_id.held_out().alias("held_out"), "language.lang_pred", "language.score", "language.n_spans")
