@@ -22,7 +22,11 @@ from pyspark.sql import functions as F
 from spectraloom.llm.common import ASCII_SPACE, fresh_dir, stored, whole
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+STATE_CONF = {
+    "spark.sql.streaming.stateStore.providerClass": ROCKSDB,
+    # without preallocation: each partition's store would else reserve some MB of disk whatever it holds
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 
 
 def normalised(text: str | Column) -> Column:
@@ -60,8 +64,9 @@ def fold_stream(rows_path: str, spark, state_dir: str) -> DataFrame:
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{changed}/batch={batch_id}")
 
-    before = spark.conf.get(PROVIDER, None)
-    spark.conf.set(PROVIDER, ROCKSDB)
+    before = {k: spark.conf.get(k, None) for k in STATE_CONF}
+    for k, v in STATE_CONF.items():
+        spark.conf.set(k, v)
     try:
         run = (
             groups.writeStream.outputMode("update").foreachBatch(write)
@@ -69,10 +74,8 @@ def fold_stream(rows_path: str, spark, state_dir: str) -> DataFrame:
         )
         run.awaitTermination()
     finally:
-        if before is None:
-            spark.conf.unset(PROVIDER)
-        else:
-            spark.conf.set(PROVIDER, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     out = "digest string, group_size long, best struct<n_points:long,inv_id:long,inv_row:long,locator:string>, batch int"
     seen = spark.read.schema(out).option("basePath", changed).parquet(f"{changed}/batch=*")
     latest = F.max(F.struct("batch", "group_size", "best")).alias("s")
