@@ -14,14 +14,11 @@ alike; an empty table gives an empty result; of other columns none is read.
 
 from __future__ import annotations
 
-from bisect import bisect_right
-from collections import defaultdict
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
 import regex
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,9 +36,32 @@ WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 HELD_FOLDS = 5
 
 
-def script_of(word: str) -> int:
-    at = bisect_right(SCRIPT_STARTS, (ord(word[0]), "~"))
-    return SCRIPTS.index(SCRIPT_STARTS[max(at - 1, 0)][1])
+STARTS = np.array([start for start, _ in SCRIPT_STARTS])
+SCRIPT_NUMBER = np.array([SCRIPTS.index(name) for _, name in SCRIPT_STARTS])
+
+
+def scripts_of(points: np.ndarray) -> np.ndarray:
+    """Script number of each code point."""
+    return SCRIPT_NUMBER[np.maximum(np.searchsorted(STARTS, points, side="right") - 1, 0)]
+
+
+def gram_buckets(words: list[str], sizes: tuple[int, ...], buckets: int):
+    """Per n-gram size: the hash bucket of every n-gram of the marked words, and how many each word has; also first letters."""
+    codes = np.frombuffer("".join([f"^{w}$" for w in words]).encode("utf-32-le", "surrogatepass"), np.uint32)
+    length = np.fromiter(map(len, words), np.int64, len(words)) + 2
+    start = np.cumsum(length) - length
+    word = np.repeat(np.arange(len(words)), length)
+    value = codes.astype(np.uint64)
+    rolled = np.zeros(len(codes) + 1, np.uint64)
+    out = []
+    for n in range(1, max(sizes) + 1):
+        rolled = rolled[: len(codes) - n + 1] * np.uint64(0x100000001B3) + value[n - 1 :]
+        if n not in sizes or not len(rolled):
+            continue
+        own = rolled[word[: len(rolled)] == word[n - 1 :]] + np.uint64(n)
+        own = (own ^ (own >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        out.append(((own >> np.uint64(20)) & np.uint64(buckets - 1), np.maximum(length - n + 1, 0)))
+    return out, codes[start + 1]
 
 
 def held_out(doc_id: str | Column = "doc_id") -> Column:
@@ -58,25 +78,27 @@ class Model:
     sizes: tuple[int, ...] = (1, 2, 3, 4)
     penalty: float = 8.0
     _cache: dict = field(default_factory=dict, repr=False)
-    _rows: list = field(default_factory=list, repr=False)
+    _rows: np.ndarray | list = field(default_factory=list, repr=False)
+    _new: list = field(default_factory=list, repr=False)
 
     def __getstate__(self):
-        return self.__dict__ | {"_cache": {}, "_rows": []}
-
-    def score_word(self, word: str) -> np.ndarray:
-        """Log-likelihood per language against the best one; languages of other scripts are out."""
-        marked = f"^{word}$"
-        digest, mask = xxhash.xxh64_intdigest, len(self.logp) - 1
-        grams = [digest(marked[i : i + n].encode("utf-8", "surrogatepass"), 42) & mask for n in self.sizes for i in range(len(marked) - n + 1)]
-        total = self.logp[grams].sum(axis=0)
-        writes = self.writes[script_of(word)]
-        if writes.any():
-            total = np.where(writes, total, total.min() - 50.0)
-        return np.maximum(total - total.max(), -30.0)
+        return self.__dict__ | {"_cache": {}, "_rows": [], "_new": []}
+
+    def score_words(self, words: list[str]) -> np.ndarray:
+        """Log-likelihood per word and language against the word's best one; languages of other scripts are out."""
+        total = np.zeros((len(words), len(self.langs)))
+        grams, firsts = gram_buckets(words, self.sizes, len(self.logp))
+        for bucket, count in grams:
+            running = np.vstack([np.zeros((1, len(self.langs))), np.cumsum(self.logp[bucket.astype(np.int64)], axis=0, dtype=np.float64)])
+            ends = np.cumsum(count)
+            total += running[ends] - running[ends - count]
+        writes = self.writes[scripts_of(firsts)]
+        total = np.where(writes | ~writes.any(axis=1, keepdims=True), total, total.min(axis=1, keepdims=True) - 50.0)
+        return np.maximum(total - total.max(axis=1, keepdims=True), -30.0).astype(np.float32)
 
     def indices(self, words: list[str]) -> np.ndarray:
-        """Row of every word in ``table``; new words are scored once."""
-        known = self._cache
+        """Row of every word in ``_rows``; new words get the next numbers and are scored by ``table``."""
+        known, new = self._cache, self._new
         out = [known.get(w, -1) for w in words]
         if -1 in out:
             for i, at in enumerate(out):
@@ -84,20 +106,24 @@ class Model:
                     w = words[i]
                     at = known.get(w, -1)
                     if at < 0:
-                        at = known[w] = len(self._rows)
-                        self._rows.append(self.score_word(w))
+                        at = known[w] = len(known)
+                        new.append(w)
                     out[i] = at
         return np.array(out, np.int64)
 
+    def table(self) -> np.ndarray:
+        if self._new:
+            self._rows = np.concatenate([self._rows, self.score_words(self._new)]) if len(self._rows) else self.score_words(self._new)
+            self._new = []
+        return self._rows
+
     def forget(self, above: int = 200_000) -> None:
-        if len(self._rows) > above:
-            self._cache.clear()
-            self._rows.clear()
-
-    def label(self, texts: list[list[str]]) -> list[np.ndarray]:
-        """Language number of every word of every text (each with at least one word)."""
-        at = [self.indices(words) for words in texts]
-        table = np.array(self._rows, np.float32)
+        if len(self._cache) > above:
+            self._cache, self._rows, self._new = {}, [], []
+
+    def label(self, at: list[np.ndarray]) -> list[np.ndarray]:
+        """Language number of every word of every text, given the words' rows (at least one each)."""
+        table = self.table()
         order = sorted(range(len(at)), key=lambda i: len(at[i]))
         out: list[np.ndarray] = [np.empty(0, np.int64)] * len(at)
         begin = 0
@@ -137,16 +163,17 @@ class Model:
         self.forget()
         found = [WORD.findall(t.lower()) if t else [] for t in texts]
         some = [i for i, words in enumerate(found) if words and self.langs]
-        paths = self.label([found[i] for i in some]) if some else []
-        table = np.array(self._rows, np.float32)
+        rows = [self.indices(found[i]) for i in some]
+        paths = self.label(rows) if some else []
+        table = self.table()
         lang, score, spans = ["und"] * len(texts), np.zeros(len(texts)), np.zeros(len(texts), np.int32)
         pieces: list[list[dict]] = [[] for _ in texts]
-        for i, path in zip(some, paths):
+        for i, row, path in zip(some, rows, paths):
             words = found[i]
             letters = np.fromiter(map(len, words), np.float64, len(words))
             share = np.bincount(path, letters, len(self.langs)) / letters.sum()
             top = int(share.argmax())
-            mean = table[self.indices(words)].mean(axis=0)
+            mean = table[row[path == top]].mean(axis=0)
             lead = mean[top] - max(np.delete(mean, top), default=mean[top] - 30.0)
             lang[i] = self.langs[top]
             score[i] = share[top] * (1 - np.exp(-max(float(lead), 0.0)))
@@ -180,28 +207,28 @@ def fit(
         F.col(lang_col).alias("lang"), F.explode(F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(r"(\p{L}[\p{L}\p{M}]*)"), 1)).alias("word"),
     )
     words = words.groupBy("lang", "word").count()
-    marked = F.concat(F.lit("^"), F.col("word"), F.lit("$"))
-
-    def of_size(n: int) -> Column:
-        last = F.char_length(marked) - (n - 1)
-        each = F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.substring(marked, i, F.lit(n)))
-        return F.when(last >= 1, each).otherwise(F.array().cast("array<string>"))
-
-    grams = words.select("lang", "count", F.explode(F.concat(*[of_size(n) for n in sizes])).alias("gram"))
-    bucket = F.xxhash64("gram").bitwiseAND(buckets - 1)
-    totals = grams.groupBy("lang", bucket.alias("bucket")).agg(F.sum("count").alias("n")).toPandas()  # buckets x languages
-    at = {lang: i for i, lang in enumerate(langs)}
-    seen = np.full((buckets, len(langs)), smoothing)
-    seen[totals["bucket"].to_numpy(np.int64), totals["lang"].map(at).to_numpy(np.int64)] += totals["n"].to_numpy(np.float64)
-    letters = words.groupBy("lang", F.ascii(F.substring("word", 1, 1)).alias("point")).agg(F.sum("count").alias("n")).collect()
-    by_script: dict = defaultdict(float)
-    for r in letters:  # first letters per language
-        by_script[script_of(chr(r["point"])), at[r["lang"]]] += r["n"]
-    writes = np.zeros((len(SCRIPTS), len(langs)))
-    for (script, lang), n in by_script.items():
-        writes[script, lang] = n
-    writes = writes / np.maximum(writes.sum(axis=0), 1) > 0.001
-    return Model(langs, np.log(seen / seen.sum(axis=0)).astype(np.float32), writes, sizes, penalty)
+    number = {lang: i for i, lang in enumerate(langs)}
+    n_langs, n_scripts = len(langs), len(SCRIPTS)
+
+    def count(batches):
+        """n-gram and first-letter counts of this task, keyed by place in the two tables."""
+        seen = np.zeros(buckets * n_langs + n_scripts * n_langs)
+        for frame in batches:
+            for lang, part in frame.groupby("lang"):
+                grams, firsts = gram_buckets(part["word"].tolist(), sizes, buckets)
+                weight, at = part["count"].to_numpy(np.float64), number[lang]
+                for bucket, n in grams:
+                    seen[: buckets * n_langs] += np.bincount(bucket.astype(np.int64) * n_langs + at, np.repeat(weight, n), buckets * n_langs)
+                seen[buckets * n_langs :] += np.bincount(scripts_of(firsts) * n_langs + at, weight, n_scripts * n_langs)
+        some = np.flatnonzero(seen)
+        yield pd.DataFrame({"place": some, "n": seen[some]})
+
+    totals = words.mapInPandas(count, "place long, n double").groupBy("place").agg(F.sum("n").alias("n")).toPandas()  # (buckets + scripts) x languages
+    seen = np.zeros((buckets + n_scripts, n_langs))
+    seen.reshape(-1)[totals["place"].to_numpy(np.int64)] = totals["n"].to_numpy(np.float64)
+    letters, grams = seen[buckets:], seen[:buckets] + smoothing
+    writes = letters / np.maximum(letters.sum(axis=0), 1) > 0.001
+    return Model(langs, np.log(grams / grams.sum(axis=0)).astype(np.float32), writes, sizes, penalty)
 
 
 def identify(docs: DataFrame, model: Model, text_col: str = "text", with_spans: bool = False) -> DataFrame:
