@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spectraloom.llm import chat_format, exact_dedup, language_id, packing, sharding, simhash, url_filters
+from spectraloom.llm import chat_format, decontamination, exact_dedup, language_id, packing, sharding, simhash, url_filters
 from spectraloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -114,3 +114,10 @@ def op4_viterbi_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = language_id.fit(docs)
     found = language_id.identify(docs.select("doc_id", "text"), model)
     return found.select("doc_id", language_id.held_out().alias("held_out"), "language.lang_pred", "language.score", "language.n_spans")
+
+
+@query()
+def op10_qgram_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold benchmark passages."""
+    found = decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", F.lit(True).alias("contaminated"), "n_items", F.array_join("item_ids", ",").alias("item_ids"), "edits")
