@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spectraloom.llm import chat_format, decontamination, exact_dedup, language_id, packing, sharding, simhash, url_filters
+from spectraloom.llm import chat_format, decontamination, exact_dedup, language_id, packing, sharding, simhash, suffix_dedup, url_filters
 from spectraloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -121,3 +121,9 @@ def op10_qgram_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold benchmark passages."""
     found = decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", F.lit(True).alias("contaminated"), "n_items", F.array_join("item_ids", ",").alias("item_ids"), "edits")
+
+
+@query()
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without byte strings of 200 that also start elsewhere."""
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), length=200)
