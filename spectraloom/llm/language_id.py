@@ -34,6 +34,7 @@ SCRIPT_STARTS = [
 SCRIPTS = sorted({name for _, name in SCRIPT_STARTS})
 WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 HELD_FOLDS = 5
+CHARS_AT_ONCE = 1_000_000
 
 
 STARTS = np.array([start for start, _ in SCRIPT_STARTS])
@@ -160,6 +161,13 @@ class Model:
         return [path[: len(row), j] for j, row in enumerate(at)]
 
     def predict(self, texts: list[str | None], with_spans: bool = False) -> pd.DataFrame:
+        """Results for many texts, about CHARS_AT_ONCE characters at a time."""
+        size = np.cumsum([len(t) if t else 0 for t in texts]) // CHARS_AT_ONCE
+        cuts = [0, *(np.flatnonzero(np.diff(size)) + 1).tolist(), len(texts)]
+        parts = [self._predict(texts[a:b], with_spans) for a, b in zip(cuts, cuts[1:]) if b > a]
+        return pd.concat(parts, ignore_index=True) if parts else self._predict([], with_spans)
+
+    def _predict(self, texts: list[str | None], with_spans: bool) -> pd.DataFrame:
         self.forget()
         found = [WORD.findall(t.lower()) if t else [] for t in texts]
         some = [i for i, words in enumerate(found) if words and self.langs]
