@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spectraloom.llm import chat_format, decontamination, exact_dedup, language_id, packing, sharding, simhash, suffix_dedup, url_filters
+from spectraloom.llm import chat_format, decontamination, exact_dedup, html_extraction, language_id, packing, sharding, simhash, suffix_dedup, url_filters
 from spectraloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -127,3 +127,10 @@ def op10_qgram_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of every document without byte strings of 200 that also start elsewhere."""
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), length=200)
+
+
+@query()
+def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    weights = html_extraction.fit(html_extraction.labelled_pages())
+    return html_extraction.main_text(table(spark, sf_dir, "pages"), weights)
