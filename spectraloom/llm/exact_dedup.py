@@ -146,7 +146,9 @@ def _result(marked: DataFrame) -> DataFrame:
 
 def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that stay, with all their columns."""
-    kept = duplicate_groups(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"))
-    keyed = docs.withColumn("_own", sha256(normalised(text_col)))
-    match = (F.col("_own") == F.col("_digest")) & F.col(id_col).cast("long").eqNullSafe(F.col("_id"))
-    return keyed.join(kept, match, "left_semi").dropDuplicates([id_col, "_own"]).drop("_own")
+    groups = duplicate_groups(docs, id_col, text_col)
+    kept = groups.where("kept").select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"))
+    own = sha256(normalised(text_col))
+    out = docs.join(kept, (own == F.col("_digest")) & F.col(id_col).cast("long").eqNullSafe(F.col("_id")), "left_semi")
+    repeats = not groups.groupBy("doc_id", "digest").count().where("count > 1").isEmpty()
+    return out.withColumn("_own", own).dropDuplicates([id_col, "_own"]).drop("_own") if repeats else out

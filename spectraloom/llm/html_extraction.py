@@ -70,7 +70,7 @@ def labelled_pages() -> list[str]:
         body = f"{head}<p>{words(30)} <a>{words(3)}</a> <b>{words(2)}</b><br>{words(4)}</p><h2>{words(4)}</h2><div><p>{words(25)}</p></div><ul><li>{words(5)}</li><li>{words(5)}</li></ul>"
         body += f"<blockquote>{words(9)}</blockquote><table><tr><td>{words(2)}</td></tr></table><pre>{words(6)}</pre><section><p>{words(14)}</p></section><span>{words(2)}</span>"
         inside = f"<!--out-->{around}<!--/out-->" + (f"<!--out--><footer>{words(8)}</footer><!--/out-->" if main == "article" else "")
-        marked = f"<!--main--><{main}{attr(main_class)}>{body}{inside if k % 2 else ''}<p>{words(20)}</p></{main}><!--/main-->"
+        marked = f"<!--main--><{main}{attr(main_class)}>{body}{inside if k % 3 != 1 else ''}<p>{words(20)}</p></{main}><!--/main-->"
         pages.append(f"<html><head><title>{words(6)}</title></head><body>{around}<div>{words(1)}{marked}</div>{around}</body></html>")
     return pages
 

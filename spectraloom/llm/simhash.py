@@ -235,9 +235,12 @@ def hex_code(code: Column) -> Column:
 
 
 def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = 3) -> DataFrame:
-    """One document of each group, the one with the least id, with all its columns. Documents without an id all stay."""
+    """One document of each group, the one with the least id, with all its columns.
+
+    Documents without an id all stay; documents that share an id stay or go together.
+    """
     named = docs.where(F.col(id_col).isNotNull())
     groups = near_duplicates(named, id_col, text_col, max_bits)
     first = groups.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_id"))
-    kept = named.join(first, F.col(id_col).cast("long") == F.col("_id"), "left_semi").dropDuplicates([id_col])
+    kept = named.join(first, F.col(id_col).cast("long") == F.col("_id"), "left_semi")
     return kept.unionByName(docs.where(F.col(id_col).isNull()))
