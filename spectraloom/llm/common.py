@@ -53,3 +53,11 @@ def ascii_lower(col: Column) -> Column:
 
 def byte_length(col: Column) -> Column:
     return F.octet_length(col).cast("long")
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, with underscores put before it until no column has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spectraloom.llm.common import ASCII_SPACE, fresh_dir, stored, whole
+from spectraloom.llm.common import ASCII_SPACE, fresh_dir, stored, unused, whole
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 STATE_CONF = {
@@ -147,8 +147,9 @@ def _result(marked: DataFrame) -> DataFrame:
 def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that stay, with all their columns."""
     groups = duplicate_groups(docs, id_col, text_col)
-    kept = groups.where("kept").select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"))
-    own = sha256(normalised(text_col))
-    out = docs.join(kept, (own == F.col("_digest")) & F.col(id_col).cast("long").eqNullSafe(F.col("_id")), "left_semi")
+    kept = groups.where("kept").select(F.col("doc_id").alias(unused(docs, "kept_id")), F.col("digest").alias(unused(docs, "kept_digest")))
+    own, (kept_id, kept_digest) = sha256(normalised(text_col)), kept.columns
+    out = docs.join(kept, (own == F.col(kept_digest)) & F.col(id_col).cast("long").eqNullSafe(F.col(kept_id)), "left_semi")
     repeats = not groups.groupBy("doc_id", "digest").count().where("count > 1").isEmpty()
-    return out.withColumn("_own", own).dropDuplicates([id_col, "_own"]).drop("_own") if repeats else out
+    name = unused(docs, "own")
+    return out.withColumn(name, own).dropDuplicates([id_col, name]).drop(name) if repeats else out

@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spectraloom.llm.common import whole
+from spectraloom.llm.common import unused
 
 #: First code points of the letter ranges of scripts (Unicode blocks), in order.
 SCRIPT_STARTS = [
@@ -239,8 +239,8 @@ def fit(
     return Model(langs, np.log(grams / grams.sum(axis=0)).astype(np.float32), writes, sizes, penalty)
 
 
-def identify(docs: DataFrame, model: Model, text_col: str = "text", with_spans: bool = False) -> DataFrame:
-    """Adds struct column ``language``: lang_pred, score, n_spans and, if asked for, spans (character ranges of the lower-cased text)."""
+def identify(docs: DataFrame, model: Model, text_col: str = "text", with_spans: bool = False, out: str = "language") -> DataFrame:
+    """Adds struct column ``out``: lang_pred, score, n_spans and, if asked for, spans (character ranges of the lower-cased text)."""
     shape = "lang_pred string, score double, n_spans int"
     if with_spans:
         shape += ", spans array<struct<start:int,end:int,lang:string>>"
@@ -249,9 +249,10 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", with_spans:
     def run(texts: pd.Series) -> pd.DataFrame:
         return model.predict(texts.tolist(), with_spans)
 
-    return docs.withColumn("language", run(F.col(text_col)))
+    return docs.withColumn(out, run(F.col(text_col)))
 
 
 def keep_identified(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """The documents whose language could be told."""
-    return identify(docs, model, text_col).where(F.col("language.lang_pred") != "und").drop("language")
+    out = unused(docs, "language")
+    return identify(docs, model, text_col, out=out).where(F.col(out)["lang_pred"] != "und").drop(out)

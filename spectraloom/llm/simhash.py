@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spectraloom.llm.common import stored, whole
+from spectraloom.llm.common import stored, unused, whole
 from spectraloom.llm.components import connected_components
 
 FANOUT = 8
@@ -241,6 +241,6 @@ def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """
     named = docs.where(F.col(id_col).isNotNull())
     groups = near_duplicates(named, id_col, text_col, max_bits)
-    first = groups.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_id"))
-    kept = named.join(first, F.col(id_col).cast("long") == F.col("_id"), "left_semi")
+    first = groups.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias(unused(docs, "first_id")))
+    kept = named.join(first, F.col(id_col).cast("long") == F.col(first.columns[0]), "left_semi")
     return kept.unionByName(docs.where(F.col(id_col).isNull()))
