@@ -57,7 +57,8 @@ class Bins:
             number, residual, bitmap = int(self.number[at]), int(self.residual[at]), self.bitmap[at] | own
             self._cut(at)
         offset = self.capacity - residual
-        to = int(np.searchsorted(self.residual, residual - size, side="right"))
+        low, high = (int(np.searchsorted(self.residual, residual - size, side=side)) for side in ("left", "right"))
+        to = low + int(np.searchsorted(self.number[low:high], number))
         self.residual = np.insert(self.residual, to, residual - size)
         self.number = np.insert(self.number, to, number)
         self.bitmap = np.insert(self.bitmap, to, bitmap, axis=0)
