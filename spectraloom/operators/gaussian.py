@@ -149,9 +149,11 @@ def mahalanobis(
     df: DataFrame, models: DataFrame, col: str = "embedding", out: str = "dist", l2: bool = True
 ) -> DataFrame:
     """Distance to the single model in ``models`` (one row of D + D*D doubles, shipped with the UDF)."""
-    model = _collect(models.limit(1), None)
+    model = _collect(models.limit(2), None)
     if not model:
         raise ValueError("no model: the fit had no rows")
+    if len(model) > 1:
+        raise ValueError("more than one model: use mahalanobis_nearest")
     return df.withColumn(out, _distance_udf(model[0], l2)(F.col(col).cast("array<double>")))
 
 

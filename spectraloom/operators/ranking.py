@@ -79,12 +79,11 @@ def auc(df: DataFrame, y: str, s: str, by=None) -> DataFrame:
 def auc_by_type(pos: DataFrame, neg: DataFrame, s: str, type_col: str) -> DataFrame:
     """AUC of each type's positives against one shared negative set, which is never replicated."""
     score = F.col(s).cast("double") + F.lit(0.0)
-    p = pos.where(F.col(s).isNotNull()).groupBy(F.col(type_col).alias("type"), score.alias("s")).agg(
-        F.count(F.lit(1)).alias("p")
-    )
-    n = neg.where(F.col(s).isNotNull()).groupBy(score.alias("s")).agg(F.count(F.lit(1)).alias("n"))
-    merged = p.withColumn("n", F.lit(0).cast("long")).unionByName(
-        n.select(F.lit(None).cast(p.schema["type"].dataType).alias("type"), "s", F.lit(0).cast("long").alias("p"), "n")
+    known = F.col(s).isNotNull() & ~F.isnan(F.col(s).cast("double"))
+    p = pos.where(known).groupBy(F.col(type_col).alias("type"), score.alias("s")).agg(F.count(F.lit(1)).alias("p"))
+    n = neg.where(known).groupBy(score.alias("s")).agg(F.count(F.lit(1)).alias("n"))
+    merged = p.withColumns({"n": F.lit(0).cast("long"), "typed": F.lit(True)}).unionByName(
+        n.select(F.lit(None).cast(p.schema["type"].dataType).alias("type"), "s", F.lit(0).cast("long").alias("p"), "n", F.lit(False).alias("typed"))
     )
     merged = materialize(merged, "type-counts")
     cuts = range_cuts(merged, "s")
@@ -92,9 +91,9 @@ def auc_by_type(pos: DataFrame, neg: DataFrame, s: str, type_col: str) -> DataFr
     upto = Window.partitionBy("_r").orderBy("s").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     same = Window.partitionBy("_r", "s")
     local = ranged.select(
-        "_r", "type", "p", "n", (F.sum("n").over(upto) - F.sum("n").over(same) / 2).alias("_below")
+        "_r", "typed", "type", "p", "n", (F.sum("n").over(upto) - F.sum("n").over(same) / 2).alias("_below")
     )
-    part = local.groupBy("_r", "type").agg(
+    part = local.groupBy("_r", "typed", "type").agg(
         F.sum(F.col("p") * F.col("_below")).alias("u"), F.sum("p").alias("p"), F.sum("n").alias("n")
     )
     by_range = Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
@@ -104,7 +103,7 @@ def auc_by_type(pos: DataFrame, neg: DataFrame, s: str, type_col: str) -> DataFr
         F.coalesce(F.sum("_n").over(by_range), F.lit(0)).alias("_off"),
     )
     n_neg = merged.agg(F.sum("n"))
-    typed = part.where("type IS NOT NULL")
+    typed = part.where("typed")
     if cuts:
         typed = typed.join(F.broadcast(offsets), F.col("_r") == F.col("_or"))
     else:

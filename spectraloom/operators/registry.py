@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spectraloom.operators.moments import centroid
@@ -17,6 +17,11 @@ REGISTRY_SCHEMA = (
 UTC_FORMAT = "yyyy-MM-dd'T'HH:mm:ss'Z'"
 
 
+def latest(version: str = "enrolled_at") -> Column:
+    """Order key for the newest row: a row without a time is oldest, equal times go by the row's content."""
+    return F.struct(F.col(version), F.col("drone_type"), F.col("fingerprint"))
+
+
 def upsert(current: DataFrame, new: DataFrame, key: str = "serial", version: str = "enrolled_at") -> DataFrame:
     """Newest row per key; on equal versions the new side wins. An aggregate, so hot keys combine early."""
     cols = current.columns
@@ -40,7 +45,7 @@ def enroll_from_packets(packets: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.lit(None).cast("timestamp").alias("last_seen"),
         F.lit(0).cast("long").alias("detection_count"),
     )
-    newest = F.max_by(F.struct(*[c for c in REGISTRY_COLUMNS if c != "serial"]), "enrolled_at")
+    newest = F.max_by(F.struct(*[c for c in REGISTRY_COLUMNS if c != "serial"]), latest("enrolled_at"))
     rows = accepted.groupBy("serial").agg(newest.alias("_r")).select("serial", "_r.*")
     return rows, checked.where("reason IS NOT NULL")
 

@@ -1,11 +1,14 @@
 """Seeded sampling, splitting and pairing by hash order: the same rows at any partitioning.
 
 The order is md5(id ':' seed); its first characters cut the order into even ranges, so ranks inside
-a group with most of the rows are still computed by many tasks.
+a group with most of the rows are still computed by many tasks. The number of characters follows the
+number of rows, and only ids are ranked: wide columns are joined back afterwards.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -13,7 +16,8 @@ from pyspark.sql import functions as F
 
 from spectraloom.operators.prefix import ordered_rank, range_cuts, range_of
 
-TOP_LIMIT = 100_000
+ROWS_PER_RANGE = 200_000
+WEIGHT_PART = 500.0  # exp(-500) is still a normal number
 
 
 def _c(col: Column | str) -> Column:
@@ -29,18 +33,32 @@ def hash_int(col: Column | str, seed: int) -> Column:
     return F.conv(F.substring(hash_key(col, seed), 1, 8), 16, 10).cast("long")
 
 
-def hash_rank(df: DataFrame, by: list[str], id_col: str, seed: int, out: str) -> DataFrame:
-    keyed = df.withColumn("_h", hash_key(id_col, seed)).withColumn("_hr", F.substring("_h", 1, 2))
+def hash_rank(df: DataFrame, by: list[str], id_col: str, seed: int, out: str, rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
+    """Rank of each row in hash order within ``by``. Pass ids and keys only; join wide columns back."""
+    digits = max(1, math.ceil(math.log(max(1, df.count() / rows_per_range), 16)))
+    keyed = df.withColumn("_h", hash_key(id_col, seed)).withColumn("_hr", F.substring("_h", 1, digits))
     return ordered_rank(keyed, by, ["_hr"], [F.col("_h"), F.col(id_col)], out).drop("_h", "_hr")
 
 
 def sample_n(df: DataFrame, n: int, id_col: str, seed: int) -> DataFrame:
-    """Exactly n rows (or all). Ids are ranked alone; wide columns are joined back afterwards."""
+    """Exactly n rows (or all).
+
+    Counts per hash prefix say which prefixes are in as a whole; only the ids of the one prefix the
+    limit falls into are ordered.
+    """
     ids = df.select(F.col(id_col).alias("_id"))
-    if n <= TOP_LIMIT:
-        picked = ids.orderBy(hash_key("_id", seed), "_id").limit(n)
-    else:
-        picked = hash_rank(ids, [], "_id", seed, "_rank").where(F.col("_rank") <= n).select("_id")
+    prefix = F.substring(hash_key("_id", seed), 1, 4)
+    counts = sorted((r[0] or "", r[1]) for r in ids.groupBy(prefix).count().collect())  # at most 65,536 rows
+    taken, border = 0, None
+    for value, size in counts:
+        if taken + size > n:
+            border = value
+            break
+        taken += size
+    if border is None:
+        return df
+    last = ids.where(prefix == border).orderBy(hash_key("_id", seed), "_id").limit(n - taken)
+    picked = ids.where(prefix < border).unionAll(last)
     return df.join(picked, F.col(id_col) == F.col("_id"), "left_semi")
 
 
@@ -149,13 +167,17 @@ def class_weights(df: DataFrame, label: str) -> DataFrame:
 
 
 def weighted_resample(df: DataFrame, id_col: str, weight: Column | str, seed: int) -> DataFrame:
-    """Resample with replacement: each row appears Poisson(weight) times, drawn from its own hash."""
+    """Resample with replacement: each row appears Poisson(weight) times, drawn from its own hash.
+
+    A large weight is the sum of equal parts of at most WEIGHT_PART with a draw each. A weight that is null,
+    NaN or not positive gives no copies; an infinite one is an error.
+    """
 
-    @F.arrow_udf("int")
-    def copies(u: pa.Array, w: pa.Array) -> pa.Array:
+    @F.arrow_udf("long")
+    def poisson(u: pa.Array, w: pa.Array) -> pa.Array:
         p = u.to_numpy(zero_copy_only=False).astype(float)
         lam = w.to_numpy(zero_copy_only=False).astype(float)
-        term, k = np.exp(-lam), np.zeros(len(p), dtype=np.int32)
+        term, k = np.exp(-lam), np.zeros(len(p), dtype=np.int64)
         total = term.copy()
         while True:
             open_ = (p > total) & (term > 1e-300) & (k < lam + 60 * np.sqrt(lam + 1))
@@ -165,9 +187,17 @@ def weighted_resample(df: DataFrame, id_col: str, weight: Column | str, seed: in
             term = np.where(open_, term * lam / np.maximum(k, 1), term)
             total = np.where(open_, total + term, total)
 
-    u = (hash_int(id_col, seed) + F.lit(0.5)) / F.lit(float(1 << 32))
-    counted = df.withColumn("_k", copies(u, _c(weight).cast("double"))).where("_k > 0")
-    return counted.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_k")))).drop("_k")
+    w = _c(weight).cast("double")
+    checked = F.when(w == float("inf"), F.raise_error(F.lit("infinite weight"))).when((w > 0) & ~F.isnan(w), w)
+    weighted = df.withColumn("_w", checked.cast("double")).where("_w IS NOT NULL")
+    draws = weighted.select(F.col(id_col).alias("_id"), "_w").distinct().withColumn("_parts", F.ceil(F.col("_w") / WEIGHT_PART))
+    draws = draws.withColumn("_part", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_parts"))))
+    key = F.when(F.col("_part") == 1, F.col("_id").cast("string")).otherwise(F.concat_ws("/", F.col("_id").cast("string"), "_part"))
+    u = (hash_int(key, seed) + F.lit(0.5)) / F.lit(float(1 << 32))
+    drawn = draws.select("_id", "_w", poisson(u, F.col("_w") / F.col("_parts")).alias("_k"))
+    totals = drawn.groupBy("_id", "_w").agg(F.sum("_k").alias("_k")).where("_k > 0").select("_id", F.col("_w").alias("_w2"), "_k")
+    counted = weighted.join(totals, (F.col(id_col) == F.col("_id")) & (F.col("_w") == F.col("_w2"))).drop("_id", "_w", "_w2")
+    return counted.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_k")))).drop("_k")
 
 
 def positive_pairs(df: DataFrame, by: str, id_col: str, seed: int) -> DataFrame:
@@ -205,5 +235,6 @@ def kfold(df: DataFrame, id_col: str, k: int, seed: int, stratify: str | None =
     """Fold number per row; stratified folds deal the hash order of every class round robin."""
     if stratify is None:
         return df.withColumn("fold", (hash_int(id_col, seed) % k).cast("int"))
-    ranked = hash_rank(df, [stratify], id_col, seed, "_rank")
-    return ranked.withColumn("fold", ((F.col("_rank") - 1) % k).cast("int")).drop("_rank")
+    ranked = hash_rank(df.select(id_col, stratify), [stratify], id_col, seed, "_rank")
+    folds = ranked.select(F.col(id_col).alias("_id"), ((F.col("_rank") - 1) % k).cast("int").alias("fold"))
+    return df.join(folds, F.col(id_col) == F.col("_id")).drop("_id")

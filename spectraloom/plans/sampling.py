@@ -134,9 +134,16 @@ def balance_weights_of_labels(spark, sf_dir):
     return S.balance_weights(table(spark, sf_dir, "labels"), "quality").select("quality", "n", r("weight").alias("weight"))
 
 
-@query("D9")
+@query(
+    "D9",
+    f"""WITH c AS (SELECT quality, count(*) AS n FROM labels GROUP BY quality),
+  w AS (SELECT quality, CASE WHEN n = min(n) OVER () THEN CAST(max(n) OVER () AS DOUBLE) / min(n) OVER () ELSE 1.0 END AS lam FROM c),
+  cdf AS (SELECT quality, sum(exp(k * ln(lam) - lam - lgamma(k + 1))) OVER (PARTITION BY quality ORDER BY k) AS p FROM w, range(0, 400) AS t(k)),
+  u AS (SELECT doc_id, quality, ({md5i('doc_id', 8)} + 0.5) / 4294967296.0 AS u FROM labels)
+SELECT quality, count(*) AS n FROM u JOIN cdf USING (quality) WHERE p < u GROUP BY quality""",
+)
 def weighted_resample_of_labels(spark, sf_dir):
-    """Minority labels oversampled to parity; the tests check expectation and repeatability."""
+    """Minority labels oversampled to parity: a row's copies are the Poisson count at its own hash."""
     rows = table(spark, sf_dir, "labels")
     weights = S.balance_weights(rows, "quality").select(F.col("quality").alias("_q"), "weight")
     weighted = rows.join(F.broadcast(weights), F.col("quality") == F.col("_q")).drop("_q")  # one row per class

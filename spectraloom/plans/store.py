@@ -49,12 +49,12 @@ def store_report(spark, sf_dir):
     return C.store_stats(samples(spark, sf_dir), "split", "label")
 
 
-@query("A16", "SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn, pos) - 1 AS sample_no, word FROM (SELECT conv_id, turn, unnest(w) AS word, unnest(range(0, len(w))) AS pos FROM (SELECT conv_id, turn, string_split(role || ' ' || length(text), ' ') AS w FROM conversations))")
+@query("A16", "SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn, pos) - 1 AS sample_no, word FROM (SELECT conv_id, turn, unnest(w) AS word, unnest(range(0, len(w))) AS pos FROM (SELECT conv_id, turn, string_split(role || ' ' || text, ' ') AS w FROM conversations))")
 def explode_nested_samples(spark, sf_dir):
     """Nested samples under text keys: one row each, keys compared as numbers."""
     groups = table(spark, sf_dir, "conversations").select(
         "conv_id", "turn", F.col("turn").cast("string").alias("key"),
-        F.split(F.concat_ws(" ", "role", F.char_length("text").cast("string")), " ").alias("items"),
+        F.split(F.concat_ws(" ", "role", "text"), " ").alias("items"),
     )
     out = C.explode_samples(groups.select("conv_id", "key", "items"), "conv_id", "key", "items")
     return out.select("conv_id", F.col("key").cast("long").alias("turn"), F.col("sample_no").cast("long").alias("sample_no"), F.col("sample").alias("word"))

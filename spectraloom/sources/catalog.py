@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from xml.etree import ElementTree
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +12,7 @@ from spectraloom.operators.prefix import ordered_rank
 
 RANK_BLOCK = 65_536
 KEY_BLOCK = 1024
+NAME_HEAD, NAME_TAIL = 8, 4
 
 
 def parse_path(col: Column | str, part: int = 3) -> tuple[Column, Column]:
@@ -79,35 +83,49 @@ def build_manifest(df: DataFrame, split: str = "split", kind: str = "drone_type"
 
 
 def explode_samples(groups: DataFrame, group: str, key: str, item: str) -> DataFrame:
-    """One row per stored sample in numeric-aware key order, numbered inside its group.
+    """One row per stored sample in key order, numbered inside its group.
 
-    ``item`` is an array of samples under one key. Numbers come from key ranges, so a group that
-    holds most of the samples is still many tasks.
+    A group whose keys are all numbers is ordered by number, any other by text. ``item`` is an array of
+    samples under one key. Numbers come from key ranges (a block of numbers, or of names with the same beginning),
+    so a group that holds most of the samples is still many tasks.
     """
-    rows = groups.select(group, key, F.posexplode(item).alias("pos", "sample")).withColumn(
-        "_num", F.expr(f"try_cast({key} AS bigint)")
-    )
-    ranged = rows.withColumn("_named", F.col("_num").isNull().cast("int")).withColumn(
-        "_blk", F.coalesce(F.floor(F.col("_num") / KEY_BLOCK), F.lit(0))
+    number = F.expr(f"try_cast({key} AS bigint)")
+    kinds = groups.groupBy(F.col(group).alias("_g")).agg(F.bool_and(number.isNotNull()).alias("_numeric"))
+    rows = groups.select(group, key, F.posexplode(item).alias("pos", "sample"), number.alias("_num"))
+    known = rows.join(kinds, F.col(group).eqNullSafe(F.col("_g"))).drop("_g").withColumn("_num", F.when(F.col("_numeric"), F.col("_num")))
+    name = F.when(~F.col("_numeric"), F.col(key).cast("string"))
+    # names often end in a running number: what stands before its last NAME_TAIL characters is the block
+    head = F.substring(name, F.lit(1), F.greatest(F.char_length(name) - NAME_TAIL, F.lit(0)))
+    wide = F.char_length(name)
+    same = known.groupBy(F.col(group).alias("_g2")).agg(F.min(wide).alias("_least"), F.max(wide).alias("_most"))
+    ranged = known.join(same, F.col(group).eqNullSafe(F.col("_g2"))).withColumn("_blk", F.floor(F.col("_num") / KEY_BLOCK)).withColumn(
+        "_head", F.when(F.col("_least") == F.col("_most"), head).otherwise(F.substring(name, 1, NAME_HEAD))
     )
-    order = [F.col("_named"), F.col("_num"), F.col(key), F.col("pos")]
-    return ordered_rank(ranged, [group], ["_named", "_blk"], order, "sample_no", start=0).drop("_num", "_named", "_blk")
+    order = [F.col("_num"), F.col(key), F.col("pos")]
+    return ordered_rank(ranged, [group], ["_blk", "_head"], order, "sample_no", start=0).drop("_num", "_numeric", "_blk", "_head", "_g2", "_least", "_most")
 
 
-def read_xml_meta(spark: SparkSession, path: str, row_tag: str | None = None) -> DataFrame:
-    """Companion XML files as long rows (path, key, text, number); ``number`` where the text is one.
+def read_xml_meta(spark: SparkSession, path: str) -> DataFrame:
+    """Companion XML files as long rows (path, pos, key, text, number); ``number`` where the text is one.
 
-    Keys are the children of the root element, whatever their names; the root's name is taken from
-    the first file unless given.
+    Keys are the children of each file's root element, whatever their names and the root's; a repeated child
+    gives a row each time, an empty one a row without text, and a nested one the text before its first child.
+    Files that are not XML give no rows.
     """
-    if row_tag is None:
-        head = spark.read.text(path, wholetext=True).select(F.regexp_extract("value", r"<([A-Za-z_][\w.-]*)", 1)).first()
-        row_tag = head[0]
-    wide = spark.read.format("xml").option("rowTag", row_tag).option("inferSchema", "false").load(path)
-    keys = [f.name for f in wide.schema.fields if f.dataType.simpleString() == "string"]
-    rows = wide.select(F.col("_metadata.file_path").alias("path"), *[F.col(f"`{k}`") for k in keys])
-    long = rows.unpivot(["path"], keys, "key", "text").where("text IS NOT NULL")
-    return long.withColumn("number", F.expr("try_cast(text AS double)"))
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
+
+    def children(batches):
+        for batch in batches:
+            rows = []
+            for name, body in zip(batch["path"], batch["value"]):
+                try:
+                    root = ElementTree.fromstring(body)
+                except ElementTree.ParseError:
+                    continue
+                rows += [(name, pos, child.tag, child.text) for pos, child in enumerate(root)]
+            yield pd.DataFrame(rows, columns=["path", "pos", "key", "text"])
+
+    return files.mapInPandas(children, "path string, pos long, key string, text string").withColumn("number", F.expr("try_cast(text AS double)"))
 
 
 def read_metrics(spark: SparkSession, path: str) -> DataFrame:

@@ -6,6 +6,8 @@ write one folder per micro-batch, so a batch that is run again replaces its own
 
 from __future__ import annotations
 
+import re
+import time
 import uuid
 from collections.abc import Callable
 
@@ -14,11 +16,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StreamingQueryListener
 
 from spectraloom.functions.arrow import to_matrix, unit_rows
 from spectraloom.operators.gaussian import mahalanobis
 from spectraloom.operators.matching import MATCH_THRESHOLD, authenticate
-from spectraloom.operators.registry import touch, upsert
+from spectraloom.operators.registry import latest, touch, upsert
 from spectraloom.session import shared_dir
 
 DEDUP_BLOCK = 8_192
@@ -220,15 +223,49 @@ def read_folder(spark: SparkSession, folder: str, latest_only: bool = False) ->
     """All micro-batches, or the last one (complete mode, where it holds the whole result)."""
     out = spark.read.parquet(f"{folder}/out")
     if latest_only:
-        out = out.where(F.col("batch") == out.agg(F.max("batch")).first()[0])
+        files = out.inputFiles()  # an empty batch has a file too
+        out = out.where(F.col("batch") == max(int(re.search(r"/batch=(\d+)/", f)[1]) for f in files))
     return out.drop("batch")
 
 
-def dropped_late_rows(query) -> int:
-    """Rows the watermark discarded, from the query's own progress reports."""
-    return sum(
-        op.get("numRowsDroppedByWatermark", 0) for progress in query.recentProgress for op in progress["stateOperators"]
-    )
+class LateRows(StreamingQueryListener):
+    """Adds up the rows that watermarks discard, over all progress reports of each query run."""
+
+    def __init__(self):
+        self.dropped: dict[str, int] = {}
+        self.ended: set[str] = set()
+
+    def onQueryStarted(self, event) -> None:
+        self.dropped.setdefault(str(event.runId), 0)
+
+    def onQueryProgress(self, event) -> None:
+        late = sum(op.numRowsDroppedByWatermark for op in event.progress.stateOperators)
+        run = str(event.progress.runId)
+        self.dropped[run] = self.dropped.get(run, 0) + late
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        self.ended.add(str(event.runId))
+
+    def of(self, query, wait: float = 30.0) -> int:
+        """Rows dropped by a query run that has ended."""
+        until = time.monotonic() + wait
+        while str(query.runId) not in self.ended and time.monotonic() < until:
+            time.sleep(0.05)
+        return self.dropped.get(str(query.runId), 0)
+
+
+def count_late_rows(spark: SparkSession, run: Callable[[], tuple]) -> tuple:
+    """Call ``run`` (which returns (folder, query)) and add the number of late rows that its query dropped."""
+    listener = LateRows()
+    spark.streams.addListener(listener)
+    try:
+        folder, query = run()
+        return folder, query, listener.of(query)
+    finally:
+        spark.streams.removeListener(listener)
 
 
 def authenticate_stream(packets: DataFrame, load_registry: Callable[[], DataFrame], thr: float = MATCH_THRESHOLD, folder: str | None = None):
@@ -251,9 +288,8 @@ class VersionedTable:
         return self.spark.read.schema(self.schema).parquet(f"{self.folder}/version={batch_id}")
 
     def newest(self) -> DataFrame:
-        every = self.spark.read.option("basePath", self.folder).parquet(f"{self.folder}/version=*")
-        last = every.agg(F.max("version")).first()[0]
-        return self.version(last) if last is not None else self.version(-1)
+        files = self.spark.read.schema(self.schema).parquet(f"{self.folder}/version=*").inputFiles()  # an empty version has a file too
+        return self.version(max((int(re.search(r"/version=(-?\d+)/", f)[1]) for f in files), default=-1))
 
     def sink(self, step: Callable[[DataFrame, DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:
         def write(batch: DataFrame, batch_id: int) -> None:
@@ -283,7 +319,7 @@ def upsert_registry(table: VersionedTable, enrolments: DataFrame):
 
     def step(registry: DataFrame, batch: DataFrame) -> DataFrame:
         cols = [c for c in registry.columns if c != "serial"]
-        newest = batch.groupBy("serial").agg(F.max_by(F.struct(*cols), "enrolled_at").alias("_r")).select("serial", "_r.*")
+        newest = batch.groupBy("serial").agg(F.max_by(F.struct(*cols), latest("enrolled_at")).alias("_r")).select("serial", "_r.*")
         return upsert(registry, newest)
 
     return table.run(enrolments, step)

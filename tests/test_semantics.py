@@ -46,12 +46,13 @@ def test_seeded_draws_ignore_partitioning(rows, name):
     assert one == seven and one
 
 
-def test_large_sample_uses_ranks(rows, monkeypatch):
+def test_sample_is_the_start_of_the_hash_order(rows):
     _, df = rows
     want = sorted(r[0] for r in S.sample_n(df, 40, "sample_id", 1).select("sample_id").collect())
-    monkeypatch.setattr(S, "TOP_LIMIT", 5)
-    got = sorted(r[0] for r in S.sample_n(df, 40, "sample_id", 1).select("sample_id").collect())
-    assert got == want and len(got) == 40
+    for size in (5, 10_000):
+        ranked = S.hash_rank(df.select("sample_id"), [], "sample_id", 1, "rank", rows_per_range=size)
+        got = sorted(r[0] for r in ranked.where("rank <= 40").select("sample_id").collect())
+        assert got == want and len(got) == 40
 
 
 def test_positions_over_ranges(rows, monkeypatch):
@@ -79,6 +80,17 @@ def test_weighted_resample_expectation(rows):
     assert abs((got.label == 0).sum() - 50) < 30 and abs((got.label != 0).sum() - 800) < 120
 
 
+def test_weighted_resample_at_any_weight(spark):
+    df = spark.range(40).selectExpr("id", "element_at(array(1D, 700D, 5000D, 0D, -1D, double('nan'), NULL), int(id % 7) + 1) AS w")
+    got = S.weighted_resample(df, "id", "w", 5).groupBy("id").count().toPandas().set_index("id")["count"]
+    for k, w in ((1, 700), (2, 5000)):
+        each = [got.get(i, 0) for i in range(40) if i % 7 == k]
+        assert all(abs(n - w) < 6 * w**0.5 for n in each) and len(set(each)) > 1
+    assert not any(i % 7 > 2 for i in got.index)
+    with pytest.raises(Exception, match="infinite weight"):
+        S.weighted_resample(spark.range(1).selectExpr("id", "double('inf') AS w"), "id", "w", 5).collect()
+
+
 def test_group_split_has_no_leak(rows):
     _, df = rows
     split = S.group_split(df, "rec", 0.6, 2)
@@ -212,3 +224,42 @@ def test_manifest_lists_a_type_once(rows):
     _, df = rows
     got = build_manifest(df.withColumn("split", F.lit("train")), "split", "label").first()
     assert got["types"] == [0, 1, 2, 3, 4]
+
+
+def test_packets_without_time_keep_their_content(spark):
+    from spectraloom.operators import registry
+
+    rows = [("a", "x", [1.0], None), ("b", "x", [1.0], None), ("b", "y", [2.0], "2024-01-01"), ("c", "p", [1.0], "2024-01-01"), ("c", "q", [0.5], "2024-01-01")]
+    packets = spark.createDataFrame(rows, "serial string, drone_type string, fingerprint array<double>, t string").withColumn("ts", F.to_timestamp("t"))
+    for parts in (1, 4):
+        got, _ = registry.enroll_from_packets(packets.repartition(parts))
+        assert sorted((r["serial"], r["drone_type"], list(r["fingerprint"])) for r in got.collect()) == [("a", "x", [1.0]), ("b", "y", [2.0]), ("c", "q", [0.5])]
+
+
+def test_auc_by_type_with_null_type_and_nan(spark):
+    from spectraloom.operators import ranking
+
+    pos = spark.createDataFrame([("a", 0.9), ("a", float("nan")), (None, 0.2), (None, 0.8)], "t string, s double")
+    neg = spark.createDataFrame([(0.5,), (float("nan"),), (None,), (0.1,)], "s double")
+    got = {r["t"]: (r["auc"], r["n_pos"], r["n_neg"]) for r in ranking.auc_by_type(pos, neg, "s", "t").collect()}
+    assert got == {"a": (1.0, 1, 2), None: (0.75, 2, 2)}
+
+
+def test_several_models_are_an_error(spark):
+    from spectraloom.operators import gaussian
+
+    df = spark.createDataFrame([(i, i % 2, [float(i), float(i * i % 7)]) for i in range(20)], "id int, k int, embedding array<double>")
+    models = gaussian.fit_gaussian(df, by=["k"])
+    with pytest.raises(ValueError, match="more than one model"):
+        gaussian.mahalanobis(df, models)
+
+
+def test_keys_are_numbers_only_when_all_are(spark):
+    from spectraloom.sources import catalog
+
+    rows = [("n", k, [k]) for k in ("10", "9", "2000")] + [("m", k, [k]) for k in ("10", "9", "x1", "sample_000010", "sample_000002")]
+    groups = spark.createDataFrame(rows, "g string, key string, item array<string>")
+    got = {}
+    for r in catalog.explode_samples(groups, "g", "key", "item").orderBy("sample_no").collect():
+        got.setdefault(r["g"], []).append(r["key"])
+    assert got == {"n": ["9", "10", "2000"], "m": sorted(["10", "9", "x1", "sample_000010", "sample_000002"])}

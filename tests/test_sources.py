@@ -92,12 +92,21 @@ def test_xml_metadata(spark, tmp_path):
     (tmp_path / "m.xml").write_text("<rec><Fs>1e6</Fs><Drone>mavic</Drone><Gain>30</Gain></rec>")
     (tmp_path / "n.xml").write_text("<rec><Fs>2000000</Fs><State>hover</State></rec>")
     rows = C.read_xml_meta(spark, str(tmp_path)).toPandas()
-    got = {(p.rsplit("/", 1)[1], k): (t, n) for p, k, t, n in rows.itertuples(index=False)}
+    got = {(p.rsplit("/", 1)[1], k): (t, n) for p, _, k, t, n in rows.itertuples(index=False)}
     assert got[("m.xml", "Fs")][1] == 1e6 and got[("n.xml", "Fs")][1] == 2e6
     assert got[("m.xml", "Drone")][0] == "mavic" and np.isnan(got[("m.xml", "Drone")][1])
     assert ("n.xml", "Gain") not in got
 
 
+def test_xml_of_any_shape(spark, tmp_path):
+    (tmp_path / "a.xml").write_text("<one><x>1</x><x>2</x><empty/><deep>t<y>3</y></deep></one>")
+    (tmp_path / "b.xml").write_text("<?xml version='1.0'?><other><x>z</x></other>")
+    (tmp_path / "c.xml").write_text("not xml")
+    rows = C.read_xml_meta(spark, str(tmp_path)).collect()
+    got = sorted((r["path"].rsplit("/", 1)[1], r["pos"], r["key"], r["text"], r["number"]) for r in rows)
+    assert got == [("a.xml", 0, "x", "1", 1.0), ("a.xml", 1, "x", "2", 2.0), ("a.xml", 2, "empty", None, None), ("a.xml", 3, "deep", "t", None), ("b.xml", 0, "x", "z", None)]
+
+
 def test_metric_files(spark, tmp_path):
     (tmp_path / "a.json").write_text(json.dumps({"auc": 0.9}, indent=1))
     (tmp_path / "b.json").write_text("{broken")
