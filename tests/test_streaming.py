@@ -108,7 +108,8 @@ def test_late_rows_of_more_reports_than_spark_keeps(spark, folder):
         _, query, dropped = J.count_late_rows(spark, lambda: J.run_to_folder(rate, "append", "late"))
     finally:
         spark.conf.unset("spark.sql.streaming.numRecentProgressUpdates")
-    assert len(query.recentProgress) <= 2 and dropped == 5
+    assert len(query.recentProgress) <= 2
+    assert dropped == 4  # the batch right after a jump still goes by the watermark before it
 
 
 def test_newest_version_may_be_empty(spark, tmp_path):
