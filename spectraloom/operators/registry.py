@@ -17,9 +17,9 @@ REGISTRY_SCHEMA = (
 UTC_FORMAT = "yyyy-MM-dd'T'HH:mm:ss'Z'"
 
 
-def latest(version: str = "enrolled_at") -> Column:
-    """Order key for the newest row: a row without a time is oldest, equal times go by the row's content."""
-    return F.struct(F.col(version), F.col("drone_type"), F.col("fingerprint"))
+def latest(columns: list[str], version: str = "enrolled_at") -> Column:
+    """Order key for the newest row: a row without a time is oldest, equal times go by the other columns."""
+    return F.struct(version, *[c for c in columns if c != version])
 
 
 def upsert(current: DataFrame, new: DataFrame, key: str = "serial", version: str = "enrolled_at") -> DataFrame:
@@ -45,7 +45,8 @@ def enroll_from_packets(packets: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.lit(None).cast("timestamp").alias("last_seen"),
         F.lit(0).cast("long").alias("detection_count"),
     )
-    newest = F.max_by(F.struct(*[c for c in REGISTRY_COLUMNS if c != "serial"]), latest("enrolled_at"))
+    cols = [c for c in REGISTRY_COLUMNS if c != "serial"]
+    newest = F.max_by(F.struct(*cols), latest(cols))
     rows = accepted.groupBy("serial").agg(newest.alias("_r")).select("serial", "_r.*")
     return rows, checked.where("reason IS NOT NULL")
 

@@ -319,7 +319,7 @@ def upsert_registry(table: VersionedTable, enrolments: DataFrame):
 
     def step(registry: DataFrame, batch: DataFrame) -> DataFrame:
         cols = [c for c in registry.columns if c != "serial"]
-        newest = batch.groupBy("serial").agg(F.max_by(F.struct(*cols), latest("enrolled_at")).alias("_r")).select("serial", "_r.*")
+        newest = batch.groupBy("serial").agg(F.max_by(F.struct(*cols), latest(cols)).alias("_r")).select("serial", "_r.*")
         return upsert(registry, newest)
 
     return table.run(enrolments, step)
