@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from spectraloom.functions.arrow import unit_rows, to_matrix
 from spectraloom.operators.matching import MATCH_THRESHOLD, identify, restrict_to_enrolled
+from spectraloom.session import materialize
 
 MAX_STACK_BYTES = 256 << 20
 
@@ -31,53 +32,87 @@ def verify(df: DataFrame, registry: DataFrame, type_col: str, df_id: str, col: s
     )
 
 
-def _stack(registry: DataFrame, order: str) -> tuple[list, np.ndarray]:
-    """Registry rows in enrolment order as one matrix; the size is checked before it is fetched."""
-    size = registry.agg(F.sum(F.size("fingerprint")).alias("s")).first()["s"] or 0
-    if size * 8 > MAX_STACK_BYTES:
-        raise ValueError("registry too large for a per-step curve; verify() handles any size")
-    rows = registry.orderBy(order, "serial").select("serial", "fingerprint").collect()
-    return [r["serial"] for r in rows], np.array([r["fingerprint"] for r in rows], dtype=float)
+def _placed(registry: DataFrame, order: list[str], columns: list[str]) -> DataFrame:
+    """Registry rows with their place in enrolment order, written once. Only ids and order keys are sorted."""
+    every = Window.orderBy(*order, "serial")  # one narrow row per registry entry
+    places = registry.select("serial", *order).withColumn("place", F.row_number().over(every) - 1).select(F.col("serial").alias("_s"), "place")
+    return materialize(registry.join(places, F.col("serial") == F.col("_s")).select("serial", "place", *columns), "placed")
+
+
+def _blocks(placed: DataFrame, n: int, row_bytes: int, stack_bytes: int):
+    """Rows of the placed registry in order, at most ``stack_bytes`` of vectors at a time."""
+    step = max(1, stack_bytes // max(1, row_bytes))
+    for start in range(0, n, step):
+        yield start, placed.where(F.col("place").between(start, start + step - 1)).orderBy("place").collect()
+
+
+def _size(placed: DataFrame) -> tuple[int, int]:
+    row = placed.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("fingerprint")).alias("d")).first()
+    return row["n"], 8 * max(1, row["d"] or 1)
+
+
+def _as_matrix(column: pa.Array, valid: np.ndarray, width: int) -> np.ndarray:
+    """The list column's rows for which ``valid`` holds, as a matrix."""
+    return np.array(column.filter(pa.array(valid)).to_pylist(), dtype=float).reshape(-1, width)
+
+
+def _meet(unit: np.ndarray, start: int, n: int):
+    """UDF (vector, own similarity, own place) -> whether an earlier entry of the block is as similar, and the first later one that is more so."""
+
+    @F.arrow_udf("struct<beaten: boolean, until: int>")
+    def meet(vectors: pa.Array, sims: pa.Array, owns: pa.Array) -> pa.Array:
+        valid, x = to_matrix(vectors)
+        beaten, until = np.zeros(len(valid), bool), np.full(len(valid), n, np.int32)
+        if len(x):
+            mine = sims.to_numpy(zero_copy_only=False)[valid][:, None]
+            place, at = np.arange(start, start + len(unit))[None, :], owns.to_numpy(zero_copy_only=False)[valid][:, None]
+            other = np.round(unit_rows(x) @ unit.T, 12)
+            beaten[valid] = ((place < at) & (other >= mine)).any(axis=1)
+            until[valid] = np.where((place > at) & (other > mine), place, n).min(axis=1)
+        return pa.StructArray.from_arrays([pa.array(beaten), pa.array(until)], names=["beaten", "until"])
+
+    return meet
 
 
 def enrollment_curve(
-    df: DataFrame, registry: DataFrame, type_col: str, order: str, col: str = "embedding", thr: float = MATCH_THRESHOLD
+    df: DataFrame, registry: DataFrame, type_col: str, order: str, col: str = "embedding", thr: float = MATCH_THRESHOLD,
+    stack_bytes: int = MAX_STACK_BYTES,
 ) -> DataFrame:
-    """After each enrolment step: accuracy of every type enrolled so far, in one pass over the samples.
+    """After each enrolment step: accuracy of every type enrolled so far, for a registry of any size.
 
-    Per sample the running best similarity over types in enrolment order says, for every step at
-    once, whether the sample would have been identified; only those flags leave the task.
+    A sample is identified rightly from its own type's step on until a later type is more similar, or never
+    when an earlier one is at least as similar. The registry passes in blocks of bounded size; each leaves only
+    these two facts per sample, and the curve is summed up from the steps at which samples change.
     """
-    serials, matrix = _stack(registry, order)
-    unit = unit_rows(matrix)
-    index = {s: i for i, s in enumerate(serials)}
+    placed = _placed(registry, [order] if order != "serial" else [], ["fingerprint"])
+    n, row_bytes = _size(placed)
+    kind = F.col(type_col).cast("string")
+    own = placed.select(F.col("serial").alias("_s"), F.col("place").alias("own"), F.col("fingerprint").alias("own_print"))
+    rows = df.where(F.col(col).isNotNull()).select(kind.alias("type"), F.col(col).cast("array<double>").alias("x")).join(own, F.col("type") == F.col("_s"))
 
-    def flags(vectors: pa.Array, types: pa.Array) -> pa.Array:
+    @F.arrow_udf("double")
+    def own_similarity(vectors: pa.Array, prints: pa.Array) -> pa.Array:
         valid, x = to_matrix(vectors)
-        names = types.to_pylist()
-        own = np.array([index.get(t, -1) for t, ok in zip(names, valid) if ok])
-        out: list[list[int]] = [[] for _ in names]
+        out = np.full(len(valid), np.nan)
         if len(x):
-            sims = np.round(unit_rows(x) @ unit.T, 12)
-            best = np.maximum.accumulate(sims, axis=1)
-            fresh = np.concatenate([np.ones((len(x), 1), bool), sims[:, 1:] > best[:, :-1]], axis=1)
-            leader = np.maximum.accumulate(np.where(fresh, np.arange(sims.shape[1]), 0), axis=1)
-            right = (leader == own[:, None]) & (best >= thr)
-            for row, at in enumerate(np.flatnonzero(valid)):
-                if own[row] >= 0:
-                    out[at] = [int(v) for v in right[row, own[row]:]]
-        return pa.array(out, type=pa.list_(pa.int32()))
-
-    mark = F.arrow_udf(flags, "array<int>")
-    kind = F.col(type_col).cast("string")
-    known = restrict_to_enrolled(df, registry.select(F.col("serial").alias("drone_type")), type_col)
-    position = F.create_map(*[x for s, i in index.items() for x in (F.lit(s), F.lit(i))])
-    return (
-        known.select(kind.alias("type"), mark(F.col(col).cast("array<double>"), kind).alias("_f"))
-        .select("type", F.posexplode("_f").alias("_p", "_ok"))
-        .groupBy((F.col("_p") + F.element_at(position, F.col("type")) + 1).cast("long").alias("step"), "type")
-        .agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("_ok").cast("double")).alias("accuracy"))
-    )
+            out[valid] = np.round(np.einsum("ij,ij->i", unit_rows(x), unit_rows(_as_matrix(prints, valid, x.shape[1]))), 12)
+        return pa.array(out)
+
+    rows = rows.select("type", "x", "own", own_similarity("x", "own_print").alias("sim"), F.lit(False).alias("beaten"), F.lit(n).alias("until"))
+    for start, block in _blocks(placed, n, row_bytes, stack_bytes):
+        unit = unit_rows(np.array([r["fingerprint"] for r in block], dtype=float))
+
+        rows = rows.withColumn("_m", _meet(unit, start, n)("x", "sim", "own")).select(
+            "type", "x", "own", "sim", (F.col("beaten") | F.col("_m.beaten")).alias("beaten"), F.least("until", "_m.until").alias("until")
+        )
+    right = ~F.col("beaten") & (F.col("sim") >= thr)
+    ends = materialize(rows.groupBy("type", "own", "until").agg(F.count(F.lit(1)).alias("n"), F.sum(right.cast("long")).alias("ok")), "curve-ends")
+    totals = ends.groupBy("type", "own").agg(F.sum("n").alias("n"), F.sum("ok").alias("ok"))
+    steps = totals.select("type", "n", "ok", F.explode(F.sequence(F.col("own"), F.lit(n - 1))).alias("at"))
+    lost = ends.select(F.col("type").alias("_t"), F.col("until").alias("_u"), F.col("ok").alias("lost"))
+    met = steps.join(lost, (F.col("type") == F.col("_t")) & (F.col("at") == F.col("_u")), "left")
+    gone = F.sum(F.coalesce("lost", F.lit(0))).over(Window.partitionBy("type").orderBy("at"))
+    return met.select((F.col("at") + 1).cast("long").alias("step"), "type", "n", ((F.col("ok") - gone) / F.col("n")).alias("accuracy"))
 
 
 def repair_registry(current: DataFrame, snapshot: DataFrame, alpha: float, max_steps: int) -> DataFrame:
@@ -91,45 +126,60 @@ def repair_registry(current: DataFrame, snapshot: DataFrame, alpha: float, max_s
     )
 
 
+def _unbeaten(units: list[np.ndarray], start: int):
+    """UDF (vector, own similarities, own place) -> per repair step whether no entry of the block is more similar."""
+
+    @F.arrow_udf("array<boolean>")
+    def unbeaten(vectors: pa.Array, sims: pa.Array, owns: pa.Array) -> pa.Array:
+        valid, x = to_matrix(vectors)
+        out = np.zeros((len(valid), len(units)), bool)
+        if len(x):
+            mine, unit = _as_matrix(sims, valid, len(units)), unit_rows(x)
+            place, at = np.arange(start, start + len(units[0]))[None, :], owns.to_numpy(zero_copy_only=False)[valid][:, None]
+            for k, m in enumerate(units):
+                other, own_sim = np.round(unit @ m.T, 12), mine[:, k][:, None]
+                out[valid, k] = ~(((place < at) & (other >= own_sim)) | ((place > at) & (other > own_sim))).any(axis=1)
+        return pa.array(out.tolist(), pa.list_(pa.bool_()))
+
+    return unbeaten
+
+
 def repair_curve(
     df: DataFrame, current: DataFrame, snapshot: DataFrame, type_col: str, alpha: float = 0.15, max_steps: int = 5,
-    col: str = "embedding", thr: float = MATCH_THRESHOLD,
+    col: str = "embedding", thr: float = MATCH_THRESHOLD, stack_bytes: int = MAX_STACK_BYTES,
 ) -> DataFrame:
-    """Accuracy per type after every possible number of repairs, in one pass over the samples."""
-    size = current.agg(F.sum(F.size("fingerprint")).alias("s")).first()["s"] or 0
-    if size * 8 * (max_steps + 1) > MAX_STACK_BYTES:
-        raise ValueError("registry too large to hold every repair step")
-    rows = repair_registry(current, snapshot, alpha, max_steps).orderBy("step", "serial").collect()
-    serials = sorted({r["serial"] for r in rows})
-    stack = np.array([r["fingerprint"] for r in rows], dtype=float).reshape(max_steps + 1, len(serials), -1)
-    units = np.stack([unit_rows(m) for m in stack])
-    index = {s: i for i, s in enumerate(serials)}
-
-    def flags(vectors: pa.Array, types: pa.Array) -> pa.Array:
+    """Accuracy per type after every possible number of repairs, for registries of any size.
+
+    A sample is right after k repairs when no other type's repaired fingerprint is more similar (an earlier serial: at
+    least as similar) than its own. Both registries pass in blocks of bounded size.
+    """
+    old = snapshot.select(F.col("serial").alias("_o"), F.col("fingerprint").alias("old"))
+    both = current.join(old, F.col("serial") == F.col("_o"), "left").select("serial", "fingerprint", F.coalesce("old", "fingerprint").alias("old"))
+    placed = _placed(both, [], ["fingerprint", "old"])
+    n, row_bytes = _size(placed)
+    keep = [(1.0 - alpha) ** k for k in range(max_steps + 1)]
+    kind = F.col(type_col).cast("string")
+    own = placed.select(F.col("serial").alias("_s"), F.col("place").alias("own"), F.col("fingerprint").alias("own_print"), F.col("old").alias("own_old"))
+    rows = df.select(kind.alias("type"), F.col(col).cast("array<double>").alias("x")).where("x IS NOT NULL").join(own, F.col("type") == F.col("_s"))
+
+    @F.arrow_udf("array<double>")
+    def own_similarity(vectors: pa.Array, prints: pa.Array, olds: pa.Array) -> pa.Array:
         valid, x = to_matrix(vectors)
-        names = types.to_pylist()
-        out: list[list[int]] = [[] for _ in names]
+        out = np.full((len(valid), len(keep)), np.nan)
         if len(x):
-            own = np.array([index.get(t, -1) for t, ok in zip(names, valid) if ok])
-            nx = unit_rows(x)
-            cols = []
-            for m in units:
-                sims = np.round(nx @ m.T, 12)
-                cols.append((sims.argmax(axis=1) == own) & (sims.max(axis=1) >= thr))
-            right = np.stack(cols, axis=1).astype(int)
-            for row, at in enumerate(np.flatnonzero(valid)):
-                out[at] = right[row].tolist()
-        return pa.array(out, type=pa.list_(pa.int32()))
-
-    mark = F.arrow_udf(flags, "array<int>")
-    kind = F.col(type_col).cast("string")
-    known = restrict_to_enrolled(df, current.select(F.col("serial").alias("drone_type")), type_col)
-    return (
-        known.select(kind.alias("type"), mark(F.col(col).cast("array<double>"), kind).alias("_f"))
-        .select("type", F.posexplode("_f").alias("step", "_ok"))
-        .groupBy(F.col("step").cast("long").alias("step"), "type")
-        .agg(F.avg(F.col("_ok").cast("double")).alias("accuracy"))
-    )
+            unit, now, was = unit_rows(x), _as_matrix(prints, valid, x.shape[1]), _as_matrix(olds, valid, x.shape[1])
+            out[valid] = np.stack([np.round(np.einsum("ij,ij->i", unit, unit_rows(k * now + (1 - k) * was)), 12) for k in keep], axis=1)
+        return pa.array(out.tolist(), pa.list_(pa.float64()))
+
+    right = F.transform(F.col("sim"), lambda s: s >= thr)
+    rows = rows.select("type", "x", "own", own_similarity("x", "own_print", "own_old").alias("sim")).withColumn("right", right)
+    for start, block in _blocks(placed, n, 2 * row_bytes * len(keep), stack_bytes):
+        now, was = (np.array([r[c] for r in block], dtype=float) for c in ("fingerprint", "old"))
+        units = [unit_rows(k * now + (1 - k) * was) for k in keep]
+
+        rows = rows.withColumn("right", F.zip_with("right", _unbeaten(units, start)("x", "sim", "own"), lambda a, b: a & b))
+    flags = rows.select("type", F.posexplode("right").alias("step", "ok"))
+    return flags.groupBy(F.col("step").cast("long").alias("step"), "type").agg(F.avg(F.col("ok").cast("double")).alias("accuracy"))
 
 
 def first_clean_step(curve: DataFrame, best: DataFrame, threshold: float, max_steps: int) -> DataFrame:

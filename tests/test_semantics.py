@@ -263,3 +263,15 @@ def test_keys_are_numbers_only_when_all_are(spark):
     for r in catalog.explode_samples(groups, "g", "key", "item").orderBy("sample_no").collect():
         got.setdefault(r["g"], []).append(r["key"])
     assert got == {"n": ["9", "10", "2000"], "m": sorted(["10", "9", "x1", "sample_000010", "sample_000002"])}
+
+
+def test_curves_do_not_depend_on_the_block_size(rows):
+    _, df = rows
+    from spectraloom.operators.registry import enroll_means
+
+    cur = enroll_means(df.where("rec < 8"), "label", enrolled_at="2024-01-01")
+    snap = enroll_means(df, "label", enrolled_at="2024-01-01")
+    row = lambda d: sorted(tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in d.collect())
+    for run in (lambda size: C.enrollment_curve(df, cur, "label", "enrolled_at", thr=0.1, stack_bytes=size), lambda size: C.repair_curve(df, cur, snap, "label", thr=0.1, stack_bytes=size)):
+        whole = row(run(1 << 20))
+        assert whole == row(run(1)) and len(whole) > 3
