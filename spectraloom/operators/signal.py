@@ -24,14 +24,6 @@ def _c(col: Column | str) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
-def row_seed(seed: int, *cols: Column | str) -> Column:
-    return F.xxhash64(F.lit(seed), *[_c(c) for c in cols])
-
-
-def _rng(seed: int) -> np.random.Generator:
-    return np.random.default_rng(seed & 0xFFFFFFFFFFFFFFFF)
-
-
 # ---- segmentation -------------------------------------------------------------------------------
 
 
@@ -225,39 +217,41 @@ def frame_spectrum(df: DataFrame, i: str, q: str | None = None) -> DataFrame:
     return df.withColumn("_z", made(real, imag)).select("*", "_z.*").drop("_z")
 
 
-def _map_specs(fn, return_type: str = "array<float>"):
-    """Arrow UDF applying ``fn(x[c,h,w], *extras) -> array`` row by row inside a batch."""
+def map_blocks(fn, return_type: str = "array<float>"):
+    """Arrow UDF (spec, c, h, w, *extras) applying ``fn(x[rows, c, h, w], *extras) -> (rows, ...)`` to the rows of a batch that share a shape."""
 
     def run(spec: pa.Array, c: pa.Array, h: pa.Array, w: pa.Array, *extra: pa.Array) -> pa.Array:
-        shapes = list(zip(c.to_pylist(), h.to_pylist(), w.to_pylist()))
-        extras = [e.to_pylist() for e in extra]
-        out = []
-        for row in range(len(spec)):
-            if not spec[row].is_valid:
-                out.append(None)
-                continue
-            x = spec[row].values.to_numpy(zero_copy_only=False).astype(np.float64).reshape(shapes[row])
-            out.append(np.asarray(fn(x, *[e[row] for e in extras])).ravel())
-        return pa.array(out, type=pa.list_(spec.type.value_type))
+        at = np.flatnonzero(spec.is_valid().to_numpy(zero_copy_only=False))
+        out: list = [None] * len(spec)
+        if len(at):
+            sizes = np.stack([a.to_numpy(zero_copy_only=False)[at].astype(np.int64) for a in (c, h, w)], axis=1)
+            extras = [e.to_numpy(zero_copy_only=False) for e in extra]
+            shapes, member = np.unique(sizes, axis=0, return_inverse=True)
+            for k, shape in enumerate(shapes):
+                rows = at[member.reshape(-1) == k]
+                x = spec.take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(rows), *shape)
+                for row, made in zip(rows, fn(x, *[e[rows] for e in extras])):
+                    out[row] = np.ravel(made)
+        return pa.array(out, type=pa.list_(pa.float64())).cast(pa.list_(pa.float64() if return_type == "array<double>" else spec.type.value_type))
 
     return F.arrow_udf(run, return_type)
 
 
-def _apply(df: DataFrame, fn, *extra: Column, col: str = "spec") -> DataFrame:
+def apply_blocks(df: DataFrame, fn, *extra: Column, col: str = "spec") -> DataFrame:
     kind = df.schema[col].dataType.simpleString()
-    return df.withColumn(col, _map_specs(fn, kind)(F.col(col), F.col("c"), F.col("h"), F.col("w"), *extra))
+    return df.withColumn(col, map_blocks(fn, kind)(F.col(col), F.col("c"), F.col("h"), F.col("w"), *extra))
 
 
 def resize(df: DataFrame, h: int, w: int, mode: str = "nearest") -> DataFrame:
     pick = resize_nearest if mode == "nearest" else resize_bilinear
-    out = _apply(df, lambda x: pick(x, h, w))
+    out = apply_blocks(df, lambda x: pick(x, h, w))
     return out.withColumn("h", F.lit(h)).withColumn("w", F.lit(w))
 
 
 def standardize(df: DataFrame, by: str = "channel", ddof: int = 0, eps: float = 1e-6) -> DataFrame:
     """Standardise inside each sample: per channel, per frequency bin, or over the whole sample."""
-    axes = {"channel": (1, 2), "bin": (2,), "global": (0, 1, 2)}[by]
-    return _apply(df, lambda x: standardize_array(x, axes, ddof, eps))
+    axes = {"channel": (2, 3), "bin": (3,), "global": (1, 2, 3)}[by]
+    return apply_blocks(df, lambda x: standardize_array(x, axes, ddof, eps))
 
 
 def standardize_vectors(df: DataFrame, col: str, by: str = "dataset", ddof: int = 0, eps: float = 1e-6, out: str | None = None) -> DataFrame:
@@ -344,200 +338,6 @@ def backfill_channel(df: DataFrame, src: int, dst: int, where: Column, col: str
     return df.withColumn(col, F.when(hit, filled).otherwise(F.col(col)))
 
 
-# ---- noise, interference, augmentation ----------------------------------------------------------
-
-
-def awgn(x: np.ndarray, snr_db: float, rng: np.random.Generator, pooled: bool = False) -> np.ndarray:
-    power = np.mean(x**2) if pooled else np.mean(x**2, axis=(1, 2), keepdims=True)
-    return x + rng.standard_normal(x.shape) * np.sqrt(power / 10 ** (snr_db / 10))
-
-
-def _bursts(x, snr_db, rng, count, widths, lengths, spread_power):
-    """Random rectangles of noise: (width range in bins, length range in frames)."""
-    out = x.copy()
-    _, h, w = x.shape
-    for c in range(len(x)):
-        power = np.mean(x[c] ** 2) / 10 ** (snr_db / 10)
-        for _ in range(count):
-            high = min(int(rng.integers(*widths)), h)
-            long = min(int(rng.integers(*lengths)), w)
-            top, left = int(rng.integers(0, h - high + 1)), int(rng.integers(0, w - long + 1))
-            level = np.sqrt(power / high) if spread_power else np.sqrt(power)
-            out[c, top : top + high, left : left + long] += rng.standard_normal((high, long)) * level
-    return out
-
-
-# Burst shapes (bins, frames), hop counts, envelope width, duty period.
-WIFI = {"widths": (15, 30), "lengths": (20, 50), "spread_power": True}
-BLUETOOTH = {"widths": (1, 4), "lengths": (5, 15), "spread_power": False}
-MICROWAVE = {"jitter": 20, "sigma": 30.0, "period": 100}
-
-
-def wifi(x, snr_db, rng, count: int = 3):
-    return _bursts(x, snr_db, rng, count, **WIFI)
-
-
-def bluetooth(x, snr_db, rng, count: int = 10):
-    return _bursts(x, snr_db, rng, count, **BLUETOOTH)
-
-
-def microwave(x, snr_db, rng):
-    _, h, w = x.shape
-    power = np.mean(x**2, axis=(1, 2), keepdims=True) / 10 ** (snr_db / 10)
-    centers = h // 2 + rng.integers(-MICROWAVE["jitter"], MICROWAVE["jitter"], size=(len(x), 1, 1))
-    shape = np.exp(-0.5 * ((np.arange(h)[None, :, None] - centers) / MICROWAVE["sigma"]) ** 2)
-    on = (np.arange(w) % MICROWAVE["period"]) < MICROWAVE["period"] // 2
-    return x + rng.standard_normal(x.shape) * np.sqrt(power) * shape * on
-
-
-def urban(x, snr_db, rng):
-    """Thermal noise always; WiFi and Bluetooth with 0.7, microwave with 0.3 probability."""
-    y = awgn(x, snr_db + 3, rng)
-    if rng.random() < 0.7:
-        y = wifi(y, snr_db + 3, rng, int(rng.integers(2, 5)))
-    if rng.random() < 0.7:
-        y = bluetooth(y, snr_db + 3, rng, int(rng.integers(5, 15)))
-    return microwave(y, snr_db + 6, rng) if rng.random() < 0.3 else y
-
-
-NOISE = {"awgn": awgn, "wifi": wifi, "bluetooth": bluetooth, "microwave": microwave, "urban": urban}
-
-
-def add_noise(
-    df: DataFrame, snr_db: Column | float, seed: int, kind: str = "awgn", id_col: str = "sample_id", pooled: bool = False,
-    clean_at: float | None = None,
-) -> DataFrame:
-    """Noise of one kind at a target SNR. Levels at or above ``clean_at`` leave the row untouched."""
-    level = F.lit(float(snr_db)) if isinstance(snr_db, (int, float)) else snr_db.cast("double")
-    make = NOISE[kind]
-
-    def noisy(x, snr, s):
-        if clean_at is not None and snr >= clean_at:
-            return x
-        return make(x, snr, _rng(s), pooled=pooled) if kind == "awgn" else make(x, snr, _rng(s))
-
-    return _apply(df, noisy, level, row_seed(seed, id_col, level))
-
-
-def snr_sweep(df: DataFrame, levels: list[float], seed: int, id_col: str = "sample_id", clean_at: float = 25.0) -> DataFrame:
-    """Every sample at every level of a short fixed list (``ordinal`` keeps the list order)."""
-    ladder = F.array(*[F.struct(F.lit(i).alias("ordinal"), F.lit(float(x)).alias("snr_db")) for i, x in enumerate(levels)])
-    swept = df.withColumn("_l", F.explode(ladder)).select(*df.columns, "_l.*")
-    return add_noise(swept, F.col("snr_db"), seed, id_col=id_col, clean_at=clean_at)
-
-
-def noise_floor_split(row: np.ndarray, pct: float, sigma: float):
-    """(floor, noise pixels, noise deviation, signal mask) of one frequency row."""
-    floor = np.percentile(row, pct)
-    low = row[row <= floor + np.std(row)]
-    quiet = row <= floor + 1.5 * np.std(low)
-    if quiet.sum() < 5:
-        quiet = row <= np.percentile(row, 50)
-    noise = row[quiet]
-    dev = np.std(noise) if len(noise) > 1 else 0.5 * np.std(row)
-    return floor, noise, dev, row > floor + sigma * dev
-
-
-def matched_background(
-    df: DataFrame, pct: float = 10, sigma: float = 2.0, method: str = "replace", seed: int = 0, id_col: str = "sample_id"
-) -> DataFrame:
-    """Remove what rises over each frequency row's noise floor; fill with noise or with the floor."""
-
-    def clean(x, s):
-        rng = _rng(s)
-        out = x.copy()
-        for c, f in np.ndindex(x.shape[:2]):
-            floor, noise, dev, signal = noise_floor_split(x[c, f], pct, sigma)
-            n = int(signal.sum())
-            if not n:
-                continue
-            if method == "zero":
-                fill = floor
-            elif len(noise) > 1:
-                fill = rng.choice(noise, n) + rng.normal(0.0, 1.0, n) * dev * 0.05
-            else:
-                fill = rng.normal(floor, dev, n)
-            out[c, f, signal] = fill
-        return out
-
-    return _apply(df, clean, row_seed(seed, id_col))
-
-
-def envelope(df: DataFrame, col: str = "spec", clip: bool = True) -> DataFrame:
-    """Mean spectral profile (one value per bin) of channel 0 over all samples, at least 0."""
-    profile = _map_specs(lambda x: x[0].mean(axis=1), df.schema[col].dataType.simpleString())
-    from spectraloom.operators.moments import centroid
-
-    rows = df.select(profile(F.col(col), F.col("c"), F.col("h"), F.col("w")).alias("p"))
-    mean = centroid(rows, "p")
-    value = F.transform("centroid", lambda x: F.greatest(x, F.lit(0.0))) if clip else F.col("centroid")
-    return mean.select(value.alias("envelope"))
-
-
-def shape_hard_negatives(negatives: DataFrame, drones: DataFrame, n: int, seed: int, id_col: str = "sample_id") -> DataFrame:
-    """n negatives, drawn with replacement, scaled bin by bin towards the drones' mean profile.
-
-    The i-th draw takes the negative whose rank in hash order is a seeded hash of i, so draws are an
-    equi-join on rank and need no list of negatives anywhere.
-    """
-    from spectraloom.operators.sampling import hash_rank
-
-    profile = np.asarray(envelope(drones).first()[0])  # one vector
-    ranked = hash_rank(negatives, [], id_col, seed, "_rank")
-    total = negatives.agg(F.count(F.lit(1)))
-    draws = negatives.sparkSession.range(n).select(
-        F.col("id").alias("draw"), (F.pmod(F.xxhash64(F.lit(seed), "id"), total.scalar()) + 1).alias("_want")
-    )
-    picked = ranked.join(draws, F.col("_rank") == F.col("_want")).drop("_rank", "_want")
-
-    def shape(x):
-        own = np.maximum(x.mean(axis=2), 0.0)
-        scale = np.clip(profile[None, :] / (own + 1e-8), 0.5, 2.0)
-        return standardize_array(x * scale[:, :, None], (1, 2), 0, 1e-6)
-
-    return _apply(picked, shape)
-
-
-def _view_crop(x, rng, noise=0.03, mask=0.08, crop=(0.85, 1.0)):
-    _, h, w = x.shape
-    scale = rng.uniform(*crop)
-    nh, nw = int(h * scale), int(w * scale)
-    top, left = int(rng.integers(0, h - nh + 1)), int(rng.integers(0, w - nw + 1))
-    y = resize_bilinear(x[:, top : top + nh, left : left + nw], h, w)
-    fh, tw = int(h * mask), int(w * mask)
-    if fh:
-        at = int(rng.integers(0, h - fh + 1))
-        y[:, at : at + fh, :] = 0
-    if tw:
-        at = int(rng.integers(0, w - tw + 1))
-        y[:, :, at : at + tw] = 0
-    return y + rng.standard_normal(y.shape) * noise
-
-
-def _view_roll(x, rng, noise=0.05, shift=5):
-    return np.roll(x + rng.standard_normal(x.shape) * noise, int(rng.integers(-shift, shift + 1)), axis=1)
-
-
-def _replay(x, rng):
-    y = np.roll(x, (int(rng.integers(1, 6)), int(rng.integers(1, 6))), axis=(2, 1))
-    return (y + rng.standard_normal(y.shape) * rng.uniform(0.01, 0.05)) * rng.uniform(0.9, 1.1)
-
-
-def _variants(df: DataFrame, n: int, seed: int, id_col: str, name: str, make) -> DataFrame:
-    many = df.withColumn(name, F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    return _apply(many, lambda x, s: make(x, _rng(s)), row_seed(seed, id_col, name))
-
-
-def augment(df: DataFrame, n_views: int, seed: int, mode: str = "crop", id_col: str = "sample_id") -> DataFrame:
-    """Augmented views: crop + masks + noise, or noise + circular frequency shift."""
-    return _variants(df, n_views, seed, id_col, "view", _view_crop if mode == "crop" else _view_roll)
-
-
-def replay_variants(df: DataFrame, n: int, seed: int, id_col: str = "sample_id") -> DataFrame:
-    """Replayed copies: time and frequency roll, converter noise, gain."""
-    return _variants(df, n, seed, id_col, "replay_no", _replay)
-
-
 def residual_snr(pairs: DataFrame, drone: str, background: str, out: str = "snr_db") -> DataFrame:
     signal = V.sq_dist(drone, background) / F.size(drone)
     noise = V.vec_mean(F.transform(V.as_doubles(background), lambda x: x * x))
@@ -546,43 +346,6 @@ def residual_snr(pairs: DataFrame, drone: str, background: str, out: str = "snr_
 
 # ---- intent -------------------------------------------------------------------------------------
 
-INTENT_FEATURES = [
-    "temporal_variance", "temporal_trend", "centroid_freq", "bandwidth", "peakiness", "snr", "burst", "doppler_spread",
-]
-
-
-def intent_vector(x: np.ndarray) -> np.ndarray:
-    """Eight descriptors of one (h, w) plane, in the order of INTENT_FEATURES."""
-    var_t = x.var(axis=1)
-    power = np.abs(x.mean(axis=1))
-    total = power.sum() + 1e-8
-    bins = np.arange(len(power))
-    center = (bins * power).sum() / total
-    width = np.sqrt(max(0.0, (((bins - center) ** 2) * power).sum() / total))
-    trend = np.abs(np.diff(x, axis=1)).mean() if x.shape[1] > 1 else 0.0
-    return np.array([
-        var_t.mean(), trend, center, width, x.max() / (x.mean() + 1e-8), (x.max() - x.mean()) / (x.std() + 1e-8),
-        var_t.std(), x.std(axis=0).mean(),
-    ])
-
-
-def intent_features(df: DataFrame, col: str = "spec") -> DataFrame:
-    """Eight feature columns from channel 0 of every spectrogram."""
-
-    def run(spec: pa.Array, c: pa.Array, h: pa.Array, w: pa.Array) -> pa.Array:
-        rows = []
-        for s, cc, hh, ww in zip(spec, c.to_pylist(), h.to_pylist(), w.to_pylist()):
-            if not s.is_valid:
-                rows.append(None)
-                continue
-            x = s.values.to_numpy(zero_copy_only=False).astype(np.float64).reshape(cc, hh, ww)[0]
-            rows.append(dict(zip(INTENT_FEATURES, intent_vector(x).tolist())))
-        return pa.array(rows, type=pa.struct([(n, pa.float64()) for n in INTENT_FEATURES]))
-
-    made = F.arrow_udf(run, "struct<" + ", ".join(f"{n}: double" for n in INTENT_FEATURES) + ">")
-    return df.withColumn("_f", made(F.col(col), F.col("c"), F.col("h"), F.col("w"))).select(*df.columns, "_f.*")
-
-
 def intent_rule(temporal_variance: Column | str, doppler_spread: Column | str, version: int = 1) -> Column:
     """v1 limits 0.5 / 1.0 / 2.0 / 3.0; v2 limits 1.55 / 1.70 on the sum."""
     tv, ds = _c(temporal_variance), _c(doppler_spread)

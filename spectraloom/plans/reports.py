@@ -245,7 +245,7 @@ def box_statistics_by_type(spark, sf_dir):
 
 @query("E17", f"WITH {LONG_CTE} SELECT d AS bin, {R('greatest(avg(x), 0)')} AS envelope FROM long WHERE split = 'train' GROUP BY d")
 def spectral_envelope_of_train(spark, sf_dir):
-    from spectraloom.operators.signal import envelope
+    from spectraloom.operators.augment import envelope
 
     rows = train_of(samples(spark, sf_dir)).select(F.col("embedding").alias("spec"), F.lit(1).alias("c"), F.lit(64).alias("h"), F.lit(1).alias("w"))
     return envelope(rows).select(F.posexplode("envelope").alias("p", "e")).select((F.col("p") + 1).cast("long").alias("bin"), r("e").alias("envelope"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from spectraloom.functions import vectors as V
+from spectraloom.operators import augment as A
 from spectraloom.operators import signal as S
 from spectraloom.plans.base import LONG_CTE, SAMPLES_CTE, R, events, query, r, samples, table
 
@@ -189,7 +190,7 @@ def planes(spark, sf_dir):
 def snr_sweep_power(spark, sf_dir):
     """Measured noise-to-signal power of every level; the tests check it against the target."""
     rows = planes(spark, sf_dir)
-    swept = S.snr_sweep(rows, [25.0, 10.0, 0.0, -10.0], seed=3)
+    swept = A.snr_sweep(rows, [25.0, 10.0, 0.0, -10.0], seed=3)
     both = swept.join(rows.select("sample_id", F.col("spec").alias("clean")), "sample_id")
     return both.groupBy("ordinal", "snr_db").agg(
         F.count(F.lit(1)).alias("n"),
@@ -202,7 +203,7 @@ def interference_power(spark, sf_dir):
     rows = planes(spark, sf_dir)
     out = None
     for kind in ("wifi", "bluetooth", "microwave", "urban"):
-        part = S.add_noise(rows, 0.0, seed=5, kind=kind).withColumn("kind", F.lit(kind))
+        part = A.add_noise(rows, 0.0, seed=5, kind=kind).withColumn("kind", F.lit(kind))
         out = part if out is None else out.unionByName(part)
     both = out.join(rows.select("sample_id", F.col("spec").alias("clean")), "sample_id")
     return both.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), r(F.avg(V.sq_dist("spec", "clean")), 3).alias("added_power"))
@@ -224,36 +225,36 @@ def matched_background_floor(spark, sf_dir):
     """Signal over each row's noise floor replaced by the floor."""
     seg = segments(spark, sf_dir, 16)
     rows = seg.select("user_id", "segment_idx", F.col("v").alias("raw"), F.col("v").alias("spec"), F.lit(1).alias("c"), F.lit(1).alias("h"), F.lit(16).alias("w"))
-    out = S.matched_background(rows, method="zero", id_col="segment_idx")
+    out = A.matched_background(rows, method="zero", id_col="segment_idx")
     changed = F.size(F.filter(F.zip_with("spec", "raw", lambda a, b: a < b), lambda x: x))
     return out.select("user_id", "segment_idx", changed.cast("long").alias("removed"), r(V.vec_sum("spec")).alias("total"))
 
 
 @query("B18")
 def matched_background_noise(spark, sf_dir):
-    out = S.matched_background(planes(spark, sf_dir), method="replace", seed=4)
+    out = A.matched_background(planes(spark, sf_dir), method="replace", seed=4)
     return out.select("sample_id", r(V.vec_sum("spec"), 4).alias("total"))
 
 
 @query("B19 E17")
 def shaped_hard_negatives(spark, sf_dir):
     rows = planes(spark, sf_dir)
-    out = S.shape_hard_negatives(rows.where("split = 'negatives'"), rows.where("split = 'train'"), 200, seed=6)
+    out = A.shape_hard_negatives(rows.where("split = 'negatives'"), rows.where("split = 'train'"), 200, seed=6)
     return out.select("draw", "sample_id", r(V.vec_mean(F.transform("spec", lambda x: x.cast("double") * x)), 4).alias("mean_square"))
 
 
 @query("B20 B21")
 def augmented_views(spark, sf_dir):
     rows = planes(spark, sf_dir)
-    both = S.augment(rows, 2, 1).withColumn("mode", F.lit("crop")).unionByName(
-        S.augment(rows, 2, 1, mode="roll").withColumn("mode", F.lit("roll"))
+    both = A.augment(rows, 2, 1).withColumn("mode", F.lit("crop")).unionByName(
+        A.augment(rows, 2, 1, mode="roll").withColumn("mode", F.lit("roll"))
     )
     return both.select("mode", "sample_id", F.col("view").cast("long").alias("view"), r(V.vec_sum("spec"), 4).alias("total"))
 
 
 @query("B22")
 def replayed_copies(spark, sf_dir):
-    out = S.replay_variants(planes(spark, sf_dir), 3, 2)
+    out = A.replay_variants(planes(spark, sf_dir), 3, 2)
     return out.select("sample_id", F.col("replay_no").cast("long").alias("replay_no"), r(V.vec_sum("spec"), 4).alias("total"))
 
 
@@ -281,7 +282,7 @@ bw AS (SELECT user_id, segment_idx, sqrt(greatest(0, sum((f - cf) * (f - cf) * p
 def _intent(spark, sf_dir):
     seg = segments(spark, sf_dir, 32)
     rows = seg.select("user_id", "segment_idx", F.col("v").cast("array<double>").alias("spec"), F.lit(1).alias("c"), F.lit(4).alias("h"), F.lit(8).alias("w"))
-    return S.intent_features(rows)
+    return A.intent_features(rows)
 
 
 @query(
@@ -292,7 +293,7 @@ FROM q JOIN cs USING (user_id, segment_idx) JOIN g USING (user_id, segment_idx)
 )
 def intent_features_of_segments(spark, sf_dir):
     rows = _intent(spark, sf_dir)
-    return rows.select("user_id", "segment_idx", *[r(n, 8).alias(n) for n in S.INTENT_FEATURES])
+    return rows.select("user_id", "segment_idx", *[r(n, 8).alias(n) for n in A.INTENT_FEATURES])
 
 
 @query(

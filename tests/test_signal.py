@@ -5,6 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from spectraloom.operators import augment as A
 from spectraloom.operators import signal as S
 
 
@@ -106,14 +107,14 @@ def test_channels_and_backfill(spark):
 def test_noise_reaches_its_level_and_ignores_partitioning(spark, planes):
     df = specs(spark, [np.random.default_rng(i).normal(size=(2, 32, 32)) for i in range(20)])
     clean = back(df)
-    noisy = S.add_noise(df, 3.0, seed=1)
+    noisy = A.add_noise(df, 3.0, seed=1)
     got = back(noisy)
     ratio = np.mean([np.mean((g - c) ** 2) / np.mean(c**2) for g, c in zip(got, clean)])
     assert 10 * np.log10(1 / ratio) == pytest.approx(3.0, abs=0.2)
-    again = back(S.add_noise(df.repartition(7), 3.0, seed=1))
-    other = back(S.add_noise(df, 3.0, seed=2))
+    again = back(A.add_noise(df.repartition(7), 3.0, seed=1))
+    other = back(A.add_noise(df, 3.0, seed=2))
     assert all(np.array_equal(a, b) for a, b in zip(got, again)) and not np.array_equal(got[0], other[0])
-    swept = S.snr_sweep(df, [25.0, 0.0], seed=1)
+    swept = A.snr_sweep(df, [25.0, 0.0], seed=1)
     same = [np.array_equal(a, b) for a, b in zip(back(swept.where("snr_db = 25")), clean)]
     assert all(same) and swept.count() == 40
 
@@ -121,7 +122,7 @@ def test_noise_reaches_its_level_and_ignores_partitioning(spark, planes):
 @pytest.mark.parametrize("kind", ["wifi", "bluetooth", "microwave", "urban"])
 def test_interference(spark, kind):
     df = specs(spark, [np.random.default_rng(i).normal(size=(2, 64, 120)) for i in range(6)])
-    got, clean = back(S.add_noise(df, 0.0, seed=1, kind=kind)), back(df)
+    got, clean = back(A.add_noise(df, 0.0, seed=1, kind=kind)), back(df)
     changed = [np.mean(g != c) for g, c in zip(got, clean)]
     assert min(changed) > 0
     if kind == "microwave":
@@ -129,7 +130,7 @@ def test_interference(spark, kind):
         assert all(np.array_equal(g[:, :, 50:100], c[:, :, 50:100]) for g, c in zip(got, clean))
     if kind == "bluetooth":
         assert max(changed) < 0.2
-    assert all(np.array_equal(a, b) for a, b in zip(got, back(S.add_noise(df.repartition(5), 0.0, seed=1, kind=kind))))
+    assert all(np.array_equal(a, b) for a, b in zip(got, back(A.add_noise(df.repartition(5), 0.0, seed=1, kind=kind))))
 
 
 def test_matched_background_removes_the_burst(spark):
@@ -137,13 +138,13 @@ def test_matched_background_removes_the_burst(spark):
     quiet = rng.normal(size=(1, 6, 64)) * 0.1
     loud = quiet.copy()
     loud[0, 2, 10:20] += 8.0
-    zero = back(S.matched_background(specs(spark, [loud]), method="zero"))[0]
+    zero = back(A.matched_background(specs(spark, [loud]), method="zero"))[0]
     floor = np.percentile(loud[0, 2].astype(np.float32), 10)
     np.testing.assert_allclose(zero[0, 2, 10:20], floor, rtol=1e-4)
-    filled = back(S.matched_background(specs(spark, [loud]), method="replace", seed=1))[0]
+    filled = back(A.matched_background(specs(spark, [loud]), method="replace", seed=1))[0]
     assert filled[0, 2, 10:20].max() < 1.0
     # applied once, the result has no burst left to remove
-    twice = back(S.matched_background(specs(spark, [filled]), method="zero"))[0]
+    twice = back(A.matched_background(specs(spark, [filled]), method="zero"))[0]
     assert np.abs(twice[0, 2] - filled[0, 2]).max() < 1.0
 
 
@@ -152,7 +153,7 @@ def test_hard_negatives_follow_the_envelope(spark):
     neg = [np.abs(rng.normal(size=(1, 8, 16))) + 0.5 for _ in range(30)]
     shape = np.linspace(0.2, 3, 8)[None, :, None]
     drones = [np.abs(rng.normal(size=(1, 8, 16))) * shape + 0.1 for _ in range(20)]
-    out = S.shape_hard_negatives(specs(spark, neg), specs(spark, drones, 500), 25, seed=1)
+    out = A.shape_hard_negatives(specs(spark, neg), specs(spark, drones, 500), 25, seed=1)
     rows = out.toPandas()
     assert sorted(rows.draw) == list(range(25)) and set(rows.sample_id) <= set(range(30))
     env = np.maximum(np.mean([d[0].mean(1) for d in drones], axis=0), 0)
@@ -165,20 +166,20 @@ def test_hard_negatives_follow_the_envelope(spark):
 
 def test_views_and_replays(spark, planes):
     df = specs(spark, planes[:3])
-    views = S.augment(df, 4, seed=1)
+    views = A.augment(df, 4, seed=1)
     assert views.count() == 12
     first = views.orderBy("sample_id", "view").toPandas().spec
-    second = S.augment(df.repartition(6), 4, seed=1).orderBy("sample_id", "view").toPandas().spec
+    second = A.augment(df.repartition(6), 4, seed=1).orderBy("sample_id", "view").toPandas().spec
     assert all(np.array_equal(a, b) for a, b in zip(first, second))
     assert not np.array_equal(first[0], first[1])
-    replays = S.replay_variants(df, 5, seed=2).toPandas()
+    replays = A.replay_variants(df, 5, seed=2).toPandas()
     assert len(replays) == 15
     for r in replays.itertuples():
         assert abs(np.abs(np.array(r.spec)).mean() / np.abs(planes[r.sample_id]).mean() - 1) < 0.15
 
 
 def test_intent_features(spark, planes):
-    got = S.intent_features(specs(spark, planes)).orderBy("sample_id").toPandas()
+    got = A.intent_features(specs(spark, planes)).orderBy("sample_id").toPandas()
     x = planes[0][0].astype(np.float32).astype(float)
     assert got.temporal_variance[0] == pytest.approx(x.var(axis=1).mean(), rel=1e-6)
     assert got.doppler_spread[0] == pytest.approx(x.std(axis=0).mean(), rel=1e-6)
