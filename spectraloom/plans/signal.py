@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from spectraloom.functions import vectors as V
@@ -66,19 +68,72 @@ def frame_spectrum_of_segments(spark, sf_dir):
     )
 
 
-@query("B2 B6 B8")
-def spectrograms_of_event_series(spark, sf_dir):
-    """Two-channel spectrogram statistics of every segment (value as I, its delayed copy as Q)."""
+# Transforms of the 64-sample segments by the defining sums: value as I, the reversed value as Q, 16 points, hop 4.
+TWO_SIDED_SQL = f"""{seg_sql(64)}, iq AS (SELECT a.user_id, a.segment_idx, a.t, a.v AS i, b.v AS q FROM seg a JOIN seg b ON a.user_id = b.user_id AND a.segment_idx = b.segment_idx AND b.t = 63 - a.t),
+tap AS (SELECT p.frame, j.j, (p.frame - 1) * 4 - 8 + j.j AS t, 0.5 - 0.5 * cos(2 * pi() * j.j / 15) AS w FROM range(0, 19) AS p(frame), range(0, 16) AS j(j)),
+bin AS (SELECT f.bin, j.j, cos(2 * pi() * f.bin * (j.j - 8) / 16) AS c, sin(2 * pi() * f.bin * (j.j - 8) / 16) AS s FROM range(0, 16) AS f(bin), range(0, 16) AS j(j)),
+z AS (SELECT user_id, segment_idx, bin, frame, sum(w * (i * c + q * s)) AS re, sum(w * (q * c - i * s)) AS im FROM iq JOIN tap USING (t) JOIN bin USING (j) GROUP BY ALL),
+spec AS (SELECT user_id, segment_idx, bin, frame, ln(1 + re * re + im * im) AS lp, atan2(im, re) / pi() AS ph FROM z)"""
+
+
+def two_channel(spark, sf_dir, **options):
     seg = segments(spark, sf_dir, 64).withColumn("q", F.reverse("v"))
-    spec = S.stft(seg.withColumnRenamed("v", "i"), "i", "q", n_fft=16, hop=4, size=(16, 16))
-    return spec.select("user_id", "segment_idx", "c", "h", "w", r(V.vec_sum("spec"), 3).alias("total"))
+    return S.stft(seg.withColumnRenamed("v", "i"), "i", "q", n_fft=16, hop=4, **options)
+
+
+def cells(spec):
+    """One row per channel, bin and frame."""
+    at = spec.select("user_id", "segment_idx", "h", "w", F.posexplode("spec").alias("p", "value"))
+    plane = F.col("h") * F.col("w")
+    return at.select(
+        "user_id", "segment_idx", F.floor(F.col("p") / plane).alias("channel"), F.floor(F.col("p") % plane / F.col("w")).alias("bin"), (F.col("p") % F.col("w")).cast("long").alias("frame"),
+        F.col("value").cast("double").alias("value"),
+    )
 
 
-@query("B5 B7")
+@query(
+    "B2 B3 B4",
+    f"""WITH {TWO_SIDED_SQL}, f AS (SELECT *, CAST(CAST(lp AS FLOAT) AS DOUBLE) AS l, CAST(CAST(ph AS FLOAT) AS DOUBLE) AS a FROM spec)
+SELECT user_id, segment_idx, bin, frame, {R('l', 4)} AS log_power, {R('cos(pi() * a) * sqrt(exp(l) - 1)', 3)} AS re, {R('sin(pi() * a) * sqrt(exp(l) - 1)', 3)} AS im FROM f""",
+)
+def stft_values(spark, sf_dir):
+    """Log power and phase of every bin and frame; the phase is shown as the transform's two parts."""
+    at = cells(two_channel(spark, sf_dir, size=None, normalize=False))
+    pair = at.groupBy("user_id", "segment_idx", "bin", "frame").agg(F.max(F.when(F.col("channel") == 0, F.col("value"))).alias("l"), F.max(F.when(F.col("channel") == 1, F.col("value"))).alias("a"))
+    size, angle = F.sqrt(F.exp("l") - 1), F.lit(math.pi) * F.col("a")
+    return pair.select("user_id", "segment_idx", "bin", "frame", r("l", 4).alias("log_power"), r(F.cos(angle) * size, 3).alias("re"), r(F.sin(angle) * size, 3).alias("im"))
+
+
+@query(
+    "B2 B6 B8",
+    f"""WITH {TWO_SIDED_SQL}, near AS (SELECT k.frame, CAST(round(k.frame * 18 / 15.0) AS BIGINT) AS f FROM range(0, 16) AS k(frame)),
+img AS (SELECT user_id, segment_idx, 0 AS channel, bin, near.frame, lp AS x FROM spec JOIN near ON spec.frame = near.f UNION ALL SELECT user_id, segment_idx, 1, bin, near.frame, ph FROM spec JOIN near ON spec.frame = near.f)
+SELECT user_id, segment_idx, CAST(channel AS BIGINT) AS channel, bin, frame,
+  {R('CAST((x - avg(x) OVER p) / CASE WHEN stddev_pop(x) OVER p < 1e-8 THEN 1 ELSE stddev_pop(x) OVER p END AS FLOAT)', 3)} AS value FROM img WINDOW p AS (PARTITION BY user_id, segment_idx, channel)""",
+)
+def spectrograms_of_event_series(spark, sf_dir):
+    """Standardised two-channel spectrogram of every segment, resized to 16 x 16 by nearest cells."""
+    return cells(two_channel(spark, sf_dir, size=(16, 16))).withColumn("value", r("value", 3))
+
+
+@query(
+    "B5 B7",
+    f"""WITH {seg_sql(64)}, iq AS (SELECT a.user_id, a.segment_idx, a.t, a.v AS i, b.v AS q FROM seg a JOIN seg b ON a.user_id = b.user_id AND a.segment_idx = b.segment_idx AND b.t = 63 - a.t),
+tap AS (SELECT p.frame, j.j, p.frame * 4 + j.j AS t, (0.5 - 0.5 * cos(2 * pi() * j.j / 16)) / 8 AS w FROM range(0, 13) AS p(frame), range(0, 16) AS j(j)),
+turn AS (SELECT (f.bin + 8) % 16 AS bin, j.j, cos(2 * pi() * f.bin * j.j / 16) AS c, sin(2 * pi() * f.bin * j.j / 16) AS s FROM range(0, 16) AS f(bin), range(0, 16) AS j(j)),
+z AS (SELECT user_id, segment_idx, bin, frame, sum(w * (i * c + q * s)) AS re, sum(w * (q * c - i * s)) AS im FROM iq JOIN tap USING (t) JOIN turn USING (j) GROUP BY ALL),
+db AS (SELECT user_id, segment_idx, bin, frame, 20 * log10(sqrt(re * re + im * im) + 1e-8) AS d FROM z),
+gr AS (SELECT *, lag(d) OVER o AS b, lead(d) OVER o AS a FROM db WINDOW o AS (PARTITION BY user_id, segment_idx, bin ORDER BY frame)),
+ch AS (SELECT user_id, segment_idx, 0 AS channel, bin, frame, d AS x FROM gr UNION ALL SELECT user_id, segment_idx, 1, bin, frame, CASE WHEN b IS NULL THEN a - d WHEN a IS NULL THEN d - b ELSE (a - b) / 2 END FROM gr),
+col AS (SELECT k.frame, greatest(0, least(12, (k.frame + 0.5) * 13 / 16.0 - 0.5)) AS pos FROM range(0, 16) AS k(frame)),
+img AS (SELECT user_id, segment_idx, channel, bin, col.frame, sum(x * CASE WHEN ch.frame = floor(pos) THEN 1 - (pos - floor(pos)) ELSE pos - floor(pos) END) AS x
+  FROM ch JOIN col ON ch.frame = floor(pos) OR (ch.frame = floor(pos) + 1 AND pos > floor(pos)) GROUP BY ALL)
+SELECT user_id, segment_idx, CAST(channel AS BIGINT) AS channel, bin, frame,
+  {R('CAST((x - avg(x) OVER p) / CASE WHEN stddev_samp(x) OVER p < 1e-8 THEN 1 ELSE stddev_samp(x) OVER p END AS FLOAT)', 3)} AS value FROM img WINDOW p AS (PARTITION BY user_id, segment_idx, channel)""",
+)
 def gradient_spectrograms_of_event_series(spark, sf_dir):
-    seg = segments(spark, sf_dir, 64).withColumn("q", F.reverse("v"))
-    spec = S.stft(seg.withColumnRenamed("v", "i"), "i", "q", n_fft=16, hop=4, size=(16, 16), features="db_grad")
-    return spec.select("user_id", "segment_idx", "c", "h", "w", "feature_version", r(V.vec_sum("spec"), 3).alias("total"))
+    """Standardised decibel spectrogram and its time gradient, resized to 16 x 16 between cells."""
+    return cells(two_channel(spark, sf_dir, size=(16, 16), features="db_grad")).withColumn("value", r("value", 3))
 
 
 @query(
@@ -186,7 +241,38 @@ def planes(spark, sf_dir):
     )
 
 
-@query("B14 B17 G11")
+# The seeded draws of ``augment`` in SQL: z0 -> z1 -> z2 -> uniform, and Box-Muller normals.
+PIXEL_SQL = LONG_CTE + """,
+px AS (SELECT sample_id, label, split, d - 1 AS cell, (d - 1) // 8 AS bin, (d - 1) % 8 AS frame, CAST(CAST(x AS FLOAT) AS DOUBLE) AS x FROM long)"""
+
+
+def u_sql(name: str, source: str) -> str:
+    """CTEs ending in ``name``: the rows of ``source`` (with columns seed and draw) and their uniform number u."""
+    return f"""{name}_0 AS (SELECT *, (seed + draw * 2654435761) & 2147483647 AS z FROM {source}),
+{name}_1 AS (SELECT * REPLACE ((xor(z, z >> 15) * 739982445) & 2147483647 AS z) FROM {name}_0),
+{name}_2 AS (SELECT * REPLACE ((xor(z, z >> 13) * 695872825) & 2147483647 AS z) FROM {name}_1),
+{name} AS (SELECT * EXCLUDE (z), (xor(z, z >> 15) + 0.5) / 2147483648.0 AS u FROM {name}_2)"""
+
+
+def normal_sql(name: str, keys: str, source: str, first: str) -> str:
+    """CTE ``name``: a standard normal per row of ``source`` (keys, seed, cell), from draws first + 2 cell and the next."""
+    return f"""{name}_s AS (SELECT {keys}, seed, cell, half, {first} + 2 * cell + half AS draw FROM {source}, range(0, 2) AS h(half)), {u_sql(name + '_u', name + '_s')},
+{name} AS (SELECT {keys}, cell, sqrt(-2 * ln(max(u) FILTER (half = 0))) * cos(2 * pi() * max(u) FILTER (half = 1)) AS g FROM {name}_u GROUP BY ALL)"""
+
+
+def seed_sql(key: str, seed: int) -> str:
+    return f"(CAST(CAST('0x' || substr(md5({key} || ':{seed}'), 1, 8) AS UBIGINT) AS BIGINT) & 2147483647)"
+
+
+@query(
+    "B14 B17 G11",
+    f"""WITH {PIXEL_SQL}, lv AS (SELECT unnest([0, 1, 2, 3]) AS ordinal, unnest([25.0, 10.0, 0.0, -10.0])::DOUBLE AS snr_db, unnest(['25.0', '10.0', '0.0', '-10.0']) AS name),
+pw AS (SELECT sample_id, avg(x * x) AS power FROM px GROUP BY sample_id),
+src AS (SELECT ordinal, snr_db, sample_id, cell, {seed_sql("sample_id || '|' || name", 3)} AS seed FROM px, lv), {normal_sql('g', 'ordinal, sample_id', 'src', '0')},
+n AS (SELECT ordinal, snr_db, sample_id, x, CASE WHEN snr_db >= 25 THEN x ELSE CAST(CAST(x + g * sqrt(power / pow(10, snr_db / 10)) AS FLOAT) AS DOUBLE) END AS y
+  FROM g JOIN px USING (sample_id, cell) JOIN pw USING (sample_id) JOIN lv USING (ordinal))
+SELECT ordinal, snr_db, count(DISTINCT sample_id) AS n, {R('sum((y - x) * (y - x)) / sum(x * x)', 3)} AS noise_ratio FROM n GROUP BY ALL""",
+)
 def snr_sweep_power(spark, sf_dir):
     """Measured noise-to-signal power of every level; the tests check it against the target."""
     rows = planes(spark, sf_dir)
@@ -236,11 +322,21 @@ def matched_background_noise(spark, sf_dir):
     return out.select("sample_id", r(V.vec_sum("spec"), 4).alias("total"))
 
 
-@query("B19 E17")
+@query(
+    "B19 E17",
+    f"""WITH {PIXEL_SQL}, env AS (SELECT bin, greatest(avg(x), 0) AS e FROM px WHERE split = 'train' GROUP BY bin),
+rk AS (SELECT sample_id, row_number() OVER (ORDER BY md5(sample_id || ':6'), sample_id) AS rn, count(*) OVER () AS n FROM samples WHERE split = 'negatives'),
+dr AS (SELECT draw, CAST(CAST('0x' || substr(md5(draw || ':6'), 1, 8) AS UBIGINT) AS BIGINT) % (SELECT max(n) FROM rk) + 1 AS rn FROM range(0, 200) AS d(draw)),
+own AS (SELECT sample_id, bin, greatest(avg(x), 0) AS o FROM px GROUP BY ALL),
+sc AS (SELECT draw, sample_id, cell, x * greatest(0.5, least(2.0, e / (o + 1e-8))) AS y FROM dr JOIN rk USING (rn) JOIN px USING (sample_id) JOIN own USING (sample_id, bin) JOIN env USING (bin)),
+st AS (SELECT draw, sample_id, cell, (y - avg(y) OVER p) / stddev_pop(y) OVER p AS z FROM sc WINDOW p AS (PARTITION BY draw))
+SELECT draw, sample_id, {R('sum(CAST(CAST(z AS FLOAT) AS DOUBLE) * (cell + 1))', 3)} AS weighted FROM st GROUP BY ALL""",
+)
 def shaped_hard_negatives(spark, sf_dir):
     rows = planes(spark, sf_dir)
     out = A.shape_hard_negatives(rows.where("split = 'negatives'"), rows.where("split = 'train'"), 200, seed=6)
-    return out.select("draw", "sample_id", r(V.vec_mean(F.transform("spec", lambda x: x.cast("double") * x)), 4).alias("mean_square"))
+    weighted = F.aggregate(F.transform("spec", lambda x, i: x.cast("double") * (i + 1)), F.lit(0.0), lambda a, x: a + x)
+    return out.select("draw", "sample_id", r(weighted, 3).alias("weighted"))
 
 
 @query("B20 B21")
@@ -252,7 +348,30 @@ def augmented_views(spark, sf_dir):
     return both.select("mode", "sample_id", F.col("view").cast("long").alias("view"), r(V.vec_sum("spec"), 4).alias("total"))
 
 
-@query("B22")
+@query(
+    "B21",
+    f"""WITH {PIXEL_SQL}, k AS (SELECT sample_id, view, {seed_sql("sample_id || '|' || view", 1)} AS seed FROM samples, range(0, 2) AS r(view)),
+k1 AS (SELECT *, 0 AS draw FROM k), {u_sql('p', 'k1')}, src AS (SELECT sample_id, view, seed, unnest(range(0, 64)) AS cell FROM k), {normal_sql('g', 'sample_id, view', 'src', '8')}
+SELECT sample_id, view, (bin + CAST(floor(-5 + u * 11) AS BIGINT) + 16) % 8 AS bin, {R('sum(CAST(CAST(x + 0.05 * g.g AS FLOAT) AS DOUBLE))', 4)} AS total
+FROM px JOIN g USING (sample_id, cell) JOIN p USING (sample_id, view) GROUP BY ALL""",
+)
+def rolled_views(spark, sf_dir):
+    """Noise and a circular shift of the bins: the sum of every bin."""
+    out = A.augment(planes(spark, sf_dir), 2, 1, mode="roll").select("sample_id", F.col("view").cast("long").alias("view"), F.posexplode("spec").alias("p", "x"))
+    return out.groupBy("sample_id", "view", F.floor(F.col("p") / 8).alias("bin")).agg(r(F.sum(F.col("x").cast("double")), 4).alias("total"))
+
+
+@query(
+    "B22",
+    f"""WITH {PIXEL_SQL}, k AS (SELECT sample_id, replay_no, {seed_sql("sample_id || '|' || replay_no", 2)} AS seed FROM samples, range(0, 3) AS r(replay_no)),
+k4 AS (SELECT *, unnest(range(0, 4)) AS draw FROM k), {u_sql('p', 'k4')},
+par AS (SELECT sample_id, replay_no, max(CAST(floor(1 + u * 5) AS BIGINT)) FILTER (draw = 0) AS t, max(CAST(floor(1 + u * 5) AS BIGINT)) FILTER (draw = 1) AS f,
+  max(0.01 + 0.04 * u) FILTER (draw = 2) AS level, max(0.9 + 0.2 * u) FILTER (draw = 3) AS gain FROM p GROUP BY ALL),
+src AS (SELECT sample_id, replay_no, seed, unnest(range(0, 64)) AS cell FROM k), {normal_sql('g', 'sample_id, replay_no', 'src', '8')},
+y AS (SELECT sample_id, replay_no, CAST(CAST((x + level * g.g) * gain AS FLOAT) AS DOUBLE) AS y FROM px JOIN par USING (sample_id)
+  JOIN g USING (sample_id, replay_no) WHERE g.cell = ((bin + f) % 8) * 8 + (frame + t) % 8)
+SELECT sample_id, replay_no, {R('sum(y)', 4)} AS total FROM y GROUP BY ALL""",
+)
 def replayed_copies(spark, sf_dir):
     out = A.replay_variants(planes(spark, sf_dir), 3, 2)
     return out.select("sample_id", F.col("replay_no").cast("long").alias("replay_no"), r(V.vec_sum("spec"), 4).alias("total"))
