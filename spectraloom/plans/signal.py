@@ -316,8 +316,20 @@ def matched_background_floor(spark, sf_dir):
     return out.select("user_id", "segment_idx", changed.cast("long").alias("removed"), r(V.vec_sum("spec")).alias("total"))
 
 
-@query("B18")
+@query(
+    "B18",
+    f"""WITH {PIXEL_SQL}, a AS (SELECT sample_id, bin, quantile_cont(x, 0.1) AS fl, quantile_cont(x, 0.5) AS med, stddev_pop(x) AS sd, list_sort(list(x)) AS row FROM px GROUP BY ALL),
+b AS (SELECT sample_id, bin, fl + 1.5 * stddev_pop(x) FILTER (x <= fl + sd) AS lim FROM px JOIN a USING (sample_id, bin) GROUP BY sample_id, bin, fl),
+c AS (SELECT sample_id, bin, CASE WHEN count(*) FILTER (x <= lim) < 5 THEN any_value(med) ELSE any_value(lim) END AS lim FROM px JOIN a USING (sample_id, bin) JOIN b USING (sample_id, bin) GROUP BY ALL),
+q AS (SELECT sample_id, bin, any_value(fl) AS fl, any_value(row) AS row, count(*) FILTER (x <= lim) AS n, CASE WHEN count(*) FILTER (x <= lim) > 1 THEN stddev_pop(x) FILTER (x <= lim) ELSE 0.5 * any_value(sd) END AS dev
+  FROM px JOIN a USING (sample_id, bin) JOIN c USING (sample_id, bin) GROUP BY ALL),
+src AS (SELECT sample_id, cell, {seed_sql('sample_id', 4)} AS seed, cell AS draw FROM px), {u_sql('p', 'src')}, {normal_sql('g', 'sample_id', 'p', '64')},
+y AS (SELECT sample_id, CASE WHEN x <= fl + 2 * dev THEN x WHEN n > 1 THEN row[least(CAST(floor(u * n) AS BIGINT), n - 1) + 1] + 0.05 * g.g * dev ELSE fl + g.g * dev END AS y
+  FROM px JOIN q USING (sample_id, bin) JOIN p USING (sample_id, cell) JOIN g USING (sample_id, cell))
+SELECT sample_id, {R('sum(CAST(CAST(y AS FLOAT) AS DOUBLE))', 4)} AS total FROM y GROUP BY ALL""",
+)
 def matched_background_noise(spark, sf_dir):
+    """Signal over each row's noise floor replaced by drawn noise."""
     out = A.matched_background(planes(spark, sf_dir), method="replace", seed=4)
     return out.select("sample_id", r(V.vec_sum("spec"), 4).alias("total"))
 
