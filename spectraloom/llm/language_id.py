@@ -15,6 +15,7 @@ alike; an empty table gives an empty result; of other columns none is read.
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -71,6 +72,14 @@ def held_out(doc_id: str | Column = "doc_id") -> Column:
     return F.crc32(F.coalesce(col.cast("string"), F.lit("")).cast("binary")) % HELD_FOLDS == 0
 
 
+class _Numbers(dict):
+    """word -> number; an unknown word gets the next one."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = number = len(self)
+        return number
+
+
 @dataclass
 class Model:
     langs: list[str]
@@ -78,16 +87,17 @@ class Model:
     writes: np.ndarray  # scripts x languages: bool
     sizes: tuple[int, ...] = (1, 2, 3, 4)
     penalty: float = 8.0
-    _cache: dict = field(default_factory=dict, repr=False)
-    _rows: np.ndarray | list = field(default_factory=list, repr=False)
-    _new: list = field(default_factory=list, repr=False)
+    _cache: _Numbers = field(default_factory=_Numbers, repr=False)
+    _rows: np.ndarray | None = field(default=None, repr=False)
 
     def __getstate__(self):
-        return self.__dict__ | {"_cache": {}, "_rows": [], "_new": []}
+        return self.__dict__ | {"_cache": _Numbers(), "_rows": None}
 
     def score_words(self, words: list[str]) -> np.ndarray:
         """Log-likelihood per word and language against the word's best one; languages of other scripts are out."""
         total = np.zeros((len(words), len(self.langs)))
+        if not words:
+            return total.astype(np.float32)
         grams, firsts = gram_buckets(words, self.sizes, len(self.logp))
         for bucket, count in grams:
             running = np.vstack([np.zeros((1, len(self.langs))), np.cumsum(self.logp[bucket.astype(np.int64)], axis=0, dtype=np.float64)])
@@ -99,34 +109,46 @@ class Model:
 
     def indices(self, words: list[str]) -> np.ndarray:
         """Row of every word in ``_rows``; new words get the next numbers and are scored by ``table``."""
-        known, new = self._cache, self._new
-        out = [known.get(w, -1) for w in words]
-        if -1 in out:
-            for i, at in enumerate(out):
-                if at < 0:
-                    w = words[i]
-                    at = known.get(w, -1)
-                    if at < 0:
-                        at = known[w] = len(known)
-                        new.append(w)
-                    out[i] = at
-        return np.array(out, np.int64)
+        return np.fromiter(map(self._cache.__getitem__, words), np.int64, len(words))
 
     def table(self) -> np.ndarray:
-        if self._new:
-            self._rows = np.concatenate([self._rows, self.score_words(self._new)]) if len(self._rows) else self.score_words(self._new)
-            self._new = []
+        """Scores of all words seen so far."""
+        done = 0 if self._rows is None else len(self._rows)
+        if done < len(self._cache) or self._rows is None:
+            fresh = self.score_words(list(islice(self._cache, done, None)))
+            self._rows = fresh if self._rows is None else np.concatenate([self._rows, fresh])
         return self._rows
 
     def forget(self, above: int = 200_000) -> None:
         if len(self._cache) > above:
-            self._cache, self._rows, self._new = {}, [], []
+            self._cache, self._rows = _Numbers(), None
+
+    def _settled(self, at: list[np.ndarray], table: np.ndarray) -> np.ndarray:
+        """Per text the language that no stretch in another one beats by more than half the penalty, or -1.
+
+        A path of k > 1 stretches pays the penalty at least k - 1 times, at least half of it per stretch, so staying is best.
+        """
+        length = np.fromiter(map(len, at), np.int64, len(at))
+        text = np.repeat(np.arange(len(at)), length)
+        score = table[np.concatenate(at)].astype(np.float64)
+        ends = np.cumsum(length)
+        main = np.add.reduceat(score, ends - length, axis=0).argmax(axis=1)
+        settled = np.ones(len(at), bool)
+        own = score[np.arange(len(score)), main[text]]
+        for lang in range(len(self.langs)):
+            gain = np.cumsum(score[:, lang] - own)
+            before = np.concatenate([[0.0], gain[:-1]])
+            drop = 2 * (np.abs(gain).max() + 1.0)  # texts one below the other: the running minimum starts anew in each
+            least = np.minimum.accumulate(before - text * drop) + text * drop
+            settled &= np.maximum.reduceat(gain - least, ends - length) <= self.penalty / 2
+        return np.where(settled, main, -1)
 
     def label(self, at: list[np.ndarray]) -> list[np.ndarray]:
         """Language number of every word of every text, given the words' rows (at least one each)."""
         table = self.table()
-        order = sorted(range(len(at)), key=lambda i: len(at[i]))
-        out: list[np.ndarray] = [np.empty(0, np.int64)] * len(at)
+        settled = self._settled(at, table).tolist()
+        out = [np.full(len(row), lang) for row, lang in zip(at, settled)]
+        order = sorted((i for i in range(len(at)) if settled[i] < 0), key=lambda i: len(at[i]))
         begin = 0
         while begin < len(order):
             end = begin + 1

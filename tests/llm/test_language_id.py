@@ -67,3 +67,14 @@ def test_edges(spark, model):
     assert L.identify(edges.empty(spark), model).collect() == []
     nothing = L.fit(edges.empty(spark))
     assert nothing.predict(["some text"])["lang_pred"].tolist() == ["und"]
+
+
+def test_settled_texts_are_what_viterbi_gives(model):
+    rng = np.random.default_rng(1)
+    table = -(rng.random((60, len(model.langs))) ** 4).astype(np.float32) * 9
+    table[np.arange(60), rng.integers(0, 2, 60)] = 0
+    at = [rng.integers(0, 60, n) for n in rng.integers(1, 40, 200)]
+    settled = model._settled(at, table)
+    assert 20 < (settled >= 0).sum() < 200
+    for lang, path in zip(settled, model._viterbi(at, table)):
+        assert lang < 0 or set(path.tolist()) == {lang}
