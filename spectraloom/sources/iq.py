@@ -12,7 +12,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyarrow.fs import FileSelector, FileSystem
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -21,20 +22,47 @@ RANGE_SAMPLES = 4 << 20
 # Suffixes that hold raw interleaved pairs, text pairs.
 RAW_SUFFIXES = (".dat", ".bin", ".iq", ".cf32", ".complex64", ".sigmf-data")
 CSV_SUFFIXES = (".csv", ".txt")
+CSV_PATTERN, CSV_GLOB = r"\.(csv|txt)$", "*.{[cC][sS][vV],[tT][xX][tT]}"
 
 IQ_SCHEMA = "recording_id string, chunk_no long, start_sample long, i array<float>, q array<float>"
 
 
+def open_file(uri: str):
+    """Random-access file at a URI of any file system that Arrow knows."""
+    system, path = FileSystem.from_uri(_uri(uri))
+    return system.open_input_file(path)
+
+
+def _uri(path: str) -> str:
+    """``file:/x`` and plain paths as ``file:///x``."""
+    return "file:///" + path.removeprefix("file:").lstrip("/") if path.startswith(("file:", "/")) else path
+
+
+def _arrow_reads(uri: str) -> bool:
+    try:
+        FileSystem.from_uri(_uri(uri.split("*")[0]))
+    except (pa.ArrowInvalid, NotImplementedError, OSError):
+        return False
+    return True
+
+
+def read_range(uri: str, name: str, first: int, last: int, total: int, chunk: int, halo: int) -> Iterator[pa.RecordBatch]:
+    """Chunks that start in samples [first, last) of a file, read by seeking."""
+    with open_file(uri) as fh:
+        for start in range(first, last, chunk):
+            want = min(start + chunk, last) + halo
+            yield _chunk_batch(name, start, chunk, fh.read_at((min(want, total) - start) * SAMPLE_BYTES, start * SAMPLE_BYTES))
+
+
 class _Range(InputPartition):
-    def __init__(self, path: str, name: str, first: int, last: int, total: int):
-        self.path, self.name, self.first, self.last, self.total = path, name, first, last, total
+    def __init__(self, path: str, first: int, last: int, total: int):
+        self.path, self.first, self.last, self.total = path, first, last, total
 
 
 class IqDataSource(DataSource):
-    """``spark.read.format("iq").option("paths", json list).option("chunk", n).option("halo", n)``.
+    """``spark.read.format("iq").option("chunk", n).option("halo", n).load(folder or file)``.
 
-    The paths and lengths come from Spark's own file listing (see ``read_iq``); files must be
-    reachable by every executor under the same path.
+    One partition per byte range. The listing is made on the driver, as for any source; ``read_iq`` keeps it distributed.
     """
 
     @classmethod
@@ -50,43 +78,39 @@ class IqDataSource(DataSource):
 
 class _IqReader(DataSourceReader):
     def __init__(self, options):
-        import json
-
-        self.files = json.loads(options["paths"])
+        self.root = options["path"]
         self.chunk = int(options.get("chunk", "65536"))
         self.halo = int(options.get("halo", "0"))
         limit = options.get("maxsamples")
         self.limit = int(limit) if limit else None
-        wanted = int(options.get("rangesamples", str(RANGE_SAMPLES)))
-        self.span = max(self.chunk, wanted // self.chunk * self.chunk)
+        self.span = _span(int(options.get("rangesamples", str(RANGE_SAMPLES))), self.chunk)
 
     def partitions(self):
+        system, path = FileSystem.from_uri(_uri(self.root))
+        info = system.get_file_info(path)
+        files = [info] if info.is_file else [f for f in system.get_file_info(FileSelector(path, recursive=True)) if f.is_file]
+        scheme = _uri(self.root).split("://")[0]
         parts = []
-        for path, name, length in self.files:
-            total = length // SAMPLE_BYTES
+        for f in sorted(files, key=lambda f: f.path):
+            if not f.base_name.lower().endswith(RAW_SUFFIXES):
+                continue
+            total = f.size // SAMPLE_BYTES
             total = total if self.limit is None else min(total, self.limit)
-            for first in range(0, total, self.span):
-                parts.append(_Range(path, name, first, min(first + self.span, total), total))
-        return parts or [_Range("", "", 0, 0, 0)]
+            uri = f"{scheme}://{f.path}"
+            parts += [_Range(uri, first, min(first + self.span, total), total) for first in range(0, total, self.span)]
+        return parts or [_Range("", 0, 0, 0)]
 
     def read(self, part: _Range) -> Iterator[pa.RecordBatch]:
-        if not part.path:
-            return
-        name = part.name
-        with open(_local(part.path), "rb") as fh:
-            for start in range(part.first, part.last, self.chunk):
-                stop = min(start + self.chunk, part.last)
-                fh.seek(start * SAMPLE_BYTES)
-                want = min(stop + self.halo, part.total) - start
-                yield _chunk_batch(name, start, self.chunk, fh.read(want * SAMPLE_BYTES))
+        if part.path:
+            yield from read_range(part.path, _recording_name(part.path, self.root), part.first, part.last, part.total, self.chunk, self.halo)
 
 
-def _local(path: str) -> str:
-    return "/" + path.removeprefix("file:").lstrip("/")
+def _span(range_samples: int, chunk: int) -> int:
+    return max(chunk, range_samples // chunk * chunk)
 
 
 def _chunk_batch(name: str, start: int, chunk: int, data: bytes) -> pa.RecordBatch:
-    pairs = np.frombuffer(data, dtype="<f4")
+    pairs = np.frombuffer(data[: len(data) // SAMPLE_BYTES * SAMPLE_BYTES], dtype="<f4")
     floats = pa.list_(pa.float32())
     return pa.RecordBatch.from_arrays(
         [
@@ -97,11 +121,26 @@ def _chunk_batch(name: str, start: int, chunk: int, data: bytes) -> pa.RecordBat
     )
 
 
-def _read_objects(spark: SparkSession, files: list[tuple[str, str, int]], chunk: int, halo: int, max_samples: int | None) -> DataFrame:
-    """Recordings on an object store or HDFS: one task reads one file (2 GB at most) through Spark's own file access."""
-    names = F.create_map(*[x for path, name, _ in files for x in (F.lit(path), F.lit(name))])
-    rows = spark.read.format("binaryFile").load([p for p, _, _ in files])
-    rows = rows.select(F.element_at(names, F.col("path")).alias("name"), "content")
+def read_raw(files: DataFrame, chunk: int, halo: int, max_samples: int | None, range_samples: int) -> DataFrame:
+    """``files`` (path, name, length): byte ranges are rows of a DataFrame, dealt to tasks that seek and read them."""
+    total = F.floor(F.col("length") / SAMPLE_BYTES)
+    total = total if max_samples is None else F.least(total, F.lit(max_samples))
+    span = _span(range_samples, chunk)
+    ranges = files.withColumn("total", total.cast("long")).where("total > 0").withColumn("first", F.explode(F.sequence(F.lit(0).cast("long"), F.col("total") - 1, F.lit(span).cast("long"))))
+    dealt = ranges.select("path", "name", "first", "total").repartition("path", "first")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, name, first, total in zip(*[c.to_pylist() for c in batch.columns]):
+                yield from read_range(path, name, first, min(first + span, total), total, chunk, halo)
+
+    return dealt.mapInArrow(run, IQ_SCHEMA)
+
+
+def read_through_spark(spark: SparkSession, root: str, name: Column, chunk: int, halo: int, max_samples: int | None) -> DataFrame:
+    """For stores that only Spark's file access knows: one task reads one file, 2 GB at most."""
+    rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    rows = rows.where(~F.lower("path").rlike(CSV_PATTERN)).select(name.alias("name"), "content")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -128,53 +167,49 @@ def read_iq(
 ) -> DataFrame:
     """Chunks of every recording at a path. ``auto`` picks the reader by suffix, raw pairs otherwise.
 
-    File names and lengths pass the driver (as with any file listing), samples do not.
+    The listing stays a DataFrame; its byte ranges are opened on the executors.
     """
-    import json
-
     listing = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length")
-    raw, text = [], []
-    for row in listing.orderBy("path").collect():
-        is_text = format == "csv" or (format == "auto" and row["path"].lower().endswith(CSV_SUFFIXES))
-        (text if is_text else raw).append((row["path"], _recording_name(row["path"], path), row["length"]))
-    parts = []
-    near = [f for f in raw if f[0].startswith("file:")]
-    far = [f for f in raw if not f[0].startswith("file:")]
-    if near or not raw:
-        spark.dataSource.register(IqDataSource)
-        reader = spark.read.format("iq").option("paths", json.dumps(near)).option("chunk", chunk).option("halo", halo)
-        reader = reader.option("rangesamples", range_samples)
-        parts.append((reader if max_samples is None else reader.option("maxsamples", max_samples)).load())
-    if far:
-        parts.append(_read_objects(spark, far, chunk, halo, max_samples))
-    if text:
-        names = {p: n for p, n, _ in text}
-        parts.append(read_iq_csv(spark, list(names), chunk, max_samples, halo, root=path))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    is_text = F.lit(True) if format == "csv" else F.lower("path").rlike(CSV_PATTERN) if format == "auto" else F.lit(False)
+    name = recording_name(F.col("path"), path)
+    if format != "csv" and not _arrow_reads(path):
+        raw = read_through_spark(spark, path, name, chunk, halo, max_samples)
+    else:
+        raw = read_raw(listing.where(~is_text).select("path", name.alias("name"), "length"), chunk, halo, max_samples, range_samples)
+    if listing.where(is_text).isEmpty():
+        return raw
+    return raw.unionByName(read_iq_csv(spark, path, chunk, max_samples, halo, root=path, only=None if format == "csv" else CSV_GLOB))
+
+
+def _base(root: str) -> str:
+    """The folder that names are relative to."""
+    base = root.split("*")[0].rstrip("/") if "*" not in root else root.split("*")[0].rsplit("/", 1)[0]
+    return base.removeprefix("file:").rstrip("/") + "/"
 
 
 def _recording_name(file: str, root: str) -> str:
     """Path below the folder that was read, so equal names in different folders stay apart."""
-    base = root.split("*")[0].rstrip("/") if "*" not in root else root.split("*")[0].rsplit("/", 1)[0]
-    at = file.find(base.removeprefix("file:") + "/")
-    return file[at + len(base.removeprefix("file:")) + 1 :] if at >= 0 else os.path.basename(file)
+    at = file.find(_base(root))
+    return file[at + len(_base(root)) :] if at >= 0 else os.path.basename(file)
+
+
+def recording_name(file: Column, root: str) -> Column:
+    """Column form of the same."""
+    at = F.locate(_base(root), file)
+    return F.when(at > 0, F.substring(file, at + len(_base(root)), F.length(file))).otherwise(F.element_at(F.split(file, "/"), -1))
 
 
 def read_iq_csv(
-    spark: SparkSession, path: str | list[str], chunk: int = 65_536, max_samples: int | None = None, halo: int = 0, root: str | None = None
+    spark: SparkSession, path: str, chunk: int = 65_536, max_samples: int | None = None, halo: int = 0, root: str | None = None, only: str | None = None
 ) -> DataFrame:
     """Text of comma-separated numbers, even positions I and odd positions Q, as chunk rows.
 
     A text recording is one line, so one row; binary recordings are the format for large ones.
     """
-    name = F.element_at(F.split("_metadata.file_path", "/"), -1)
-    if root is not None:
-        base = root.split("*")[0].rstrip("/").removeprefix("file:") + "/"
-        name = F.coalesce(F.try_element_at(F.split("_metadata.file_path", base.replace(".", "[.]"), 2), F.lit(2)), name)
-    text = spark.read.text(path, wholetext=True).withColumn("recording_id", name)
+    file = F.col("_metadata.file_path")
+    name = F.element_at(F.split(file, "/"), -1) if root is None else recording_name(file, root)
+    reader = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true")
+    text = (reader.option("pathGlobFilter", only) if only else reader).text(path).withColumn("recording_id", name)
     numbers = F.filter(F.split(F.regexp_replace("value", r"[\s;]+", ","), ","), lambda x: x != "")
     rows = text.select("recording_id", F.transform(numbers, lambda x: x.cast("float")).alias("_n"))
     pairs = F.floor(F.size("_n") / 2).cast("int")

@@ -50,8 +50,7 @@ def test_reader_choice_and_discovery(spark, recording):
 
 def test_object_store_path_gives_the_same_chunks(spark, recording):
     folder, z = recording
-    files = [(f"file:{folder}/a.dat", "a.dat", 80_000)]
-    df = IQ._read_objects(spark, files, 3000, 500, None).orderBy("start_sample").toPandas()
+    df = IQ.read_through_spark(spark, f"file:{folder}/a.dat", F.lit("a.dat"), 3000, 500, None).orderBy("start_sample").toPandas()
     got = np.concatenate([np.array(i)[:3000] + 1j * np.array(q)[:3000] for i, q in zip(df.i, df.q)])
     assert np.array_equal(got.astype(np.complex64), z) and [len(i) for i in df.i] == [3500, 3500, 3500, 1000]
 
