@@ -19,9 +19,22 @@ MATCH_THRESHOLD = 0.85
 STACK_BYTES = 64 << 20
 
 
+def _closest(df: DataFrame, registry: DataFrame, df_id: str, col: str, out_id: str, out_sim: str) -> DataFrame:
+    """The most similar registry entry; of equally similar ones the earliest enrolled, then the smallest serial.
+
+    The search breaks ties by the base's id, so the id is the enrolment time in front of the serial.
+    """
+    if "enrolled_at" not in registry.columns:
+        return nearest_one(df, registry, df_id, "serial", col, "fingerprint", out_id, out_sim)
+    since = F.coalesce(F.unix_micros(F.col("enrolled_at").cast("timestamp")), F.lit(0)) + F.lit(1 << 62)
+    keyed = registry.select(F.concat(F.lpad(since.cast("string"), 20, "0"), F.col("serial")).alias("_key"), "fingerprint")
+    found = nearest_one(df, keyed, df_id, "_key", col, "fingerprint", out_id, out_sim)
+    return found.withColumn(out_id, F.expr(f"substring({out_id}, 21)"))
+
+
 def identify(df: DataFrame, registry: DataFrame, df_id: str, col: str, thr: float = MATCH_THRESHOLD) -> DataFrame:
     """Closest registry entry; FRIENDLY at or above the threshold, else UNKNOWN. Empty registry: UNKNOWN, 0."""
-    best = nearest_one(df, registry, df_id, "serial", col, "fingerprint", "best_serial", "best_sim")
+    best = _closest(df, registry, df_id, col, "best_serial", "best_sim")
     friendly = F.col("best_sim") >= thr
     return best.withColumn("verdict", F.when(friendly, "FRIENDLY").otherwise("UNKNOWN")).withColumn(
         "similarity", F.coalesce("best_sim", F.lit(0.0))
@@ -70,7 +83,7 @@ def _registry_chunks(registry: DataFrame):
 
 def find_by_fingerprint(df: DataFrame, registry: DataFrame, df_id: str, col: str, thr: float = MATCH_THRESHOLD) -> DataFrame:
     """Serial of the closest entry when it is close enough, else NULL."""
-    best = nearest_one(df, registry, df_id, "serial", col, "fingerprint", "best_serial", "best_sim")
+    best = _closest(df, registry, df_id, col, "best_serial", "best_sim")
     return best.withColumn("found_serial", F.when(F.col("best_sim") >= thr, F.col("best_serial")))
 
 
@@ -90,7 +103,7 @@ def authenticate(
     known transmitter behind an unknown serial.
     """
     enrolled = find_by_serial(packets, registry, "serial")
-    best = nearest_one(enrolled, registry, packet_id, "serial", "fingerprint", "fingerprint", "closest", "closest_sim")
+    best = _closest(enrolled, registry, packet_id, "fingerprint", "closest", "closest_sim")
     claimed_sim = V.cosine("fingerprint", "enrolled_fingerprint")
     rows = best.withColumn("claimed_sim", claimed_sim)
     sim, near = F.col("claimed_sim"), F.col("closest_sim")

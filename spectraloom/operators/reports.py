@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spectraloom.functions.labels import artifact_grade
 from spectraloom.functions.rows import attach_row
 from spectraloom.functions import vectors as V
 from spectraloom.operators import ranking as K
+from spectraloom.operators.moments import centroid
 from spectraloom.operators.prefix import exact_percentiles
 
 
@@ -223,14 +225,25 @@ def count_modified(pairs: DataFrame, a: str, b: str) -> DataFrame:
     )
 
 
-def artifact_check(matched: DataFrame, random: DataFrame, s: str) -> DataFrame:
-    """Can matched and random backgrounds be told apart by the score, in either direction?"""
+def centroid_probe(a: DataFrame, b: DataFrame, col: str) -> DataFrame:
+    """Accuracy of the linear probe between two class means: is a row closer to its own class's mean? One row."""
+    both = a.select(F.lit(1).alias("y"), F.col(col).alias("x")).unionByName(b.select(F.lit(0).alias("y"), F.col(col).alias("x")))
+    means = {r["y"]: F.lit([float(v) for v in r["centroid"]]) for r in centroid(both, "x", "y").collect()}  # two rows
+    first = V.sq_dist("x", means[1]) < V.sq_dist("x", means[0])
+    return both.agg(F.avg((first == (F.col("y") == 1)).cast("double")).alias("accuracy"))
+
+
+def artifact_check(matched: DataFrame, random: DataFrame, s: str, probe: DataFrame | None = None) -> DataFrame:
+    """Can matched and random backgrounds be told apart by the score, in either direction, or by a probe?
+
+    ``probe`` is one row with the accuracy of a classifier that was asked the same question; without it the score decides alone.
+    """
     both = matched.select(F.lit(1).alias("y"), F.col(s)).unionByName(random.select(F.lit(0).alias("y"), F.col(s)))
     sep = F.greatest(F.col("auc"), F.lit(1.0) - F.col("auc"))
-    return K.auc(both, "y", s).withColumn("separability", sep).withColumn(
-        "verdict",
-        F.when(sep > 0.7, "inflated").when(sep < 0.6, "clean").otherwise("inconclusive"),
-    )
+    rows = K.auc(both, "y", s).withColumn("separability", sep)
+    asked = rows.withColumn("probe", probe.scalar() if probe is not None else F.lit(0.5))
+    judged = asked.withColumn("verdict", artifact_grade("separability", "probe"))
+    return judged if probe is not None else judged.drop("probe")
 
 
 def surgery_check(original: DataFrame, modified: DataFrame, matched: DataFrame, s: str) -> DataFrame:

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from spectraloom.functions import labels as L
 from spectraloom.operators import ranking as K
 from spectraloom.operators import reports as P
 from spectraloom.operators.prefix import exact_percentiles
-from spectraloom.plans.base import R, query, r, table
+from spectraloom.plans.base import R, query, r, samples, table
 from spectraloom.plans.detection import SCORES_CTE, cosine_scores
 
 
@@ -254,6 +255,44 @@ def artifact_check_auc(spark, sf_dir):
     return out.select(r("auc").alias("auc"), r("separability").alias("separability"), "verdict")
 
 
+@query(
+    "G12 C13 H1",
+    f"""WITH {SCORES_CTE}, sc AS (SELECT CAST(label = 8 AS INT) AS y, -dist AS sdist FROM scores WHERE split = 'negatives'),
+{counts_sql('sc', 'sdist')}, a AS (SELECT greatest({AUC_SQL}, 1 - {AUC_SQL}) AS sep FROM roc),
+px AS (SELECT vec_id, label, unnest(range(0, 64)) AS d, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings WHERE label IN (8, 9)),
+mu AS (SELECT label AS side, d, avg(x) AS m FROM px GROUP BY ALL), ds AS (SELECT vec_id, label, side, sum((x - m) * (x - m)) AS q FROM px JOIN mu USING (d) GROUP BY ALL),
+pr AS (SELECT avg(CAST((max8 < max9) = (label = 8) AS INT)) AS probe FROM (SELECT vec_id, label, max(q) FILTER (side = 8) AS max8, max(q) FILTER (side = 9) AS max9 FROM ds GROUP BY ALL))
+SELECT {R('sep')} AS separability, {R('probe')} AS probe,
+  CASE WHEN sep > 0.7 OR probe > 0.8 THEN 'inflated' WHEN sep < 0.6 AND probe < 0.65 THEN 'clean' ELSE 'inconclusive' END AS verdict FROM a, pr""",
+)
+def artifact_check_with_probe(spark, sf_dir):
+    """The same question asked of the score and of a linear probe on the vectors."""
+    rows = cosine_scores(spark, sf_dir).withColumn("s", -F.col("dist"))
+    vectors = samples(spark, sf_dir)
+    probe = P.centroid_probe(vectors.where("label = 8"), vectors.where("label = 9"), "embedding")
+    out = P.artifact_check(rows.where("label = 8"), rows.where("label = 9"), "s", probe)
+    return out.select(r("separability").alias("separability"), r("probe").alias("probe"), "verdict")
+
+
+@query(
+    "C13",
+    f"""WITH {SCORES_CTE}, t AS (SELECT quantile_cont(dist, 0.95) AS thr FROM scores WHERE split = 'train'),
+g AS (SELECT n.label, avg(CASE WHEN p.dist < n.dist THEN 1.0 WHEN p.dist = n.dist THEN 0.5 ELSE 0 END) AS auc FROM scores n, scores p WHERE n.split <> 'train' AND p.split = 'train' GROUP BY n.label),
+f AS (SELECT label, avg(CASE WHEN dist <= thr THEN 1.0 ELSE 0 END) AS fp FROM scores, t WHERE split <> 'train' GROUP BY label)
+SELECT label, {R('auc')} AS auc, {R('fp')} AS false_positive, CASE WHEN auc > 0.95 AND fp < 0.1 THEN 'PASS' WHEN auc > 0.85 THEN 'PARTIAL' ELSE 'FAIL' END AS grade FROM g JOIN f USING (label)""",
+)
+def hard_negative_grades(spark, sf_dir):
+    """Every type outside the fit as a hard negative: AUC of the train scores against it, and its false positives."""
+    rows = cosine_scores(spark, sf_dir)
+    train, rest = rows.where("split = 'train'"), rows.where("split <> 'train'")
+    limit = exact_percentiles(train, "dist", [0.95]).select(F.element_at("pct", 1).alias("t"))
+    # one shared positive set against every type's negatives: the types take the positive side of the mirrored score
+    auc = K.auc_by_type(rest.select("label", F.col("dist").alias("s")), train.select(F.col("dist").alias("s")), "s", "label")
+    fp = rest.groupBy("label").agg(F.avg((F.col("dist") <= limit.scalar()).cast("double")).alias("fp"))
+    out = auc.join(fp, "label").withColumn("grade", L.hard_negative_grade("auc", "fp"))
+    return out.select("label", r("auc").alias("auc"), r("fp").alias("false_positive"), "grade")
+
+
 @query(
     "G13 C13",
     f"""WITH {SCORES_CTE}, sc AS (SELECT 'original_vs_modified' AS test, CAST(label = 8 AS INT) AS y, -dist AS s FROM scores WHERE label IN (8, 9)

@@ -275,3 +275,14 @@ def test_curves_do_not_depend_on_the_block_size(rows):
     for run in (lambda size: C.enrollment_curve(df, cur, "label", "enrolled_at", thr=0.1, stack_bytes=size), lambda size: C.repair_curve(df, cur, snap, "label", thr=0.1, stack_bytes=size)):
         whole = row(run(1 << 20))
         assert whole == row(run(1)) and len(whole) > 3
+
+
+def test_equal_similarity_goes_to_the_earliest_enrolled(spark):
+    reg = spark.createDataFrame(
+        [("b", [1.0, 0.0], "2024-01-02"), ("a", [1.0, 0.0], "2024-01-05"), ("c", [1.0, 0.0], "2024-01-02"), ("z", [0.0, 1.0], None), ("y", [0.0, 1.0], "1960-01-01")],
+        "serial string, fingerprint array<double>, t string",
+    ).withColumn("enrolled_at", F.to_timestamp("t"))
+    df = spark.createDataFrame([(1, [2.0, 0.0]), (2, [0.0, 3.0])], "id int, embedding array<double>")
+    got = {r["id"]: r["matched"] for r in M.identify(df, reg, "id", "embedding").collect()}
+    assert got == {1: "b", 2: "y"}
+    assert {r["id"]: r["found_serial"] for r in M.find_by_fingerprint(df, reg, "id", "embedding").collect()} == got
