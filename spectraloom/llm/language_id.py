@@ -14,17 +14,17 @@ alike; an empty table gives an empty result; of other columns none is read.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import islice
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spectraloom.llm.common import unused
-
 #: First code points of the letter ranges of scripts (Unicode blocks), in order.
 SCRIPT_STARTS = [
     (0x0041, "latin"), (0x0370, "greek"), (0x0400, "cyrillic"), (0x0530, "armenian"), (0x0590, "hebrew"), (0x0600, "arabic"), (0x0900, "devanagari"),
@@ -35,7 +35,9 @@ SCRIPT_STARTS = [
 SCRIPTS = sorted({name for _, name in SCRIPT_STARTS})
 WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 HELD_FOLDS = 5
-CHARS_AT_ONCE = 1_000_000
+CHARS_AT_ONCE = 400_000
+WORDS_AT_ONCE = 20_000
+ROWS_AT_ONCE = 1_000
 
 
 STARTS = np.array([start for start, _ in SCRIPT_STARTS])
@@ -115,8 +117,11 @@ class Model:
         """Scores of all words seen so far."""
         done = 0 if self._rows is None else len(self._rows)
         if done < len(self._cache) or self._rows is None:
-            fresh = self.score_words(list(islice(self._cache, done, None)))
-            self._rows = fresh if self._rows is None else np.concatenate([self._rows, fresh])
+            new = iter(islice(self._cache, done, None))
+            parts = [] if self._rows is None else [self._rows]
+            while words := list(islice(new, WORDS_AT_ONCE)):
+                parts.append(self.score_words(words))
+            self._rows = np.concatenate(parts) if parts else self.score_words([])
         return self._rows
 
     def forget(self, above: int = 200_000) -> None:
@@ -276,5 +281,13 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", with_spans:
 
 def keep_identified(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """The documents whose language could be told."""
-    out = unused(docs, "language")
-    return identify(docs, model, text_col, out=out).where(F.col(out)["lang_pred"] != "und").drop(out)
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, ROWS_AT_ONCE):
+                part = batch.slice(start, ROWS_AT_ONCE)
+                lang = model.predict(part.column(at).to_pylist())["lang_pred"].to_numpy()
+                yield part.filter(pa.array(lang != "und"))
+
+    return docs.mapInArrow(run, docs.schema)
