@@ -39,11 +39,11 @@ def assign_shards(sized: DataFrame, order_col: str, size_col: str, shards: int,
         "*", F.coalesce(F.sum(size_col).over(up_to), F.lit(0)).alias("_local"), (F.row_number().over(inside) - 1).alias("_n"),
     )
     total = fixed.agg(F.sum(size_col).alias("t")).scalar()
-    middle = (F.col("_local") + F.col("_byte_off")) * 2 + F.col(size_col)  # in half bytes
-    shard = F.least(F.lit(shards - 1), F.floor(middle.cast("decimal(38,0)") * shards / (total * 2)).cast("int"))
+    middle = ((F.col("_local") + F.col("_byte_off")) * 2 + F.col(size_col)).alias("_middle")  # in half bytes
+    shard = F.expr(f"CAST(LEAST({shards - 1}, CAST(_middle AS DECIMAL(38, 0)) * {shards} DIV GREATEST(_total * 2, 1)) AS INT)")
     placed = local.join(F.broadcast(offsets), F.col("_range") == F.col("_r")).select(
-        *sized.columns, shard.alias("shard"), (F.col("_n") + F.col("_row_off")).alias("_row"),
-    )
+        *sized.columns, middle, total.alias("_total"), (F.col("_n") + F.col("_row_off")).alias("_row"),
+    ).withColumn("shard", shard).drop("_middle", "_total")
     placed = stored(placed, "shard-rows")
     firsts = placed.groupBy(F.col("shard").alias("_s")).agg(F.min("_row").alias("_first"))  # one row per shard
     joined = placed.join(F.broadcast(firsts), F.col("shard") == F.col("_s"))

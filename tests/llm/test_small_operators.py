@@ -122,3 +122,16 @@ def test_main_text_of_long_and_repeated_pages(spark):
     assert got[0].text.count("\n\n") == 19_999 and got[0].n_chars == len(got[0].text)
     assert [(r.text, r.n_chars) for r in got[1:]] == [("", 0)] * 2
     assert html_extraction.main_text(pages.limit(0), WEIGHTS).collect() == []
+
+
+def test_shards_of_nothing_but_zero_sizes(spark):
+    got = sharding.assign_shards(spark.range(5).selectExpr("id", "0L AS size"), "id", "size", 3).collect()
+    assert sorted((r.id, r.shard, r.slot) for r in got) == [(i, 0, i) for i in range(5)]
+
+
+def test_a_row_just_before_a_cut(spark):
+    """Cuts are exact, also where the quotient is a whole number but for a rounding error."""
+    sizes = [10**12 - 1, 1, 2, 10**12 - 2]
+    df = spark.createDataFrame(list(enumerate(sizes)), "id long, size long")
+    got = {r.id: r.shard for r in sharding.assign_shards(df, "id", "size", 2).collect()}
+    assert got == {0: 0, 1: 0, 2: 1, 3: 1}
