@@ -77,3 +77,29 @@ def test_band_holds_every_shift():
     text = item[:60] + "z" * budget + item[60:]
     unit, _, edits = index.search(D._points("x" * 37 + text + "y" * 20))
     assert len(unit) and edits.min() == budget
+
+
+def test_excerpts_from_any_place_of_an_item(spark):
+    """120 characters of a long item, cut out anywhere, are a leak; with as many edits as the budget too, as long as no more."""
+    rng = random.Random(11)
+    item = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(400))
+    bench = spark.createDataFrame([(1, item), (2, "".join(rng.sample("abcdefghijklmnopqrstuvwxyz", 26)) * 4)], "item_id long, text string")
+    cuts = {1000 + o: item[o : o + 120] for o in range(0, 281, 7)}
+    for k, o in enumerate(range(3, 270, 11)):
+        cuts[2000 + k] = "".join("#" if i in set(range(5, 120, 10 + k % 3)) else c for i, c in enumerate(item[o : o + 120])).replace("#", "0")
+    docs = edges.docs(spark, [(i, edges.sentence(rng, 5) + " " + t + " " + edges.sentence(rng, 5), "en", "a") for i, t in cuts.items()])
+    got = {r.doc_id: r.edits for r in D.find_leaks(docs, bench).collect()}
+    want = {}
+    for i, t in cuts.items():
+        least = min(within(item[o : o + 120], t) for o in range(281) if i < 2000 or abs(o - (3 + 11 * (i - 2000))) < 12) if i >= 2000 else 0
+        if least <= 9:
+            want[i] = least
+    assert got == want and len([i for i in want if i < 2000]) == 41
+
+
+def test_short_items_on_word_boundaries(spark):
+    bench = spark.createDataFrame([(1, "Cat sat!"), (2, "今天天气很好。"), (3, "cat sat"), (4, "a"), (5, "?!")], "item_id long, text string")
+    texts = ["The cat, sat down", "concat sat down", "the cat saturday", "他说：“今天天气很好”。", "今天天气很好吗", "cat sat", "x"]
+    docs = edges.docs(spark, [(i, t, "en", "a") for i, t in enumerate(texts)])
+    assert sorted((r.doc_id, r.item_id, r.edits) for r in D.find_leaks(docs, bench).collect()) == [(0, 1, 0), (0, 3, 0), (3, 2, 0), (5, 1, 0), (5, 3, 0)]
+    assert {r.doc_id for r in D.drop_contaminated(docs, bench).collect()} == {1, 2, 4, 6}
