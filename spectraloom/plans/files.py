@@ -75,6 +75,20 @@ def text_recordings_read_back(spark, sf_dir):
     return chunk_rows(iq.read_iq(spark, folder, chunk=100))
 
 
+@query("A1 A2 A4", chunk_sql(NAME_SQL + "CASE WHEN recording_id % 2 = 0 THEN '.dat' ELSE '.bin' END"))
+def raw_recordings_all_read_back(spark, sf_dir):
+    """Every recording as interleaved pairs under one of two suffixes."""
+    folder = write_files(samples(spark, sf_dir), new_folder(spark, "iq"), (".dat", ".bin"))
+    return chunk_rows(iq.read_iq(spark, folder, chunk=100, range_samples=250))
+
+
+@query("A3 A4", chunk_sql(NAME_SQL + "'.csv'"))
+def text_recordings_all_read_back(spark, sf_dir):
+    """Every recording as text."""
+    folder = write_files(samples(spark, sf_dir), new_folder(spark, "csv"), (".csv",), text=True)
+    return chunk_rows(iq.read_iq(spark, folder, chunk=100))
+
+
 @query("A5", f"WITH {SAMPLES_CTE} SELECT {NAME_SQL} '.iq' AS name, '.iq' AS suffix, count(*) * 256 AS length FROM samples GROUP BY recording_id")
 def list_recordings_of_folder(spark, sf_dir):
     folder = write_files(samples(spark, sf_dir), new_folder(spark, "list"), (".iq",))

@@ -149,3 +149,12 @@ def test_registry_files_keep_versions(spark, tmp_path):
     REG.save_registry(newer, path)
     assert {r["serial"] for r in REG.load_registry(spark, path).collect()} == {"s1", "s2"}
     assert REG.list_registry(newer).count() == 2
+
+
+def test_read_back_of_every_recording(spark):
+    from spectraloom.plans import catalogue
+    from tests.compare import sf_dir
+
+    for name in ("text_recordings_all_read_back", "raw_recordings_all_read_back"):
+        rows = catalogue()[name].run(spark, sf_dir("0.001")).select("recording_id").distinct().collect()
+        assert len(rows) == 20
