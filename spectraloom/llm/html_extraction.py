@@ -1,7 +1,7 @@
 """Main text of web pages as the maximum-scoring run of tokens.
 
 A page is a sequence of tags and words. Words score positive and tags negative; what lies below an element that labelled pages show to be
-surroundings (menus, notices, adverts, comments ...) has no positive words. The weights are log-odds counted on the labelled pages: words inside and outside the main
+surroundings (menus, notices, adverts, comments ...) has no positive words, unless only class words say so and the page's main part is below it. The weights are log-odds counted on the labelled pages: words inside and outside the main
 text per element name and per word of class, id or role, and tags inside and outside per name. One linear scan finds the contiguous run with the best sum; what
 lies below surrounding elements inside it is left out.
 
@@ -37,8 +37,10 @@ TOKEN = re.compile(
     r"|<(?P<close>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>|(?P<text>[^<]+|<)",
     re.S | re.I,
 )
-ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
-HIDDEN = re.compile(r"""\bhidden\b(?!\s*=\s*["']?false)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
+ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
+NOT_SHOWN = re.compile(r"(?:^|;)\s*display\s*:\s*none", re.I)
+#: First words of class words that tell a state of the layout, not what the element is.
+STATE = frozenset("no not has with without overflow".split())
 PART = re.compile(r"[a-z]+|[A-Z][a-z]*|[0-9]+")
 
 #: Labelled pages are built from these: elements that hold main text, and elements around it.
@@ -79,18 +81,34 @@ def _features(name: str, rest: str, inside: bool) -> list[str]:
     """Names an element is known by: its own (apart inside an article) and the words of its class, id and role."""
     place = "in " if inside else ""
     out = [place + name if name in ("header", "footer") else name]
-    if rest and ("=" in rest or "hidden" in rest):
-        for m in ATTRIBUTE.finditer(rest):
-            parts = [p.lower() for p in PART.findall(m[2] or m[3] or m[4] or "")]
-            out += [f"{place}.{p}" if p == "header" else f".{p}" for p in parts]
-        if HIDDEN.search(rest):
-            out.append(".hidden")
+    for m in ATTRIBUTE.finditer(rest):
+        attribute, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+        if attribute in ("class", "id", "role"):
+            for word in value.split():
+                parts = [p.lower() for p in PART.findall(word)]
+                if len(parts) > 1:
+                    parts = [] if parts[0] in STATE else [p for p in parts if p != "hidden"]
+                out += [f"{place}.{p}" if p == "header" else f".{p}" for p in parts]
+        elif (attribute == "hidden" and value.lower() != "false") or (attribute == "aria-hidden" and value.lower() == "true") or (attribute == "style" and NOT_SHOWN.search(value)):
+            out.append(HIDDEN)
     return out
 
 
+HIDDEN = ".hidden mark"
+
+
+class Element:
+    """An open element with what is counted below it."""
+
+    __slots__ = ("name", "features", "words", "heads", "outside")
+
+    def __init__(self, name: str, features: tuple):
+        self.name, self.features, self.words, self.heads, self.outside = name, features, 0, 0, False
+
+
 def tokens(page: str) -> Iterator[tuple[str, str, tuple]]:
-    """(kind, value, open elements) of each token; an open element is the tuple of its features."""
-    stack: list[tuple[str, tuple]] = []
+    """(kind, value, open elements) of each token."""
+    stack: list[tuple[str, Element]] = []
     known: dict[tuple, tuple] = {}
     around: tuple = ()
     for m in TOKEN.finditer(page):
@@ -106,7 +124,7 @@ def tokens(page: str) -> Iterator[tuple[str, str, tuple]]:
                     if stack[at][0] == name:
                         del stack[at:]
                         break
-                around = tuple(f for _, f in stack)
+                around = tuple(e for _, e in stack)
                 yield "close", name, around
                 continue
             if name in BLOCK:
@@ -116,12 +134,12 @@ def tokens(page: str) -> Iterator[tuple[str, str, tuple]]:
             if key not in known:
                 known[key] = tuple(_features(*key))
             if name not in VOID and not m["rest"].endswith("/"):
-                stack.append((name, known[key]))
-            around = tuple(f for _, f in stack)
+                stack.append((name, Element(name, known[key])))
+            around = tuple(e for _, e in stack)
             yield "open", name, around
 
 
-def _end_open(stack: list[tuple[str, tuple]], name: str) -> None:
+def _end_open(stack: list[tuple[str, Element]], name: str) -> None:
     """A new block ends an open paragraph, a new list item an open one."""
     for at in range(len(stack) - 1, -1, -1):
         open_name = stack[at][0]
@@ -164,7 +182,7 @@ def fit(pages: list[str]) -> Weights:
             if kind == "text":
                 n = len(value.split())
                 total[label] += n
-                for f in {f for features in around for f in features}:
+                for f in {f for e in around for f in e.features}:
                     words[f][label] += n
             else:
                 tags[value][label] += 1
@@ -176,26 +194,56 @@ def fit(pages: list[str]) -> Weights:
     return Weights(element, tag, max(0.5, clip(math.log(total[1] / total[0]))))
 
 
+def _judge(read: list[tuple[str, str, tuple]], weights: Weights) -> None:
+    """Mark what surrounds the main text: by mark or element name always, by class words only where the page's main part is not below.
+
+    The main part is the longest main element, an article with half of its words (of the page's third, without a main), or
+    what holds most of the page's words and every main element and first heading.
+    """
+    elements: dict[int, tuple] = {}
+    total = heads = 0
+    for kind, value, around in read:
+        if kind == "text":
+            n = len(value.split())
+            total += n
+            for e in around:
+                e.words += n
+        elif kind == "open" and around and around[-1].name == value and id(around[-1]) not in elements:
+            elements[id(around[-1])] = around
+            if value in ("h1", "main"):
+                heads += 1
+                for e in around:
+                    e.heads += 1
+    firm = lambda e: HIDDEN in e.features or weights.surrounds(e.features[:1])
+    shown = [around for around in elements.values() if around[-1].name in ("main", "article") and not any(firm(e) for e in around)]
+    longest = lambda name: max((a for a in shown if a[-1].name == name), key=lambda a: a[-1].words, default=())
+    main, article = longest("main"), longest("article")
+    holders = {id(e) for e in main}
+    if article and (main[-1] in article and 2 * article[-1].words >= main[-1].words if main else 3 * article[-1].words >= total):
+        holders |= {id(e) for e in article[:-1]}
+    for around in elements.values():
+        e = around[-1]
+        most = 2 * e.words > total and e.heads == heads
+        e.outside = firm(e) or (weights.surrounds(e.features) and not (e.name in ("html", "body") or id(e) in holders or most))
+
+
 def extract(page: str | None, weights: Weights) -> str:
     if not page:
         return ""
     blocks: list[list] = []  # [text parts, below surroundings, cost of the tags before]
     cost, fresh, was = 0.0, True, None
-    judged: dict[tuple, bool] = {}
-    for kind, value, around in tokens(page):
+    read = list(tokens(page))
+    _judge(read, weights)
+    for kind, value, around in read:
         if kind == "text":
-            if around not in judged:
-                judged[around] = any(weights.surrounds(f) for f in around)
-            outside = judged[around]
+            outside = bool(around) and any(e.outside for e in around)
             if fresh or outside != was:
                 blocks.append([[value], outside, cost])
                 cost, fresh, was = 0.0, False, outside
             else:
                 blocks[-1][0].append(value)
         elif kind != "note":
-            if around not in judged:
-                judged[around] = any(weights.surrounds(f) for f in around)
-            cost += 0.0 if judged[around] else weights.tag_cost(value)
+            cost += 0.0 if any(e.outside for e in around) else weights.tag_cost(value)
             if value in BLOCK:
                 fresh = True
             elif value == "br" and blocks and not fresh:

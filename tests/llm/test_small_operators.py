@@ -135,3 +135,18 @@ def test_a_row_just_before_a_cut(spark):
     df = spark.createDataFrame(list(enumerate(sizes)), "id long, size long")
     got = {r.id: r.shard for r in sharding.assign_shards(df, "id", "size", 2).collect()}
     assert got == {0: 0, 1: 0, 2: 1, 3: 1}
+
+
+@pytest.mark.parametrize("wrapper", [
+    '<body class="no-sidebar">', '<body><div class="page has-sidebar">', '<body><div style="overflow:hidden">', '<body><div class="overflow-hidden">', '<body class="sidebar">',
+    '<body><div id="modal-page">',
+])
+@pytest.mark.parametrize("element", ["article", "main", "div"])
+def test_main_text_below_a_wrapper(wrapper, element):
+    page = f"<html>{wrapper}<nav>{LONG}</nav><{element}><h1>Title</h1><p>{LONG} {LONG}</p></{element}><div class='related'><article>{LONG}</article></div><div class='comments'>{LONG}</div>"
+    assert html_extraction.extract(page, WEIGHTS) == f"Title\n\n{LONG} {LONG}"
+
+
+def test_hidden_marks():
+    for mark in ("hidden", 'aria-hidden="true"', 'style="color:red; display:none"'):
+        assert html_extraction.extract(f"<article><p>seen</p></article><div {mark}>{LONG}</div>", WEIGHTS) == "seen"
