@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spectraloom.llm import chat_format, decontamination, exact_dedup, html_extraction, language_id, packing, sharding, simhash, suffix_dedup, url_filters
+from spectraloom.llm import (
+    centroid_clustering, chat_format, decontamination, exact_dedup, hard_negatives, html_extraction, language_id, packing, sharding, simhash, suffix_dedup,
+    url_filters,
+)
 from spectraloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -134,3 +137,52 @@ def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
     weights = html_extraction.fit(html_extraction.labelled_pages())
     return html_extraction.main_text(table(spark, sf_dir, "pages"), weights)
+
+
+def _round(n: int, k: int = 40) -> str:
+    """Check SQL of one assignment and of the centroids after it."""
+    return f"""
+a{n} AS MATERIALIZED (
+  SELECT vec_id, arg_min(c, struct_pack(d := d, c := c)) AS c, min(d) AS d
+  FROM (SELECT v.vec_id, m.c, CAST(sum((v.x - m.x) * (v.x - m.x)) AS BIGINT) AS d FROM long v JOIN c{n} m USING (i) GROUP BY v.vec_id, m.c) GROUP BY vec_id),
+c{n + 1} AS MATERIALIZED (
+  SELECT m.c, m.i, coalesce(s.x, m.x) AS x FROM c{n} m LEFT JOIN (
+    SELECT a.c, v.i, CAST((sum(v.x) - ((sum(v.x) % count(*)) + count(*)) % count(*)) // count(*) AS BIGINT) AS x FROM long v JOIN a{n} a USING (vec_id) GROUP BY a.c, v.i) s
+  ON m.c = s.c AND m.i = s.i)"""
+
+
+@query(f"""
+WITH kept AS (
+  SELECT vec_id, embedding FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+long AS MATERIALIZED (
+  SELECT vec_id, unnest(range(0, 64)) AS i, unnest(list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT))) AS x FROM kept),
+c0 AS MATERIALIZED (
+  SELECT s.c, v.i, v.x FROM long v JOIN (
+    SELECT vec_id, CAST(row_number() OVER (ORDER BY sha256('2:' || vec_id)) - 1 AS INTEGER) AS c FROM kept QUALIFY c < 40) s USING (vec_id)),
+{','.join(_round(n) for n in range(6))},
+shas AS (SELECT c, sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY i)) AS sha FROM c5 GROUP BY c)
+SELECT vec_id, c AS cluster, d AS distance, CAST(sum(d) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia, sha AS centroid_sha256
+FROM a5 JOIN shas USING (c)""")
+def op12_rotated_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Forty centroids over all vectors after five rounds."""
+    return centroid_clustering.cluster(table(spark, sf_dir, "embeddings"), k=40, rounds=5, salt=2)
+
+
+@query("""
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)),
+s AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS alike, CAST(list_sum(list_transform(list_zip(a.q, b.q), lambda t: t[1] * t[2])) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT anchor_id, vec_id AS positive_id, score FROM s WHERE alike QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT p.anchor_id, p.positive_id, CAST(row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.vec_id) AS INTEGER) AS rank,
+       s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score
+FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.alike AND 80 * p.score <= 100 * s.score AND s.score <= p.score
+QUALIFY rank <= 5""")
+def op13_tree_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every hundredth vector against all vectors."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"), label, F.col("vec_id") % 100 == 0, positives=5, negatives=5, least_percent=80)
