@@ -41,6 +41,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Remove the folder of a ``stored`` table that nothing reads any more."""
+    files = df.inputFiles()
+    if files:
+        spark = df.sparkSession
+        folder = spark._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def whole(text: str | Column) -> Column:
     """The text, with null read as empty."""
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spectraloom.llm import (
-    centroid_clustering, chat_format, decontamination, exact_dedup, hard_negatives, html_extraction, language_id, packing, sharding, simhash, suffix_dedup,
-    url_filters,
+    centroid_clustering, chat_format, decontamination, exact_dedup, hard_negatives, html_extraction, jaccard_join, language_id, packing, sharding, simhash,
+    suffix_dedup, url_filters,
 )
 from spectraloom.llm.common import table
 
@@ -139,6 +139,12 @@ def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extraction.main_text(table(spark, sf_dir, "pages"), weights)
 
 
+@query()
+def op11_tiled_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose four-word shingle sets have a similarity of at least 0.85."""
+    return jaccard_join.join_components(table(spark, sf_dir, "documents"), words=4, percent=85)
+
+
 def _round(n: int, k: int = 40) -> str:
     """Check SQL of one assignment and of the centroids after it."""
     return f"""
