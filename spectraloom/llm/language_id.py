@@ -21,6 +21,7 @@ from itertools import islice
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -35,7 +36,8 @@ SCRIPT_STARTS = [
 SCRIPTS = sorted({name for _, name in SCRIPT_STARTS})
 WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 HELD_FOLDS = 5
-CHARS_AT_ONCE = 400_000
+CHARS_AT_ONCE = 4_000_000
+SCORES_AT_ONCE = 4_000_000
 WORDS_AT_ONCE = 20_000
 ROWS_AT_ONCE = 1_000
 
@@ -157,7 +159,7 @@ class Model:
         begin = 0
         while begin < len(order):
             end = begin + 1
-            while end < len(order) and (end - begin) < 512 and (end - begin + 1) * len(at[order[end]]) <= 1_000_000:
+            while end < len(order) and (end - begin) < 512 and (end - begin + 1) * len(at[order[end]]) * len(self.langs) <= SCORES_AT_ONCE:
                 end += 1
             group = order[begin:end]
             for i, path in zip(group, self._viterbi([at[i] for i in group], table)):
@@ -171,20 +173,21 @@ class Model:
         for j, row in enumerate(at):
             index[: len(row), j] = row
         table = np.vstack([table, np.zeros((1, langs), np.float32)])  # padding decides nothing
-        stays = np.empty((steps, n, langs), bool)
-        best = np.empty((steps, n), np.int8 if langs < 128 else np.int32)
-        value = table[index[0]]
+        gain = np.ascontiguousarray(table[index].transpose(0, 2, 1))
+        value, top = np.empty_like(gain), np.empty(n, gain.dtype)
+        value[0] = gain[0]
         for t in range(1, steps):
-            best[t] = value.argmax(axis=1)
-            switch = (value.max(axis=1) - self.penalty)[:, None]
-            np.greater_equal(value, switch, out=stays[t])
-            value = np.maximum(value, switch)
-            value += table[index[t]]
+            np.maximum.reduce(value[t - 1], axis=0, out=top)
+            top -= self.penalty
+            np.maximum(value[t - 1], top, out=value[t])
+            value[t] += gain[t]
+        best = value.argmax(axis=1)
+        stays = value >= value.max(axis=1, keepdims=True) - self.penalty
         path = np.empty((steps, n), np.int64)
         each = np.arange(n)
-        now = path[-1] = value.argmax(axis=1)
+        now = path[-1] = best[-1]
         for t in range(steps - 1, 0, -1):
-            now = path[t - 1] = np.where(stays[t, each, now], now, best[t])
+            now = path[t - 1] = np.where(stays[t - 1, now, each], now, best[t - 1])
         return [path[: len(row), j] for j, row in enumerate(at)]
 
     def predict(self, texts: list[str | None], with_spans: bool = False) -> pd.DataFrame:
@@ -279,15 +282,17 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", with_spans:
     return docs.withColumn(out, run(F.col(text_col)))
 
 
-def keep_identified(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """The documents whose language could be told."""
-    at = docs.columns.index(text_col)
+def keep_identified(docs: DataFrame, model: Model, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The documents whose language could be told; those without a label get the predicted one."""
+    at, label = docs.columns.index(text_col), docs.columns.index(lang_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, ROWS_AT_ONCE):
                 part = batch.slice(start, ROWS_AT_ONCE)
-                lang = model.predict(part.column(at).to_pylist())["lang_pred"].to_numpy()
-                yield part.filter(pa.array(lang != "und"))
+                lang = pa.array(model.predict(part.column(at).to_pylist())["lang_pred"], pa.string())
+                columns = part.columns
+                columns[label] = pc.coalesce(columns[label], lang.cast(columns[label].type))
+                yield pa.RecordBatch.from_arrays(columns, schema=part.schema).filter(pc.not_equal(lang, "und"))
 
     return docs.mapInArrow(run, docs.schema)
