@@ -41,13 +41,26 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Remove a folder below the shared one."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def discard(df: DataFrame) -> None:
     """Remove the folder of a ``stored`` table that nothing reads any more."""
     files = df.inputFiles()
     if files:
-        spark = df.sparkSession
-        folder = spark._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
-        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+        remove(df.sparkSession, files[0].rsplit("/", 1)[0])
+
+
+#: A table of ids is sent to the tasks up to this many rows (8 bytes each), and shuffled beyond.
+IDS_AT_MOST = 4_000_000
+
+
+def shippable(ids: DataFrame) -> DataFrame:
+    """One-column ids, with a broadcast hint where a count shows that there are few."""
+    return F.broadcast(ids) if ids.count() <= IDS_AT_MOST else ids
 
 
 def whole(text: str | Column) -> Column:

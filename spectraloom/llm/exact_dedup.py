@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spectraloom.llm.common import ASCII_SPACE, fresh_dir, stored, unused, whole
+from spectraloom.llm.common import ASCII_SPACE, discard, fresh_dir, remove, shippable, stored, unused, whole
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 STATE_CONF = {
@@ -108,16 +108,23 @@ def duplicate_groups(
 
 
 def _differing(docs: DataFrame, marked: DataFrame, id_col: str, text_col: str, digest) -> DataFrame:
-    """Rows whose normalised bytes are not those of their group's keeper, with those bytes."""
+    """Rows whose normalised bytes are not those of their group's keeper, with those bytes.
+
+    Only the texts of rows that share a digest are read on; they are found by their ids before anything is shuffled.
+    """
     hits = marked.where("group_size > 1").select("doc_id", "digest", "keep_id", "row_no", "keep_row")
+    ids = shippable(hits.select(F.col("doc_id").alias("hit")).distinct())
     norm = normalised(text_col)
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), digest(norm).alias("own"), norm.alias("norm"))
+    texts = docs.join(ids, F.col(id_col).cast("long").eqNullSafe(F.col("hit")), "left_semi")
+    texts = texts.select(F.col(id_col).cast("long").alias("id"), digest(norm).alias("own"), norm.alias("norm"))
     texts = texts.distinct() if _repeats(hits) else texts
     content = hits.join(texts, hits["doc_id"].eqNullSafe(texts["id"]) & (hits["digest"] == texts["own"])).drop("id", "own")
     content = stored(content, "dedup-content")
     keepers = content.where("row_no = keep_row").select(F.col("keep_row").alias("k"), F.col("norm").alias("keep_norm"))
     pairs = content.where("row_no <> keep_row").join(keepers, F.col("keep_row") == F.col("k"))
-    return stored(pairs.where(F.col("norm") != F.col("keep_norm")).select("row_no", "digest", "norm"), "dedup-differing")
+    out = stored(pairs.where(F.col("norm") != F.col("keep_norm")).select("row_no", "digest", "norm"), "dedup-differing")
+    discard(content)
+    return out
 
 
 def _repeats(hits: DataFrame) -> bool:
@@ -146,7 +153,13 @@ def _result(marked: DataFrame) -> DataFrame:
 
 def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that stay, with all their columns."""
-    groups = duplicate_groups(docs, id_col, text_col)
+    spark = docs.sparkSession
+    state_dir = fresh_dir(spark, "dedup-state")
+    groups = stored(duplicate_groups(docs, id_col, text_col, state_dir=state_dir).select("doc_id", "digest", "kept"), "dedup-groups")
+    remove(spark, state_dir)
+    if not _repeats(groups):  # ids tell rows apart: only the ids that go are needed
+        gone = groups.where("NOT kept").select(F.col("doc_id").alias(unused(docs, "gone_id")))
+        return docs.join(shippable(gone), F.col(id_col).cast("long").eqNullSafe(F.col(gone.columns[0])), "left_anti")
     kept = groups.where("kept").select(F.col("doc_id").alias(unused(docs, "kept_id")), F.col("digest").alias(unused(docs, "kept_digest")))
     own, (kept_id, kept_digest) = sha256(normalised(text_col)), kept.columns
     out = docs.join(kept, (own == F.col(kept_digest)) & F.col(id_col).cast("long").eqNullSafe(F.col(kept_id)), "left_semi")

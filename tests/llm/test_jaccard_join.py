@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from spectraloom.llm import jaccard_join, shingle_sets
+from spectraloom.llm import common, jaccard_join, shingle_sets
 from spectraloom.llm.queries import QUERIES
 from tests.compare import sf_dir
 from tests.llm import edges
@@ -68,7 +68,7 @@ def test_against_all_pairs(spark, words, percent):
 def test_tiles_of_many_blocks(spark, monkeypatch):
     monkeypatch.setattr(jaccard_join, "BLOCK_ROWS", 7)
     monkeypatch.setattr(jaccard_join, "BLOCK_BYTES", 20_000)
-    monkeypatch.setattr(jaccard_join, "BROADCAST_IDS", 0)
+    monkeypatch.setattr(common, "IDS_AT_MOST", 0)
     checked = jaccard_join.Join._checked
     # without the first two rounds everything is left to the tiles
     monkeypatch.setattr(jaccard_join.Join, "_checked", lambda self, pairs: checked(self, pairs.limit(0)))
