@@ -48,6 +48,14 @@ def set_id(hashes: np.ndarray) -> int:
     return int(mixed(total).view(np.int64)[0])
 
 
+def fingerprint(hashes: np.ndarray) -> int:
+    """Signed 64-bit SimHash of the set: a bit is 1 when more than half of the hashes have it."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), 1 << 16):
+        ones += np.unpackbits(hashes[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.int64)[0])
+
+
 @dataclass(frozen=True)
 class Rule:
     """Sets link when 100 * both >= percent * either."""
