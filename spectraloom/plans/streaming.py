@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from spectraloom.operators import gaussian as G
@@ -12,6 +14,7 @@ from spectraloom.plans.detection import TRAIN_DIST, train_of
 from spectraloom.plans.matching import PACKET_CTE, THR, label_registry
 from spectraloom.session import shared_dir
 from spectraloom.streaming import jobs as J
+from spectraloom.streaming import stateful as ST
 
 
 def stream_of(spark, sf_dir, name):
@@ -70,13 +73,10 @@ def running_rates(spark, sf_dir):
     "SELECT user_id, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn <= 128",
 )
 def recent_history_of_sensors(spark, sf_dir):
-    rows = event_stream(spark, sf_dir).select("user_id", "event_id", "ts", "value")
-    empty = events(spark, sf_dir).select("user_id", "event_id", "ts", "value").limit(0)
-    import uuid
-
-    kept = J.VersionedTable(spark, f"{shared_dir(spark)}/history-{uuid.uuid4().hex}", empty)
-    J.history_stream(kept, rows, "user_id", "ts", 128, "event_id")
-    return kept.newest().select("user_id", "event_id", "value")
+    """The rows that per-key state holds at the end of the stream."""
+    folder = ST.keep_history(event_stream(spark, sf_dir), "user_id", "ts", "event_id", "value", n=128)
+    held = ST.read_history(spark, folder)
+    return held.select(F.col("key").cast(events(spark, sf_dir).schema["user_id"].dataType).alias("user_id"), F.col("id").alias("event_id"), "value")
 
 
 ALERT_SQL = """d AS (SELECT user_id, ts, event_id, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM events WHERE value >= 10),
@@ -124,6 +124,75 @@ def replay_tracks_deduplicated(spark, sf_dir):
     return out.select("event_id", "sensor", "is_duplicate")
 
 
+def detection_stream(spark, sf_dir):
+    """``detections`` as a stream."""
+    vecs = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    total = vecs.agg(F.max("vec_id") + 1).scalar()
+    ev = event_stream(spark, sf_dir).select("event_id", "ts", (F.col("user_id") % 3).alias("sensor"))
+    return ev.withColumn("_v", F.pmod(F.floor(F.col("event_id") / 4), total)).join(vecs, F.col("_v") == F.col("vec_id")).drop("_v", "vec_id")
+
+
+#: Vectors that look alike in the given table look alike with each other, so the least id of those names a shape.
+TRACK_SQL = """v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+shape AS (SELECT a.vec_id, min(b.vec_id) AS shape FROM v a JOIN v b ON round(list_cosine_similarity(a.e, b.e), 12) > 0.95 GROUP BY a.vec_id),
+d AS (SELECT event_id, epoch_us(ts) AS t, user_id % 3 AS sensor, shape FROM events, shape WHERE vec_id = (event_id // 4) % (SELECT max(vec_id) + 1 FROM embeddings)),
+closed AS (SELECT * FROM d WHERE (t // 3600000000 + 1) * 3600000 <= (SELECT max(epoch_us(ts)) FROM events) // 1000 - 3600000),
+gaps AS (SELECT *, lag(t) OVER (PARTITION BY sensor, shape ORDER BY t, event_id) AS p FROM closed),
+s AS (SELECT *, sum(CASE WHEN p IS NULL OR t - p > 3600000000 THEN 1 ELSE 0 END) OVER (PARTITION BY sensor, shape ORDER BY t, event_id) AS g FROM gaps)
+SELECT event_id, CAST(sensor AS VARCHAR) AS sensor, first_value(event_id) OVER w AS track, row_number() OVER w > 1 AS repeats
+FROM s WINDOW w AS (PARTITION BY sensor, shape, g ORDER BY t, event_id)"""
+
+
+@query("J5", f"WITH {TRACK_SQL}")
+def replay_tracks_in_state(spark, sf_dir):
+    """Every detection of a closed hour with the track it belongs to; open tracks are keyed state."""
+    tracked = ST.track_stream(detection_stream(spark, sf_dir), "sensor", "event_id", "1 hour", gap_us=3_600_000_000)
+    with ST.rocksdb_state(spark):
+        folder, _ = J.run_to_folder(tracked, "append", "tracks")
+    return J.read_folder(spark, folder).select(F.col("id").alias("event_id"), "sensor", "track", "repeats")
+
+
+ARRIVALS = 4
+#: Events come in four deliveries of eight days each; every tenth event one delivery late.
+ARRIVAL = "least(3, (dayofmonth(ts) - 1) {div} 8 + CASE WHEN event_id % 10 = 0 THEN 1 ELSE 0 END)"
+LATE_SQL = f"""a AS (SELECT event_id, event_type, user_id, epoch_us(ts) AS t, {ARRIVAL.format(div='//')} AS arrival FROM events),
+m AS (SELECT arrival, max(t) AS top FROM a GROUP BY arrival),
+w AS (SELECT arrival, max(top) OVER (ORDER BY arrival ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) // 1000 * 1000 - 86400000000 AS mark FROM m),
+k AS (SELECT event_id, event_type, user_id, t, coalesce(t <= mark, false) AS late FROM a JOIN w USING (arrival))"""
+
+
+def delivered_rows(spark, sf_dir):
+    """All events, marked by the watermark of the micro-batch that delivered them; each delivery is a run of the same stream."""
+    source = events(spark, sf_dir).select("event_id", "event_type", "user_id", "ts", F.expr(ARRIVAL.format(div="div")).alias("arrival"))
+    inbox, folder = (f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}" for kind in ("inbox", "routed"))
+    for n in range(ARRIVALS):
+        source.where(F.col("arrival") == n).drop("arrival").write.mode("append").parquet(inbox)
+        stream = spark.readStream.schema(source.drop("arrival").schema).parquet(inbox)
+        marked = ST.mark_late(stream, "user_id", "1 day", keep=["event_id", "event_type"])
+        ST.route_late(marked, folder)
+    return ST.read_routed(spark, folder, marked.schema)
+
+
+@query("J14", f"WITH {LATE_SQL} SELECT event_id, user_id, late FROM k")
+def late_and_punctual_events(spark, sf_dir):
+    """Every event once: on time, or in the side output of rows behind the watermark."""
+    return delivered_rows(spark, sf_dir).select("event_id", "user_id", "late")
+
+
+@query(
+    "J14 J13",
+    f"""WITH {LATE_SQL} SELECT event_type, strftime(make_timestamp(t // 86400000000 * 86400000000), '%Y-%m-%d') AS day,
+ count(*) FILTER (NOT late) AS on_time, count(*) FILTER (late) AS behind, count(*) AS total FROM k GROUP BY ALL""",
+)
+def daily_counts_with_late_rows(spark, sf_dir):
+    """Daily counts as first given, and what the rows behind the watermark add to them."""
+    rows = delivered_rows(spark, sf_dir)
+    count = lambda flag: F.count(F.when(flag, 1))
+    return rows.groupBy("event_type", F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(
+        count(~F.col("late")).alias("on_time"), count(F.col("late")).alias("behind"), F.count(F.lit(1)).alias("total")
+    )
+
+
 @query(
     "J11 F13",
     f"""WITH {PACKET_CTE} SELECT packet_id,
@@ -146,8 +215,6 @@ def authenticated_packet_stream(spark, sf_dir):
 SELECT CAST(user_id AS VARCHAR) AS serial, coalesce(n, 0) AS detection_count, strftime(seen, '%Y-%m-%dT%H:%M:%SZ') AS last_seen FROM reg LEFT JOIN d USING (user_id)""",
 )
 def registry_touched_by_stream(spark, sf_dir):
-    import uuid
-
     start = events(spark, sf_dir).where("event_type = 'click'").select(F.col("user_id").cast("string").alias("serial")).distinct().select(
         "serial", F.lit(None).cast("timestamp").alias("last_seen"), F.lit(0).cast("long").alias("detection_count")
     )
