@@ -5,13 +5,16 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from spectraloom.operators import gaussian as G
+from spectraloom.operators import moment_store as MS
 from spectraloom.operators import moments as M
 from spectraloom.operators import reports as P
+from spectraloom.operators import sketches as K
 from spectraloom.operators import studies as U
 from spectraloom.operators.prefix import exact_percentiles
 from spectraloom.plans.base import LONG_CTE, SAMPLES_CTE, R, events, query, r, samples, table
 from spectraloom.plans.detection import SCORES_CTE, TRAIN_DIST, cosine_scores, distance_sql, train_of
 from spectraloom.plans.ranking import PRICED, priced
+from spectraloom.session import materialize
 
 # ---- moments and models -------------------------------------------------------------------------
 
@@ -36,6 +39,21 @@ def covariance_of_train(spark, sf_dir):
     return M.covariance_long(train_of(samples(spark, sf_dir))).select("i", "j", r("cov", 8).alias("cov"))
 
 
+@query("E3 J7", f"WITH {LONG_CTE} " + COV_SQL.format(key="", cov=R("covar_samp(a.x, b.x)", 8), where="WHERE a.split = 'train'"))
+def covariance_from_stored_moments(spark, sf_dir):
+    """The training fit, merged from one stored row per type."""
+    slices = materialize(MS.slice_moments(samples(spark, sf_dir), ["label"]), "moments")
+    return MS.covariance_rows(MS.combine(slices.where("label <= 5"))).select("i", "j", r("cov", 8).alias("cov"))
+
+
+@query("E3 J7", f"WITH {LONG_CTE} " + COV_SQL.format(key="", cov=R("covar_samp(a.x, b.x)", 8), where="WHERE a.split = 'train'"))
+def covariance_after_types_leave(spark, sf_dir):
+    """The fit of all types from which the stored rows of the others are taken out: again the training fit."""
+    slices = materialize(MS.slice_moments(samples(spark, sf_dir), ["label"]), "moments")
+    left = MS.combine(slices, slices.where("label > 5"))
+    return MS.covariance_rows(left).select("i", "j", r("cov", 8).alias("cov"))
+
+
 @query("E4", f"WITH {LONG_CTE} " + COV_SQL.format(key="a.label, ", cov=R("covar_samp(a.x, b.x)", 8), where=""))
 def covariance_by_label(spark, sf_dir):
     return M.covariance_long(samples(spark, sf_dir), by=["label"]).select("label", "i", "j", r("cov", 8).alias("cov"))
@@ -311,3 +329,28 @@ def mislabelled_negatives(spark, sf_dir):
     rows = samples(spark, sf_dir)
     suspects, _ = U.mislabel_scan(train_of(rows), rows.where("split = 'negatives'"))
     return suspects.select("sample_id", "label", r("dist").alias("dist"))
+
+
+RANKS = [0.05, 0.25, 0.5, 0.75, 0.95]
+
+
+@query(
+    "E5 E22",
+    f"""SELECT event_type, rank, count(value) AS n, TRUE AS rank_within, TRUE AS keys_within
+FROM events CROSS JOIN (SELECT unnest({RANKS}::DOUBLE[]) AS rank) GROUP BY event_type, rank""",
+)
+def merged_daily_sketches(spark, sf_dir):
+    """Quantiles and distinct sensors per type from sketches stored per day: whether each lies within its bound of the exact figure (1 % of ranks, 4 % of keys)."""
+    ev = events(spark, sf_dir)
+    daily = materialize(K.sketch_slices(ev.withColumn("day", F.to_date("ts")), ["event_type", "day"], "value", "user_id"), "sketches")
+    got = K.read_sketches(K.merge_slices(daily, ["event_type"]), ["event_type"], RANKS)
+    exact = ev.groupBy("event_type", "value").agg(F.count(F.lit(1)).alias("c")).join(got.select("event_type", "rank", "quantile"), "event_type")
+    at = exact.groupBy("event_type", "rank").agg(
+        (F.sum(F.when(F.col("value") < F.col("quantile"), F.col("c")).otherwise(0)) / F.sum(F.when(F.col("value").isNotNull(), F.col("c")))).alias("below"),
+        (F.sum(F.when(F.col("value") <= F.col("quantile"), F.col("c")).otherwise(0)) / F.sum(F.when(F.col("value").isNotNull(), F.col("c")))).alias("upto"),
+    )
+    keys = ev.groupBy("event_type").agg(F.countDistinct("user_id").alias("true_keys"))
+    return got.join(at, ["event_type", "rank"]).join(keys, "event_type").select(
+        "event_type", "rank", "n", ((F.col("below") <= F.col("rank") + 0.01) & (F.col("upto") >= F.col("rank") - 0.01)).alias("rank_within"),
+        (F.abs(F.col("n_keys") - F.col("true_keys")) <= 0.04 * F.col("true_keys")).alias("keys_within"),
+    )

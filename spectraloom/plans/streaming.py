@@ -8,11 +8,14 @@ from pyspark.sql import functions as F
 
 from spectraloom.operators import gaussian as G
 from spectraloom.operators import registry as REG
-from spectraloom.operators.signal import intent_rule
+from spectraloom.operators.signal import frame_spectrum, intent_rule
 from spectraloom.plans.base import R, events, query, r, samples, table
 from spectraloom.plans.detection import TRAIN_DIST, train_of
+from spectraloom.plans.files import IQ_SQL, NAME_SQL, new_folder, write_files
 from spectraloom.plans.matching import PACKET_CTE, THR, label_registry
 from spectraloom.session import shared_dir
+from spectraloom.sources import iq
+from spectraloom.sources.iq_stream import read_iq_stream
 from spectraloom.streaming import jobs as J
 from spectraloom.streaming import stateful as ST
 
@@ -248,3 +251,46 @@ def tumbling_rate_after_watermark(spark, sf_dir):
     folder, _ = J.run_to_folder(out, "append", "closed")
     done = _stamped(J.read_folder(spark, folder), "from_ts", "to_ts")
     return done.select("event_type", "from_ts", "to_ts", "n", r("rate").alias("rate"))
+
+
+LIVE_CHUNK = 32  # samples of one segment
+LIVE_SQL = f"""{IQ_SQL},
+seg AS (SELECT recording_id, s // 32 AS chunk_no, s % 32 AS t, i, q, 0.5 - 0.5 * cos(2 * pi() * (s % 32) / 31) AS w FROM pair),
+z AS (SELECT recording_id, chunk_no, k, sum(w * (i * cos(2 * pi() * k * t / 32) + q * sin(2 * pi() * k * t / 32))) AS re, sum(w * (q * cos(2 * pi() * k * t / 32) - i * sin(2 * pi() * k * t / 32))) AS im
+  FROM seg CROSS JOIN (SELECT unnest(range(0, 32)) AS k) GROUP BY ALL),
+p AS (SELECT recording_id, chunk_no, k, ln(1 + re * re + im * im) AS lp FROM z),
+c AS (SELECT k, avg(lp) AS centre FROM p WHERE recording_id < 10 GROUP BY k),
+d AS (SELECT recording_id, chunk_no, sqrt(sum((lp - centre) ** 2)) AS dist FROM p JOIN c USING (k) GROUP BY ALL)
+SELECT {NAME_SQL} '.iq' AS recording_id, chunk_no, {R('dist', 4)} AS dist, CASE WHEN round(dist, 6) <= 1.5 THEN 'DRONE' ELSE 'BACKGROUND' END AS verdict FROM d"""
+
+
+def live_verdicts(chunks, centre, threshold: float):
+    """From I/Q segments to verdicts: spectrum, distance to a centre (one row), threshold; batch and stream alike."""
+    spectra = frame_spectrum(chunks.withColumns({"i": F.col("i").cast("array<double>"), "q": F.col("q").cast("array<double>")}), "i", "q")
+    far = F.sqrt(F.aggregate(F.zip_with("log_power", F.lit(centre), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, x: a + x))
+    scored = spectra.select("recording_id", "chunk_no", far.alias("dist"))
+    return scored.withColumn("verdict", F.when(F.round("dist", 6) <= threshold, "DRONE").otherwise("BACKGROUND"))
+
+
+def spectral_centre(chunks) -> list[float]:
+    """Mean log-power per bin."""
+    spectra = frame_spectrum(chunks.withColumns({"i": F.col("i").cast("array<double>"), "q": F.col("q").cast("array<double>")}), "i", "q")
+    bins = spectra.select(F.posexplode("log_power").alias("k", "x")).groupBy("k").agg(F.avg("x").alias("m")).orderBy("k")
+    return [row["m"] for row in bins.collect()]  # one row per bin
+
+
+@query("J1 A1 B2", f"WITH {LIVE_SQL}")
+def live_verdicts_of_growing_recordings(spark, sf_dir):
+    """Every recording arrives in two parts; the stream hands out what is new, and its segments get spectra, distances and verdicts."""
+    rows = samples(spark, sf_dir)
+    folder = new_folder(spark, "live")
+    half = rows.agg(F.max("sample_id")).first()[0] // 2
+    out = f"{shared_dir(spark)}/verdicts-{uuid.uuid4().hex}"
+    write_files(rows, (whole := new_folder(spark, "live-reference")), (".iq",))
+    train = F.regexp_extract("recording_id", r"rec(\d+)", 1).cast("int") < 10
+    centre = spectral_centre(iq.read_iq(spark, whole, chunk=LIVE_CHUNK).where(train))
+    for part in (rows.where(F.col("sample_id") <= half), rows):
+        write_files(part, folder, (".iq",))
+        chunks = read_iq_stream(spark, folder, LIVE_CHUNK, range_samples=4 * LIVE_CHUNK)
+        J.run_to_folder(live_verdicts(chunks, centre, 1.5), "append", "verdicts", folder=out)
+    return J.read_folder(spark, out).select("recording_id", "chunk_no", r("dist", 4).alias("dist"), "verdict")
