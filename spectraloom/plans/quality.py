@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from spectraloom.functions import vectors as V
 from spectraloom.operators import quality as Q
+from spectraloom.operators import tall_qr as TQ
 from spectraloom.operators import sampling as D
 from spectraloom.plans.base import LONG_CTE, SAMPLES_CTE, R, events, query, r, samples, table
 
@@ -102,6 +103,25 @@ def effective_rank_of_embeddings(spark, sf_dir):
     return Q.effective_rank(samples(spark, sf_dir)).select("n", "effective_rank", r("largest", 4).alias("largest"))
 
 
+#: Every vector is its label's axis, so the columns are orthogonal and their lengths are the singular values.
+AXES_SQL = "SELECT label, (label + 1) * sqrt(count(*)) AS value FROM embeddings GROUP BY label"
+
+
+def label_axes(spark, sf_dir):
+    axis = F.transform(F.sequence(F.lit(0), F.lit(9)), lambda k: F.when(k == F.col("label"), F.col("label") + 1.0).otherwise(0.0))
+    return samples(spark, sf_dir).select(axis.alias("embedding"))
+
+
+@query("H8", f"WITH a AS ({AXES_SQL}) SELECT row_number() OVER (ORDER BY value DESC) AS place, {R('value', 6)} AS value FROM a")
+def singular_values_of_label_axes(spark, sf_dir):
+    return TQ.singular_values(label_axes(spark, sf_dir)).select("place", r("value", 6).alias("value"))
+
+
+@query("H8", f"WITH a AS ({AXES_SQL}) SELECT count(*) FILTER (value > 0.2 * (SELECT max(value) FROM a)) AS effective_rank, {R('max(value)', 6)} AS largest FROM a")
+def effective_rank_of_label_axes(spark, sf_dir):
+    return TQ.effective_rank(label_axes(spark, sf_dir), share=0.2).select("effective_rank", r("largest", 6).alias("largest"))
+
+
 @query(
     "H9 I",
     f"""WITH h AS (SELECT event_type, CAST(day(ts) AS BIGINT) AS step, round(avg(value), 2) AS loss FROM events GROUP BY ALL),

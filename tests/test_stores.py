@@ -5,6 +5,7 @@ import pytest
 
 from spectraloom.operators import moment_store as MS
 from spectraloom.operators import sketches as K
+from spectraloom.operators import tall_qr as TQ
 from spectraloom.sources import iq, iq_stream
 from spectraloom.streaming import jobs as J
 
@@ -80,3 +81,15 @@ def test_recordings_as_a_stream(spark, tmp_path):
 def test_no_recordings_yet(spark, tmp_path):
     out, _ = J.run_to_folder(iq_stream.read_iq_stream(spark, str(tmp_path / "none"), 100), "append", "iq", folder=str(tmp_path / "out"))
     assert not (tmp_path / "out" / "out").exists() or J.read_folder(spark, out).count() == 0
+
+
+@pytest.mark.parametrize("parts", [1, 7, 70])
+def test_singular_values_of_an_ill_conditioned_matrix(spark, parts):
+    rng = np.random.default_rng(6)
+    want = np.geomspace(1, 1e-9, 6)
+    x = np.linalg.qr(rng.normal(size=(300, 6)))[0] * want @ np.linalg.qr(rng.normal(size=(6, 6)))[0]
+    df = spark.createDataFrame([(v.tolist(),) for v in x] + [(None,)], "embedding array<double>").repartition(parts)
+    got = TQ.singular_values(df).orderBy("place").collect()
+    assert np.allclose([r["value"] for r in got], want, rtol=1e-5) and got[0]["n"] == 300  # squares would leave 1e-8 at best
+    assert TQ.effective_rank(df, share=1e-8).first()["effective_rank"] == 5
+    assert TQ.singular_values(df.limit(0)).collect() == []
