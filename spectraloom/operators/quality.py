@@ -24,6 +24,7 @@ from spectraloom.operators.sampling import hash_int, kfold
 from spectraloom.session import materialize
 
 CHUNK_BYTES = 64 << 20
+SILHOUETTE_BLOCK = 32_768
 
 
 def _vec(col: str) -> Column:
@@ -157,6 +158,92 @@ def _silhouette_udf(packed: dict, grouped: bool):
     return F.arrow_udf(score, "struct<a: double, b: double>")
 
 
+def euclidean_silhouette(df: DataFrame, label: str, id_col: str, col: str = "embedding", block_rows: int = SILHOUETTE_BLOCK) -> DataFrame:
+    """Exact silhouette of every row under plain (unsquared) Euclidean distance: id, label, a, b, silhouette.
+
+    No closed form over class sums exists for unsquared distances, so every two rows meet once: rows are dealt to blocks of about
+    ``block_rows`` by hash, and each pair of blocks is one group that returns, for the rows of both, the distance sums to the other
+    block's classes. No pair of rows leaves a task. Null vectors and null labels are left out; a row alone in its class has 0, a row
+    without another class NULL. ``id_col`` tells rows apart.
+    """
+    rows = df.where(F.col(col).isNotNull() & F.col(label).isNotNull() & F.col(id_col).isNotNull()).select(
+        F.col(id_col).alias("_id"), F.col(label).alias("_c"), V.as_doubles(col).alias("_x")
+    )
+    sizes = materialize(rows.groupBy("_c").agg(F.count(F.lit(1)).alias("_n")), "class-sizes")
+    total = sizes.agg(F.sum("_n")).first()[0] or 0
+    blocks = max(1, -(-total // block_rows))
+    dealt = rows.withColumn("_blk", F.pmod(F.xxhash64("_id"), F.lit(blocks)).cast("int"))
+    last = F.lit(blocks - 1)
+    left = dealt.select("*", F.explode(F.sequence(F.col("_blk"), last)).alias("_other"))
+    right = dealt.withColumnRenamed("_blk", "_other").select("*", F.explode(F.sequence(F.lit(0), F.col("_other"))).alias("_blk"))
+    kinds = {name: rows.schema[name].dataType for name in ("_id", "_c")}
+    schema = T.StructType([T.StructField("_id", kinds["_id"]), T.StructField("_oc", kinds["_c"]), T.StructField("_s", T.DoubleType())])
+    sums = left.groupBy("_blk", "_other").cogroup(right.groupBy("_blk", "_other")).applyInArrow(_block_pair_sums, schema)
+    per_row = sums.groupBy("_id", "_oc").agg(F.sum("_s").alias("_s"))
+    own = F.col("_oc") == F.col("_c")
+    judged = (
+        per_row.join(sizes.withColumnRenamed("_c", "_oc"), "_oc").join(rows.select("_id", "_c"), "_id")
+        .groupBy("_id", "_c").agg(
+            F.max(F.when(own & (F.col("_n") > 1), F.col("_s") / (F.col("_n") - 1))).alias("a"),
+            F.min(F.when(~own, F.col("_s") / F.col("_n"))).alias("b"),
+        )
+    )
+    worst = F.greatest("a", "b")
+    s = F.when(F.col("b").isNotNull(), F.when(F.col("a").isNull() | (worst == 0), F.lit(0.0)).otherwise((F.col("b") - F.col("a")) / worst))
+    return judged.select(F.col("_id").alias(id_col), F.col("_c").alias(label), "a", "b", s.alias("silhouette"))
+
+
+def _block_pair_sums(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+    """(row, class, distance sum) of the left rows against the right classes and, for two different blocks, the other way round."""
+    fields = [("_id", left.schema.field("_id").type), ("_oc", left.schema.field("_c").type), ("_s", pa.float64())]
+    if not left.num_rows or not right.num_rows:
+        return pa.table([pa.array([], t) for _, t in fields], names=[n for n, _ in fields])
+    left, right = left.sort_by("_c"), right.sort_by("_c")
+    sides = [(t.column("_id").combine_chunks(), t.column("_c").combine_chunks(), to_matrix(t.column("_x"))[1]) for t in (left, right)]
+    centre = sides[1][2].mean(axis=0)  # distances do not change, rounding does
+    x, y = sides[0][2] - centre, sides[1][2] - centre
+    starts = [np.flatnonzero(np.r_[True, np.diff(c.dictionary_encode().indices.to_numpy()) != 0]) for _, c, _ in sides]
+    to_right = np.zeros((len(x), len(starts[1])))
+    to_left = np.zeros((len(y), len(starts[0])))
+    class_of = np.repeat(np.arange(len(starts[0])), np.diff(np.r_[starts[0], len(x)]))
+    for at in range(0, len(x), step := max(1, (16 << 20) // (8 * len(y)))):
+        d = _distances(x[at : at + step], y)
+        to_right[at : at + step] = np.add.reduceat(d, starts[1], axis=1)
+        if key[0] != key[1]:
+            mine = class_of[at : at + step]
+            first = np.flatnonzero(np.r_[True, np.diff(mine) != 0])
+            to_left[:, mine[first]] += np.add.reduceat(d, first, axis=0).T
+    out = []
+    for ids, classes, begins, sums in [(sides[0][0], sides[1][1], starts[1], to_right), (sides[1][0], sides[0][1], starts[0], to_left)][: 1 + int(key[0] != key[1])]:
+        n, k = sums.shape
+        out.append(pa.table([ids.take(pa.array(np.repeat(np.arange(n), k))), classes.take(pa.array(np.tile(begins, n))), pa.array(sums.ravel())], names=[f for f, _ in fields]))
+    return pa.concat_tables(out)
+
+
+def _distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Euclidean distances; pairs so close that the product form loses their digits are subtracted directly."""
+    x2, y2 = np.square(x).sum(axis=1), np.square(y).sum(axis=1)
+    scale = x2[:, None] + y2[None, :]
+    d2 = scale - 2.0 * x @ y.T
+    near = np.flatnonzero(d2 <= 1e-6 * scale)
+    for at in range(0, len(near), step := max(1, (16 << 20) // (8 * max(1, x.shape[1])))):
+        part = near[at : at + step]
+        d2.flat[part] = np.square(x[part // len(y)] - y[part % len(y)]).sum(axis=1)
+    return np.sqrt(np.maximum(d2, 0.0))
+
+
+def kmeans_exact_silhouettes(df: DataFrame, ks: list[int], seed: int, id_col: str, col: str = "embedding") -> DataFrame:
+    """Mean unsquared Euclidean silhouette of k-means clusters, one row for each k (ks are few and independent fits)."""
+    data = df.where(F.col(col).isNotNull()).withColumn("_v", _vec(col))
+    out = None
+    for k in ks:
+        clustered = KMeans(k=k, seed=seed, featuresCol="_v", predictionCol="_cluster").fit(data).transform(data).drop("_v")
+        one = euclidean_silhouette(materialize(clustered, f"clusters-{k}"), "_cluster", id_col, col)
+        part = one.agg(F.lit(k).alias("k"), F.count("silhouette").alias("n"), F.avg("silhouette").alias("silhouette"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def kmeans_report(df: DataFrame, ks: list[int], seed: int, col: str = "embedding") -> DataFrame:
     """Cost and squared-Euclidean silhouette for every k (a short list of independent fits)."""
     rows = df.select(_vec(col).alias("features"))

@@ -74,6 +74,34 @@ def intent_head_predictions(spark, sf_dir):
     )
 
 
+EUCLIDEAN_SIL = f"""{SAMPLES_CTE}, pd AS (SELECT a.sample_id, a.label AS c, b.label AS oc, sum(list_distance(a.embedding, b.embedding)) AS s, count(*) AS n
+  FROM samples a JOIN samples b ON a.sample_id <> b.sample_id GROUP BY ALL),
+ab AS (SELECT sample_id, c, max(CASE WHEN oc = c THEN s / n END) AS a, min(CASE WHEN oc <> c THEN s / n END) AS b FROM pd GROUP BY ALL),
+sil AS (SELECT sample_id, c, a, b, CASE WHEN b IS NOT NULL THEN coalesce((b - a) / greatest(a, b), 0) END AS s FROM ab)"""
+
+
+@query("H5 H3", f"WITH {EUCLIDEAN_SIL} SELECT sample_id, c AS label, {R('a')} AS a, {R('b')} AS b, {R('s')} AS silhouette FROM sil")
+def silhouette_euclidean_of_rows(spark, sf_dir):
+    """Unsquared distances between all rows, summed in pairs of blocks."""
+    out = Q.euclidean_silhouette(samples(spark, sf_dir), "label", "sample_id")
+    return out.select("sample_id", "label", r("a").alias("a"), r("b").alias("b"), r("silhouette").alias("silhouette"))
+
+
+@query("H5", f"WITH {EUCLIDEAN_SIL} SELECT c AS label, count(s) AS n, {R('avg(s)')} AS silhouette, count(*) FILTER (s < 0) AS misplaced FROM sil GROUP BY c")
+def silhouette_euclidean_by_type(spark, sf_dir):
+    """Mean silhouette of each type and how many of its rows lie nearer to another type."""
+    out = Q.euclidean_silhouette(samples(spark, sf_dir), "label", "sample_id")
+    return out.groupBy("label").agg(
+        F.count("silhouette").alias("n"), r(F.avg("silhouette")).alias("silhouette"), F.count(F.when(F.col("silhouette") < 0, 1)).alias("misplaced")
+    )
+
+
+@query("H5")
+def kmeans_exact_silhouettes(spark, sf_dir):
+    out = Q.kmeans_exact_silhouettes(samples(spark, sf_dir), [2, 3], 1, "sample_id")
+    return out.select("k", "n", r("silhouette", 4).alias("silhouette"))
+
+
 @query("H5")
 def kmeans_silhouettes(spark, sf_dir):
     out = Q.kmeans_report(samples(spark, sf_dir), [2, 3], seed=1)
