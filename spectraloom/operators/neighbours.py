@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spectraloom.functions.arrow import spread, to_matrix, unit_rows
+from spectraloom.functions.arrow import spread, to_list_array, to_matrix, unit_rows
 from spectraloom.session import materialize
 
 BROADCAST_BYTES = 64 << 20
@@ -242,23 +242,12 @@ def _knn_cells(q, b, k, n, metric, b_block, q_block, extra_b, extra_q) -> DataFr
     return best.withColumn("dist", dist)
 
 
-def _search_blocks(visits, based, blocks, k, b_block, q_block, extra_b, extra_q, cells=None) -> DataFrame:
-    """Top k inside every (cell, base block, query block) a visit names; ``cells`` is its narrow form."""
-    narrow = visits.select("cell") if cells is None else cells
-    per_cell = {
-        row["cell"]: row["n"] for row in narrow.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()
-    }  # one row per pivot
-    q_blocks = [max(1, math.ceil(per_cell.get(c, 0) / BLOCK_ROWS)) for c in range(len(blocks))]
-    nb = F.element_at(F.array(*[F.lit(x) for x in blocks]), F.col("cell") + 1)
-    nq = F.element_at(F.array(*[F.lit(x) for x in q_blocks]), F.col("cell") + 1)
-    left = visits.withColumn("qblk", F.pmod(F.xxhash64("q_id"), nq).cast("int")).withColumn(
-        "blk", F.explode(F.sequence(F.lit(0), nb - 1))
-    )
-    right = based.withColumn("qblk", F.explode(F.sequence(F.lit(0), nq - 1)))
+def _block_search(q_schema: T.StructType, b_schema: T.StructType, k: int, b_block, q_block, extra_b, extra_q):
+    """Cogroup function, and its schema: the k nearest base rows of one block for every query of one block."""
     q_out = ["q_id"] + [f"q_{c}" for c in extra_q]
     b_out = ["b_id"] + [f"b_{c}" for c in extra_b]
     schema = T.StructType(
-        [visits.schema[c] for c in q_out] + [based.schema[c] for c in b_out] + [T.StructField("d2", T.DoubleType())]
+        [q_schema[c] for c in q_out] + [b_schema[c] for c in b_out] + [T.StructField("d2", T.DoubleType())]
     )
 
     def search(lt: pa.Table, rt: pa.Table) -> pa.Table:
@@ -282,10 +271,173 @@ def _search_blocks(visits, based, blocks, k, b_block, q_block, extra_b, extra_q,
             names=q_out + b_out + ["d2"],
         )
 
+    return search, schema
+
+
+def _search_blocks(visits, based, blocks, k, b_block, q_block, extra_b, extra_q, cells=None) -> DataFrame:
+    """Top k inside every (cell, base block, query block) a visit names; ``cells`` is its narrow form."""
+    narrow = visits.select("cell") if cells is None else cells
+    per_cell = {
+        row["cell"]: row["n"] for row in narrow.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()
+    }  # one row per pivot
+    q_blocks = [max(1, math.ceil(per_cell.get(c, 0) / BLOCK_ROWS)) for c in range(len(blocks))]
+    nb = F.element_at(F.array(*[F.lit(x) for x in blocks]), F.col("cell") + 1)
+    nq = F.element_at(F.array(*[F.lit(x) for x in q_blocks]), F.col("cell") + 1)
+    left = visits.withColumn("qblk", F.pmod(F.xxhash64("q_id"), nq).cast("int")).withColumn(
+        "blk", F.explode(F.sequence(F.lit(0), nb - 1))
+    )
+    right = based.withColumn("qblk", F.explode(F.sequence(F.lit(0), nq - 1)))
+    search, schema = _block_search(visits.schema, based.schema, k, b_block, q_block, extra_b, extra_q)
     keys = ["cell", "blk", "qblk"]
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(search, schema)
 
 
+# ---- hashed tables -------------------------------------------------------------------------------
+
+PROBED_BITS = 10
+
+
+def knn_hashed(
+    queries: DataFrame,
+    base: DataFrame,
+    k: int,
+    query_id: str = "sample_id",
+    base_id: str = "sample_id",
+    col: str = "embedding",
+    payload: list[str] | None = None,
+    exclude_equal: str | None = None,
+    query_cols: list[str] | None = None,
+    tables: int = 4,
+    probes: int = 32,
+    bits: int | None = None,
+    seed: int = 0,
+    exact_rest: bool = True,
+) -> DataFrame:
+    """k nearest base rows by cosine through random-projection tables, with a certificate for every query.
+
+    A table's bucket is the signs of a unit vector's coordinates along ``bits`` orthonormal directions. A query visits its own bucket and
+    the ``probes`` - 1 next ones in order of the squared margins of the signs they flip; that sum is a lower bound of the squared distance
+    to everything in the bucket. A base row that no table has shown lies outside all visited buckets, so it is at least as far as the
+    best table's first unvisited bucket: a query whose k-th distance is below that bound is certified exact. With ``exact_rest`` the
+    others go through the exact cells and every row of the result is exact; without it their rows are approximate.
+
+    Columns as ``knn`` plus ``certified``: that the tables alone have proven the query's neighbours.
+    """
+    payload, query_cols = payload or [], query_cols or []
+    extra_b = list(dict.fromkeys(payload + ([exclude_equal] if exclude_equal and exclude_equal != base_id else [])))
+    extra_q = list(dict.fromkeys(query_cols + ([exclude_equal] if exclude_equal and exclude_equal != query_id else [])))
+    b = _prepare(base, base_id, col, extra_b, "cosine", "b_")
+    q = _prepare(queries, query_id, col, extra_q, "cosine", "q_")
+    b_block = None if not exclude_equal else ("b_id" if exclude_equal == base_id else f"b_{exclude_equal}")
+    q_block = None if not exclude_equal else ("q_id" if exclude_equal == query_id else f"q_{exclude_equal}")
+    n, dim = _base_size(base, col)
+    dim = dim or _base_size(queries, col)[1]  # an empty base
+    bits = max(1, min(bits or round(math.log2(max(2.0, n / 256))), dim or 1, 24))
+    directions = _directions(dim, bits, tables if probes < 1 << bits else 1, seed)
+
+    buckets = b.withColumn("cell", F.explode(_bucket_udf(directions)("b_vec")))
+    sized = buckets.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("_nb"))
+    probed = materialize(
+        q.withColumn("_p", _probe_udf(directions, probes)("q_vec")).select("q_id", "q_vec", *[f"q_{c}" for c in extra_q], "_p.cells", "_p.bound"), "probes"
+    )
+    asked = probed.withColumn("cell", F.explode("cells")).drop("cells", "bound")
+    per_cell = probed.select(F.explode("cells").alias("cell")).groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("_nq"))
+    # one narrow row per bucket that has both sides: in how many blocks each side is cut
+    cuts = materialize(sized.join(per_cell, "cell"), "bucket-blocks")
+    left = asked.join(cuts, "cell").withColumn("qblk", F.pmod(F.xxhash64("q_id"), F.col("_nq")).cast("int"))
+    left = left.withColumn("blk", F.explode(F.sequence(F.lit(0), F.col("_nb") - 1))).drop("_nb", "_nq")
+    right = buckets.join(cuts, "cell").withColumn("blk", F.pmod(F.xxhash64("b_id"), F.col("_nb")).cast("int"))
+    right = right.withColumn("qblk", F.explode(F.sequence(F.lit(0), F.col("_nq") - 1))).drop("_nb", "_nq")
+    search, schema = _block_search(left.schema, right.schema, k, b_block, q_block, extra_b, extra_q)
+    keys = ["cell", "blk", "qblk"]
+    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(search, schema)
+    # tables show the same base row again: its best row is kept, then the best k
+    once = found.withColumn("_again", F.row_number().over(Window.partitionBy("q_id", "b_id").orderBy("d2"))).where("_again = 1").drop("_again")
+    at_k = Window.partitionBy("q_id").orderBy("d2", "b_id")
+    best = materialize(once.withColumn("rank", F.row_number().over(at_k)).where(F.col("rank") <= k), "hashed-hits")
+
+    kth = best.where(F.col("rank") == k).select("q_id", F.sqrt("d2").alias("_kth"))
+    proven = probed.select("q_id", "bound").join(kth, "q_id", "left")
+    sure = F.col("bound").isNull() | (F.col("_kth") * (1 + 1e-9) + 1e-6 <= F.col("bound"))
+    proven = materialize(proven.select("q_id", F.coalesce(sure, F.lit(False)).alias("certified")), "certificates")
+    if exact_rest:
+        rest = q.join(proven.where("NOT certified").select("q_id"), "q_id", "left_semi")
+        exact = _knn_cells(rest, b, k, n, "cosine", b_block, q_block, extra_b, extra_q) if n else best
+        kept = best.join(proven.where("certified").select("q_id"), "q_id", "left_semi")
+        best = kept.withColumn("certified", F.lit(True)).unionByName(exact.select(*best.columns).withColumn("certified", F.lit(False)))
+    else:
+        best = best.join(proven, "q_id")
+    return best.select(
+        F.col("q_id").alias(query_id),
+        *[F.col(f"q_{c}").alias(c if c not in payload else f"query_{c}") for c in query_cols],
+        "rank",
+        F.col("b_id").alias("neighbour"),
+        (F.col("d2") / 2).alias("dist"),
+        "certified",
+        *[F.col(f"b_{c}").alias(c) for c in payload],
+    )
+
+
+def _directions(dim: int, bits: int, tables: int, seed: int) -> np.ndarray:
+    """One orthonormal set of directions per table."""
+    rng = np.random.default_rng(seed)
+    return np.stack([np.linalg.qr(rng.normal(size=(max(dim, bits), bits)))[0].T for _ in range(tables)])
+
+
+def _bucket_udf(directions: np.ndarray):
+    weights = np.int64(1) << np.arange(directions.shape[1], dtype=np.int64)
+
+    @F.arrow_udf("array<bigint>")
+    def buckets(vectors: pa.Array) -> pa.Array:
+        _, m = to_matrix(vectors)
+        if not len(m):
+            return pa.array([[]] * len(vectors), pa.list_(pa.int64()))
+        cells = [((m @ d.T >= 0) @ weights) + (np.int64(t) << 32) for t, d in enumerate(directions)]
+        return to_list_array(np.stack(cells, axis=1))
+
+    return buckets
+
+
+def _probe_udf(directions: np.ndarray, probes: int):
+    """Buckets to visit in every table and the bound on the distance of what none of them holds; NULL where all are visited."""
+    bits = directions.shape[1]
+    free = min(bits, PROBED_BITS)
+    probes = min(probes, 1 << free)
+    subsets = (np.arange(1 << free)[:, None] >> np.arange(free)) & 1
+    weights = np.int64(1) << np.arange(bits, dtype=np.int64)
+
+    def table(m: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        along = m @ d.T
+        margin = np.square(along)
+        near = np.argsort(margin, axis=1, kind="stable")
+        cost = np.take_along_axis(margin, near[:, :free], axis=1) @ subsets.T
+        order = np.argsort(cost, axis=1, kind="stable")
+        chosen = order[:, :probes]
+        flips = np.einsum("rpf,rf->rp", subsets[chosen], weights[near[:, :free]])
+        left = np.full(len(m), np.inf)
+        if probes < 1 << free:
+            left = cost[np.arange(len(m)), order[:, probes]]
+        if free < bits:
+            left = np.minimum(left, np.take_along_axis(margin, near[:, free : free + 1], axis=1)[:, 0])
+        return ((along >= 0) @ weights)[:, None] ^ flips, left
+
+    @F.arrow_udf("struct<cells: array<bigint>, bound: double>")
+    def probe(vectors: pa.Array) -> pa.Array:
+        _, m = to_matrix(vectors)
+        cells = np.zeros((len(vectors), len(directions) * probes), np.int64)
+        bound = np.zeros(len(vectors))
+        for at in range(0, len(m), 1024):
+            part = m[at : at + 1024]
+            for t, d in enumerate(directions):
+                found, left = table(part, d)
+                cells[at : at + 1024, t * probes : (t + 1) * probes] = found + (np.int64(t) << 32)
+                bound[at : at + 1024] = np.maximum(bound[at : at + 1024], left)
+        bounds = pa.array(np.sqrt(bound), mask=np.isinf(bound))
+        return pa.StructArray.from_arrays([to_list_array(cells), bounds], names=["cells", "bound"])
+
+    return probe
+
+
 def knn_vote(hits: DataFrame, query_id: str, label: str, ks: list[int], keep: list[str] | None = None) -> DataFrame:
     """Majority label among the first k neighbours, for several k; equal counts go to the smaller label."""
     keep = keep or []

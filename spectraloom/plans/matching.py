@@ -242,6 +242,29 @@ def knn_cosine_by_cells(spark, sf_dir):
     return out.select("sample_id", F.col("rank").cast("long").alias("rank"), "neighbour", r("dist").alias("dist"))
 
 
+@query("F7", f"WITH {KNN_SQL} SELECT sample_id, rank, neighbour, {R('dist')} AS dist FROM nn WHERE rank <= 5")
+def knn_cosine_by_hashed_tables(spark, sf_dir):
+    """Random-projection tables with a certificate per query; what they cannot prove goes through the exact cells."""
+    held, base = _knn_sides(spark, sf_dir)
+    out = N.knn_hashed(held, base, 5)
+    return out.select("sample_id", F.col("rank").cast("long").alias("rank"), "neighbour", r("dist").alias("dist"))
+
+
+@query("F7", f"WITH {KNN_SQL} SELECT CAST(label AS INTEGER) AS label, count(DISTINCT sample_id) AS n, true AS recall_reached, CAST(0 AS BIGINT) AS wrongly_certified FROM q GROUP BY label")
+def hashed_tables_recall(spark, sf_dir):
+    """Recall of the tables alone (8 bits) against the exact search, at least 0.9 for each held-out type; certified queries have no false neighbour."""
+    held, base = _knn_sides(spark, sf_dir)
+    exact = N.knn(held, base, 5, query_cols=["label"]).select("sample_id", "label", "neighbour", F.lit(1).alias("true_one"))
+    near = N.knn_hashed(held, base, 5, tables=6, probes=96, bits=8, exact_rest=False).select("sample_id", "neighbour", "certified", F.lit(1).alias("hashed"))
+    both = exact.join(near.select("sample_id", "neighbour", "hashed"), ["sample_id", "neighbour"], "left")
+    both = both.join(near.select("sample_id", "certified").distinct(), "sample_id", "left")
+    return both.groupBy(F.col("label").cast("int").alias("label")).agg(
+        F.count_distinct("sample_id").alias("n"),
+        (F.count("hashed") >= 0.9 * F.count("true_one")).alias("recall_reached"),
+        F.count(F.when(F.col("certified") & F.col("hashed").isNull(), 1)).alias("wrongly_certified"),
+    )
+
+
 @query(
     "F8 D13",
     f"""WITH {SAMPLES_CTE}, f AS (SELECT *, ('0x' || substr(md5(sample_id || ':17'), 1, 8))::UBIGINT % 3 AS fold FROM samples),

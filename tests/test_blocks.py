@@ -3,6 +3,7 @@
 import numpy as np
 import pytest
 
+from spectraloom.operators import neighbours as N
 from spectraloom.operators import quality as Q
 
 
@@ -39,3 +40,38 @@ def test_euclidean_silhouette_of_one_class_and_of_nothing(spark):
     one = vectors(spark, np.eye(3), [1, 1, 1])
     assert [g["silhouette"] for g in Q.euclidean_silhouette(one, "label", "id").collect()] == [None] * 3
     assert Q.euclidean_silhouette(one.limit(0), "label", "id").collect() == []
+
+
+def near_sets(spark, rng, n, copies=40):
+    centres = rng.normal(size=(12, 16))
+    x = centres[rng.integers(0, 12, n)] + 0.35 * rng.normal(size=(n, 16))
+    x[:copies] = x[0]
+    x[copies] = 0.0
+    return x, spark.createDataFrame([(i, [float(a) for a in v]) for i, v in enumerate(x)] + [(n, None)], "sample_id long, embedding array<double>").repartition(4)
+
+
+def plain_neighbours(x, k):
+    u = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+    d2 = np.round(np.maximum(np.square(u).sum(axis=1)[:, None] + np.square(u).sum(axis=1)[None] - 2 * u @ u.T, 0), 12)
+    np.fill_diagonal(d2, np.inf)
+    return np.argsort(d2, axis=1, kind="stable")[:, :k]
+
+
+def test_hashed_tables_are_exact_with_the_cells_behind(spark, monkeypatch):
+    monkeypatch.setattr(N, "BLOCK_ROWS", 50)  # buckets of several blocks
+    x, df = near_sets(spark, np.random.default_rng(4), 400)
+    want = plain_neighbours(x, 4)
+    got = N.knn_hashed(df, df, 4, exclude_equal="sample_id", bits=6, tables=3, probes=8).collect()
+    assert len(got) == 1600
+    assert {(r["sample_id"], r["rank"]): r["neighbour"] for r in got} == {(i, j + 1): want[i, j] for i in range(400) for j in range(4)}
+    assert {True, False} == {r["certified"] for r in got}
+
+
+def test_certified_queries_are_exact_without_them(spark):
+    x, df = near_sets(spark, np.random.default_rng(5), 400)
+    want = plain_neighbours(x, 4)
+    got = N.knn_hashed(df, df, 4, exclude_equal="sample_id", bits=12, tables=4, probes=64, exact_rest=False).collect()
+    assert all(r["neighbour"] == want[r["sample_id"], r["rank"] - 1] for r in got if r["certified"])
+    hits = sum(r["neighbour"] in want[r["sample_id"]] for r in got)
+    assert hits >= 0.9 * want.size
+    assert N.knn_hashed(df, df.limit(0), 4).collect() == [] and N.knn_hashed(df.limit(0), df, 4).collect() == []
