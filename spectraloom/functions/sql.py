@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import deque
 
 import numpy as np
 import pandas as pd
@@ -9,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult
 
 from spectraloom.functions.arrow import normalize_rows, spread, to_matrix
 
@@ -33,6 +35,50 @@ class Segments:
             yield idx, start, values[start : start + length]
 
 
+@F.udtf
+class SeriesSegments:
+    """series_segments(TABLE(t) PARTITION BY key ORDER BY (time), value, length, stride [, kept columns, comma-separated]).
+
+    Windows over the rows of each partition in its order, for series of any length: the state carried from row to row is the last
+    ``length`` values, so a partition is never held whole. The result's columns follow the input: the kept columns (those of the partition,
+    as each window's first row has them), segment_idx, start_sample and the values in their own type. The partial tail is dropped; nulls are values.
+    """
+
+    @staticmethod
+    def analyze(series: AnalyzeArgument, value: AnalyzeArgument, length: AnalyzeArgument, stride: AnalyzeArgument, keep: AnalyzeArgument | None = None) -> AnalyzeResult:
+        if not series.isTable:
+            raise ValueError("series_segments: the first argument must be TABLE(...)")
+        for name, arg in (("value", value), ("length", length), ("stride", stride), *([("keep", keep)] if keep else [])):
+            if not arg.isConstantExpression or arg.value is None:
+                raise ValueError(f"series_segments: {name} must be a constant")
+        if length.value < 1 or stride.value < 1:
+            raise ValueError("series_segments: length and stride must be at least 1")
+        names = [n.strip() for n in keep.value.split(",")] if keep and keep.value else []
+        known = {f.name: f for f in series.dataType}
+        missing = [n for n in [value.value, *names] if n not in known]
+        if missing:
+            raise ValueError(f"series_segments: no column {', '.join(missing)} in the table")
+        own = [T.StructField("segment_idx", T.LongType()), T.StructField("start_sample", T.LongType())]
+        values = T.StructField("values", T.ArrayType(known[value.value].dataType))
+        return AnalyzeResult(schema=T.StructType([*(known[n] for n in names), *own, values]))
+
+    def __init__(self):
+        self.window = deque()
+        self.at = self.start = self.index = 0
+
+    def eval(self, row, value: str, length: int, stride: int, keep: str | None = None):
+        if self.at >= self.start:
+            kept = [row[n.strip()] for n in keep.split(",")] if keep else []
+            self.window.append((row[value], kept))
+        self.at += 1
+        if len(self.window) == length:
+            yield (*self.window[0][1], self.index, self.start, [v for v, _ in self.window])
+            self.index += 1
+            self.start += stride
+            for _ in range(min(stride, length)):
+                self.window.popleft()
+
+
 @F.pandas_udf(T.DoubleType())
 def auc_agg(y: pd.Series, s: pd.Series) -> float:
     """AUC as a grouped aggregate for groups that fit in memory; ``ranking.auc`` has no such limit."""
@@ -74,8 +120,9 @@ SQL_FUNCTIONS = [
 
 
 def register_sql(spark: SparkSession) -> None:
-    """Make the vector functions, the intent rule, ``segments`` and ``auc_agg`` callable from SQL."""
+    """Make the vector functions, the intent rule, ``segments``, ``series_segments`` and ``auc_agg`` callable from SQL."""
     for statement in SQL_FUNCTIONS:
         spark.sql(statement)
     spark.udtf.register("segments", Segments)
+    spark.udtf.register("series_segments", SeriesSegments)
     spark.udf.register("auc_agg", auc_agg)

@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from spectraloom.functions.sql import mahalanobis_function, register_sql
 from spectraloom.operators import gaussian as G
-from spectraloom.plans.base import SAMPLES_CTE, R, query, r, samples, table
+from spectraloom.plans.base import SAMPLES_CTE, R, events, query, r, samples, table
 from spectraloom.plans.detection import TRAIN_DIST, train_of
+from spectraloom.plans.signal import seg_sql
 
 
 @query(
@@ -49,6 +50,34 @@ def sql_segments_table_function(spark, sf_dir):
     )
 
 
+@query("K3 B1", f"WITH {seg_sql(32)} SELECT user_id, segment_idx, min(t) + segment_idx * 16 AS start_sample, count(*) AS n, {R('sum(v)')} AS total FROM seg GROUP BY user_id, segment_idx")
+def sql_segments_of_series(spark, sf_dir):
+    """The windows of ``segment_event_series`` from a table argument: each user's events in order of time."""
+    register_sql(spark)
+    rows = events(spark, sf_dir).select("user_id", "ts", "event_id", (F.col("value") / 100).alias("v"))
+    return spark.sql(
+        """SELECT user_id, segment_idx, start_sample, CAST(size(values) AS BIGINT) AS n, round(aggregate(values, 0.0D, (acc, x) -> acc + x), 6) + 0.0D AS total
+           FROM series_segments(TABLE(SELECT * FROM {rows}) PARTITION BY user_id ORDER BY (ts, event_id), 'v', 32, 16, 'user_id')""",
+        rows=rows,
+    )
+
+
+@query(
+    "K3 B1 J3",
+    f"""WITH {seg_sql(2, 5)}, e AS (SELECT user_id, event_id, ts, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS idx FROM events)
+SELECT a.user_id, a.event_id, w.segment_idx, w.segment_idx * 5 AS start_sample, a.event_type || '>' || b.event_type AS pair
+FROM win w JOIN e a ON a.user_id = w.user_id AND a.idx = w.segment_idx * 5 JOIN e b ON b.user_id = w.user_id AND b.idx = w.segment_idx * 5 + 1""",
+)
+def sql_segments_with_gaps(spark, sf_dir):
+    """Windows further apart than they are long, over a string column: two events out of every five."""
+    register_sql(spark)
+    return spark.sql(
+        """SELECT user_id, event_id, segment_idx, start_sample, concat_ws('>', values) AS pair
+           FROM series_segments(TABLE(SELECT user_id, event_id, ts, event_type FROM {rows}) PARTITION BY user_id ORDER BY (ts, event_id), 'event_type', 2, 5, 'user_id,event_id')""",
+        rows=events(spark, sf_dir),
+    )
+
+
 @query(
     "K4 G1",
     f"""WITH c AS (SELECT p_brand AS brand, p_size AS s, CAST(p_type = 'ECONOMY' AS INT) AS y FROM part)

@@ -3,6 +3,9 @@
 import numpy as np
 import pytest
 
+from pyspark.errors import AnalysisException
+
+from spectraloom.functions.sql import register_sql
 from spectraloom.operators import neighbours as N
 from spectraloom.operators import quality as Q
 
@@ -75,3 +78,28 @@ def test_certified_queries_are_exact_without_them(spark):
     hits = sum(r["neighbour"] in want[r["sample_id"]] for r in got)
     assert hits >= 0.9 * want.size
     assert N.knn_hashed(df, df.limit(0), 4).collect() == [] and N.knn_hashed(df.limit(0), df, 4).collect() == []
+
+
+@pytest.mark.parametrize("length, stride", [(1, 1), (3, 1), (4, 4), (2, 5)])
+def test_segments_of_a_table_argument(spark, length, stride):
+    register_sql(spark)
+    rows = [(k, t, None if t == 2 else 10 * k + t) for k, n in ((1, 13), (2, 3), (3, 1)) for t in range(n)] + [(None, t, t) for t in range(6)]
+    df = spark.createDataFrame(rows, "k int, t int, v long").repartition(4)
+    sql = "SELECT * FROM series_segments(TABLE(SELECT * FROM {df}) PARTITION BY k ORDER BY (t), 'v', %d, %d, 'k')" % (length, stride)
+    out = spark.sql(sql, df=df)
+    assert out.schema.simpleString() == "struct<k:int,segment_idx:bigint,start_sample:bigint,values:array<bigint>>"
+    want = []
+    for k in (1, 2, 3, None):
+        series = [v for key, _, v in rows if key == k]
+        want += [(k, i, at, series[at : at + length]) for i, at in enumerate(range(0, len(series) - length + 1, stride))]
+    order = lambda r: (r[0] is None, r[0] or 0, r[1])
+    assert sorted(map(tuple, out.collect()), key=order) == want
+    assert spark.sql(sql, df=df.limit(0)).collect() == []
+
+
+def test_segments_refuse_what_they_cannot_read(spark):
+    register_sql(spark)
+    df = spark.createDataFrame([(1, 1, 1)], "k int, t int, v long")
+    for args in ("'w', 3, 1", "'v', 0, 1", "'v', 3, 1, 'nothing'"):
+        with pytest.raises(AnalysisException):
+            spark.sql("SELECT * FROM series_segments(TABLE(SELECT * FROM {df}) PARTITION BY k ORDER BY (t), %s)" % args, df=df).collect()
