@@ -6,7 +6,7 @@ text per element name and per word of class, id or role, and tags inside and out
 lies below surrounding elements inside it is left out.
 
 Defined results. Null or empty html, and pages without a positive run, give the empty text. Scripts, styles, comments and markup never give text. An element left open
-ends with its parent; a paragraph or list item also ends where the next begins. Character references are decoded once, unknown ones stay as they are; white space inside a block
+ends with its parent; a paragraph or list item also ends where the next begins. Time grows with the length of a page, whatever its markup: tags that never end, unclosed quotes and deep nesting included. Character references are decoded once, unknown ones stay as they are; white space inside a block
 becomes one space; blocks are joined by two line feeds. Ties go to the earliest, longest run. Repeated rows give the same text; an empty table gives an empty result; other
 columns are not read.
 """
@@ -16,7 +16,7 @@ from __future__ import annotations
 import html as references
 import math
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -32,11 +32,10 @@ BLOCK = frozenset(
 #: Elements without content.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 
-TOKEN = re.compile(
-    r"<!--(?P<note>.*?)(?:-->|$)|<(?P<raw>(?:script|style|template|noscript|svg|iframe|object|audio|video|canvas|math)\b)[^>]*>.*?(?:</(?P=raw)\s*>|$)"
-    r"|<(?P<close>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>|(?P<text>[^<]+|<)",
-    re.S | re.I,
-)
+RAW = re.compile(r"<(script|style|template|noscript|svg|iframe|object|audio|video|canvas|math)\b", re.I)
+RAW_END = {name: re.compile(rf"</{name}\s*>", re.I) for name in "script style template noscript svg iframe object audio video canvas math".split()}
+TAG = re.compile(r"<(?P<close>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)")
+REST = re.compile(r"((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
 ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 NOT_SHOWN = re.compile(r"(?:^|;)\s*display\s*:\s*none", re.I)
 #: First words of class words that tell a state of the layout, not what the element is.
@@ -57,6 +56,7 @@ SURROUNDINGS = [
     ("form", ""), ("div", "search"), ("div", "newsletter"), ("div", "subscribe"), ("div", "signup"), ("div", "login"), ("select", ""), ("button", ""), ("label", ""), ("fieldset", ""), ("textarea", ""),
     ("section", "comments"), ("div", "comments"), ("div", "comment"), ("ol", "commentlist"), ("div", "disqus"), ("div", "replies"), ("div", "reply"), ("div", "respond"), ("div", "discussion"),
     ("div", "share"), ("div", "sharing"), ("div", "social"), ("dialog", ""), ("menu", ""), ("div", "hidden"),
+    ("div", "responses"), ("div", "feedback"), ("div", "gdpr"),
 ]
 
 
@@ -98,56 +98,99 @@ HIDDEN = ".hidden mark"
 
 
 class Element:
-    """An open element with what is counted below it."""
+    """An open element, the one it stands in, and what is counted below it."""
 
-    __slots__ = ("name", "features", "words", "heads", "outside")
+    __slots__ = ("name", "features", "parent", "main", "block", "words", "heads", "firm", "outside", "listed")
 
-    def __init__(self, name: str, features: tuple):
-        self.name, self.features, self.words, self.heads, self.outside = name, features, 0, 0, False
+    def __init__(self, name: str, features: tuple, parent: Element | None):
+        self.name, self.features, self.parent = name, features, parent
+        self.main = name in ("article", "main") or (parent is not None and parent.main)
+        self.block = self if name in BLOCK else parent and parent.block
+        self.words, self.heads, self.firm, self.outside, self.listed = 0, 0, False, False, False
 
+    def chain(self) -> list[Element]:
+        """The element and all it stands in, outermost last."""
+        out, e = [], self
+        while e is not None:
+            out.append(e)
+            e = e.parent
+        return out
 
-def tokens(page: str) -> Iterator[tuple[str, str, tuple]]:
-    """(kind, value, open elements) of each token."""
-    stack: list[tuple[str, Element]] = []
-    known: dict[tuple, tuple] = {}
-    around: tuple = ()
-    for m in TOKEN.finditer(page):
-        text = m["text"]
-        if text is not None:
-            yield "text", text, around
-        elif m["note"] is not None:
-            yield "note", m["note"], around
-        elif m["name"] is not None:
-            name = m["name"].lower()
-            if m["close"]:
-                for at in range(len(stack) - 1, -1, -1):
-                    if stack[at][0] == name:
-                        del stack[at:]
-                        break
-                around = tuple(e for _, e in stack)
-                yield "close", name, around
+
+def _markup(page: str) -> Iterator[tuple[str, str, str]]:
+    """(kind, name or text, rest of the tag) of each piece of the page, in time in proportion to its length.
+
+    A tag ends at the first ``>`` outside quotes. A page with a tag whose quotes or brackets never close has its quotes ignored from there
+    on, so no stretch is searched twice; without any ``>`` after it, ``<`` is text.
+    """
+    at, last, ragged = 0, page.rfind(">"), False
+    while at < len(page):
+        if page[at] != "<":
+            end = page.find("<", at)
+            end = len(page) if end < 0 else end
+            yield "text", page[at:end], ""
+            at = end
+            continue
+        if page.startswith("<!--", at):
+            end = page.find("-->", at + 4)
+            yield "note", page[at + 4 : end if end >= 0 else len(page)], ""
+            at = end + 3 if end >= 0 else len(page)
+            continue
+        if at < last:
+            if raw := RAW.match(page, at):
+                closing = RAW_END[raw[1].lower()].search(page, page.find(">", at) + 1)
+                at = closing.end() if closing else len(page)
+                continue
+            if tag := TAG.match(page, at):
+                rest = None if ragged else REST.match(page, tag.end())
+                ragged = rest is None
+                end = rest.end() if rest else page.find(">", at) + 1
+                yield "close" if tag["close"] else "open", tag["name"].lower(), page[tag.end() : end - 1]
+                at = end
                 continue
-            if name in BLOCK:
-                _end_open(stack, name)
-            inside = any(n in ("article", "main") for n, _ in stack)
-            key = (name, m["rest"], inside)
+            if page[at + 1] in "!?/" and at + 1 < last:
+                at = page.find(">", at + 2) + 1
+                continue
+        yield "text", "<", ""
+        at += 1
+
+
+def tokens(page: str) -> Iterator[tuple[str, str, Element | None]]:
+    """(kind, value, innermost open element) of each token."""
+    stack: list[Element] = []
+    names: Counter[str] = Counter()  # of the open elements
+    known: dict[tuple, tuple] = {}
+
+    def end(at: int) -> None:
+        names.subtract(e.name for e in stack[at:])
+        del stack[at:]
+
+    for kind, value, rest in _markup(page):
+        if kind == "close" and names[value]:
+            at = len(stack) - 1
+            while stack[at].name != value:
+                at -= 1
+            end(at)
+        elif kind == "open":
+            top = stack[-1] if stack else None
+            if value in BLOCK and top and (block := top.block) and _ends(block.name, value):
+                at = len(stack) - 1
+                while stack[at] is not block:
+                    at -= 1
+                end(at)
+                top = stack[-1] if stack else None
+            key = (value, rest, top is not None and top.main)
             if key not in known:
                 known[key] = tuple(_features(*key))
-            if name not in VOID and not m["rest"].endswith("/"):
-                stack.append((name, Element(name, known[key])))
-            around = tuple(e for _, e in stack)
-            yield "open", name, around
+            if value not in VOID and not rest.endswith("/"):
+                stack.append(Element(value, known[key], top))
+                names[value] += 1
+        yield kind, value, stack[-1] if stack else None
 
 
-def _end_open(stack: list[tuple[str, Element]], name: str) -> None:
-    """A new block ends an open paragraph, a new list item an open one."""
-    for at in range(len(stack) - 1, -1, -1):
-        open_name = stack[at][0]
-        if open_name == "p" or (open_name == name and name in ("li", "dt", "dd", "td", "th", "tr", "option")):
-            del stack[at:]
-            return
-        if open_name in BLOCK:
-            return
+def _ends(open_name: str, name: str) -> bool:
+    """A new block ends an open paragraph, a new list item or cell an open one."""
+    return open_name == "p" or (open_name == name and name in ("li", "dt", "dd", "td", "th", "tr", "option"))
 
 
 @dataclass
@@ -163,7 +206,7 @@ class Weights:
         return sum(weights) < -1.0 or any(w < -1.0 for f, w in zip(features, weights) if f != ".header")  # an article's header is its own
 
     def tag_cost(self, name: str) -> float:
-        return self.tag.get(name, 0.2)
+        return self.tag.get(name, 0.0)  # tags of no labelled page tell nothing
 
 
 def fit(pages: list[str]) -> Weights:
@@ -182,7 +225,7 @@ def fit(pages: list[str]) -> Weights:
             if kind == "text":
                 n = len(value.split())
                 total[label] += n
-                for f in {f for e in around for f in e.features}:
+                for f in {f for e in (around.chain() if around else ()) for f in e.features}:
                     words[f][label] += n
             else:
                 tags[value][label] += 1
@@ -194,37 +237,55 @@ def fit(pages: list[str]) -> Weights:
     return Weights(element, tag, max(0.5, clip(math.log(total[1] / total[0]))))
 
 
-def _judge(read: list[tuple[str, str, tuple]], weights: Weights) -> None:
+def _judge(read: list[tuple[str, str, Element | None]], weights: Weights) -> None:
     """Mark what surrounds the main text: by mark or element name always, by class words only where the page's main part is not below.
 
     The main part is the longest main element, an article with half of its words (of the page's third, without a main), or
     what holds most of the page's words and every main element and first heading.
     """
-    elements: dict[int, tuple] = {}
+    elements: list[Element] = []  # each after the one it stands in
     total = heads = 0
-    for kind, value, around in read:
+    for kind, value, e in read:
         if kind == "text":
             n = len(value.split())
             total += n
-            for e in around:
+            if e:
                 e.words += n
-        elif kind == "open" and around and around[-1].name == value and id(around[-1]) not in elements:
-            elements[id(around[-1])] = around
+        elif kind == "open" and e and not e.listed:
+            e.listed = True
+            elements.append(e)
+            e.firm = HIDDEN in e.features or weights.surrounds(e.features[:1]) or (e.parent is not None and e.parent.firm)
             if value in ("h1", "main"):
                 heads += 1
-                for e in around:
-                    e.heads += 1
-    firm = lambda e: HIDDEN in e.features or weights.surrounds(e.features[:1])
-    shown = [around for around in elements.values() if around[-1].name in ("main", "article") and not any(firm(e) for e in around)]
-    longest = lambda name: max((a for a in shown if a[-1].name == name), key=lambda a: a[-1].words, default=())
+                e.heads += 1
+    for e in reversed(elements):
+        if e.parent:
+            e.parent.words += e.words
+            e.parent.heads += e.heads
+    longest = lambda name: max((e for e in elements if e.name == name and not e.firm), key=lambda e: e.words, default=None)
     main, article = longest("main"), longest("article")
-    holders = {id(e) for e in main}
-    if article and (main[-1] in article and 2 * article[-1].words >= main[-1].words if main else 3 * article[-1].words >= total):
-        holders |= {id(e) for e in article[:-1]}
-    for around in elements.values():
-        e = around[-1]
+    holders = set(main.chain()) if main else set()
+    if article:
+        above = article.chain()[1:]
+        if main in above and 2 * article.words >= main.words if main else 3 * article.words >= total:
+            holders.update(above)
+    for e in elements:
         most = 2 * e.words > total and e.heads == heads
-        e.outside = firm(e) or (weights.surrounds(e.features) and not (e.name in ("html", "body") or id(e) in holders or most))
+        spared = e.name in ("html", "body") or e in holders or most
+        e.outside = e.firm or (weights.surrounds(e.features) and not spared) or (e.parent is not None and e.parent.outside)
+
+
+def best_run(scores: list) -> tuple[int, int]:
+    """First and past-last block of the run with the best sum of scores less the costs between its blocks; (0, 0) if none is positive."""
+    best, run, begin, span = 0.0, 0.0, 0, (0, 0)
+    for i, (score, before) in enumerate(scores):
+        if run - before <= 0:
+            run, begin = score, i
+        else:
+            run += score - before
+        if run > best:
+            best, span = run, (begin, i + 1)
+    return span
 
 
 def extract(page: str | None, weights: Weights) -> str:
@@ -236,14 +297,14 @@ def extract(page: str | None, weights: Weights) -> str:
     _judge(read, weights)
     for kind, value, around in read:
         if kind == "text":
-            outside = bool(around) and any(e.outside for e in around)
+            outside = around is not None and around.outside
             if fresh or outside != was:
                 blocks.append([[value], outside, cost])
                 cost, fresh, was = 0.0, False, outside
             else:
                 blocks[-1][0].append(value)
         elif kind != "note":
-            cost += 0.0 if any(e.outside for e in around) else weights.tag_cost(value)
+            cost += 0.0 if around is not None and around.outside else weights.tag_cost(value)
             if value in BLOCK:
                 fresh = True
             elif value == "br" and blocks and not fresh:
@@ -258,15 +319,8 @@ def extract(page: str | None, weights: Weights) -> str:
         n = text.count(" ") + 1
         kept.append((text, outside))
         scores.append([0.0 if outside else n * weights.word, before])
-    best, run, begin, span = 0.0, 0.0, 0, (0, 0)
-    for i, (score, before) in enumerate(scores):
-        if run - before <= 0:
-            run, begin = score, i
-        else:
-            run += score - before
-        if run > best:
-            best, span = run, (begin, i + 1)
-    return "\n\n".join(text for text, outside in kept[span[0] : span[1]] if not outside)
+    first, end = best_run(scores)
+    return "\n\n".join(text for text, outside in kept[first:end] if not outside)
 
 
 def main_text(pages: DataFrame, weights: Weights, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
