@@ -53,17 +53,19 @@ def op5_prefix_sum_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH t AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text, CAST(floor(turn / 256) AS BIGINT) AS piece FROM conversations),
+WITH r AS (
+  SELECT conv_id, turn, coalesce(role, 'unknown') AS role, regexp_replace(coalesce(text, ''), '<\\|(_*)im_', '<|_\\1im_', 'g') AS text FROM conversations),
+t AS (SELECT *, CAST((row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1) // 256 AS BIGINT) AS piece FROM r),
 s AS (SELECT DISTINCT conv_id, role AS speaker FROM t),
 v AS (
-  SELECT t.*, s.speaker, CASE WHEN role = speaker THEN '<|im_start|>assistant' || chr(10) ELSE '<|im_start|>user name=' || role || chr(10) END AS head,
+  SELECT t.*, s.speaker, CASE WHEN role = speaker THEN '<|im_start|>assistant' || chr(10) ELSE '<|im_start|>user name=' || replace(regexp_replace(role, '<\\|(_*)im_', '<|_\\1im_', 'g'), chr(10), ' ') || chr(10) END AS head,
          '<|im_end|>' || chr(10) AS tail
-  FROM t JOIN s USING (conv_id)),
+  FROM t JOIN s ON t.conv_id IS NOT DISTINCT FROM s.conv_id),
 p AS (
   SELECT *, sum(length(head) + length(text) + length(tail)) OVER (
-    PARTITION BY conv_id, speaker, piece ORDER BY turn, role, text ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS stop FROM v)
-SELECT conv_id, speaker, piece, count(*) AS n_turns, string_agg(head || text || tail, '' ORDER BY turn, role, text) AS text,
-       coalesce(string_agg(CASE WHEN role = speaker THEN (stop - length(text) - length(tail)) || '-' || stop END, ',' ORDER BY turn, role, text), '') AS mask,
+    PARTITION BY conv_id, speaker, piece ORDER BY turn NULLS FIRST, role, text ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS stop FROM v)
+SELECT conv_id, speaker, piece, count(*) AS n_turns, string_agg(head || text || tail, '' ORDER BY turn NULLS FIRST, role, text) AS text,
+       coalesce(string_agg(CASE WHEN role = speaker THEN (stop - length(text) - length(tail)) || '-' || stop END, ',' ORDER BY turn NULLS FIRST, role, text), '') AS mask,
        CAST(coalesce(sum(CASE WHEN role = speaker THEN length(text) + length(tail) END), 0) AS BIGINT) AS n_masked
 FROM p GROUP BY conv_id, speaker, piece""")
 def op6_perspective_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
