@@ -4,6 +4,7 @@ import re
 import zlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from spectraloom.llm import chat_format, html_extraction, queries, sharding, url_filters
 from tests.llm import edges
@@ -131,6 +132,32 @@ def test_url_model_on_unseen_hosts(spark, url_model):
     assert [got[i] for i in range(8)] == ["block"] * 4 + ["allow"] * 4
 
 
+def test_labelled_table_holds_no_given_host(spark):
+    """No labelled host has a name of the given pages."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    given = {n for r in pages.select(url_filters.host_of(F.col("url")).alias("h")).distinct().collect() for n in r.h.split(".")[:-2]}
+    own = {n for u, _ in url_filters.labelled_urls() for n in u.split("/")[2].split(".")}
+    assert len(given) > 20 and given & own <= {"www", "m", "blog", ""}
+
+
+def test_accuracy_on_unseen_hosts(spark):
+    """Hosts with a word that the fitted part does not hold, mixed with a known one in two of three."""
+    right = total = 0
+    for fold in range(2):
+        known, unseen = url_filters.held_out(5, fold)
+        pages = spark.createDataFrame([(i, u) for i, (u, _) in enumerate(unseen)], "page_id long, url string")
+        got = {r.page_id: r.verdict for r in url_filters.judge(pages, url_filters.fit(spark, known), []).collect()}
+        right += sum((got[i] == "block") == (y == 1.0) for i, (_, y) in enumerate(unseen))
+        total += len(unseen)
+    assert right / total > 0.6
+
+
+def test_very_long_url(spark, url_model):
+    pages = spark.createDataFrame([(1, "http://casino-online.org/" + "a/" * 100_000), (2, "x://" + "h" * 100_000)], "page_id long, url string")
+    got = {r.page_id: r for r in url_filters.judge(pages, url_model, queries.URL_RULES).collect()}
+    assert len(got[1].path) == 200_001 and len(got[2].host) == 100_000 and got[2].path == ""
+
+
 WEIGHTS = html_extraction.fit(html_extraction.labelled_pages())
 LONG = " ".join(["words"] * 40)
 PAGES = [
