@@ -73,14 +73,23 @@ def matched_rule(host: Column, path: Column, rules: list[tuple[str, str, str]])
     return found
 
 
+#: Characters of a stretch; a place in a string is found by counting from its start, so n-grams are cut from short stretches.
+STRETCH = 256
+
+
 def char_ngrams(text: Column, sizes: tuple[int, ...]) -> Column:
     """All character n-grams as an array; texts shorter than n give none of that size."""
-    def grams(n: int) -> Column:
-        last = F.char_length(text) - (n - 1)
-        each = F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.substring(text, i, F.lit(n)))
+    stretches = F.transform(
+        F.sequence(F.lit(0), F.floor(F.char_length(text) / STRETCH).cast("int")),
+        lambda c: F.substring(text, c * STRETCH + 1, F.lit(STRETCH + max(sizes) - 1)),
+    )
+
+    def grams(stretch: Column, n: int) -> Column:
+        last = F.least(F.char_length(stretch) - (n - 1), F.lit(STRETCH))
+        each = F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.substring(stretch, i, F.lit(n)))
         return F.when(last >= 1, each).otherwise(F.array().cast("array<string>"))
 
-    return reduce(lambda a, b: F.concat(a, b), [grams(n) for n in sizes])
+    return F.flatten(F.transform(stretches, lambda x: reduce(lambda a, b: F.concat(a, b), [grams(x, n) for n in sizes])))
 
 
 def _grams(df: DataFrame, host: Column, path: Column, sizes: tuple[int, ...]) -> DataFrame:

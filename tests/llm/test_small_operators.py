@@ -152,6 +152,13 @@ def test_accuracy_on_unseen_hosts(spark):
     assert right / total > 0.6
 
 
+@pytest.mark.parametrize("n", [0, 2, 3, 255, 256, 257, 260, 512, 1000])
+def test_char_ngrams(spark, n):
+    text = "".join(chr(97 + i % 26) if i % 7 else "é" for i in range(n))
+    got = spark.createDataFrame([(text,)], "x string").select(url_filters.char_ngrams(F.col("x"), (3, 4, 5))).first()[0]
+    assert sorted(got) == sorted(text[i : i + k] for k in (3, 4, 5) for i in range(n - k + 1))
+
+
 def test_very_long_url(spark, url_model):
     pages = spark.createDataFrame([(1, "http://casino-online.org/" + "a/" * 100_000), (2, "x://" + "h" * 100_000)], "page_id long, url string")
     got = {r.page_id: r for r in url_filters.judge(pages, url_model, queries.URL_RULES).collect()}
