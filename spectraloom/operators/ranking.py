@@ -6,6 +6,9 @@ row after map-side combining, and continue over score ranges (see ``prefix``).
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -439,3 +442,66 @@ def bootstrap_closer_rate(
                 yield pd.DataFrame({"replicate": np.arange(replicates), "rate": got})
 
     return share.where("pairs > 0").mapInPandas(draws, "replicate long, rate double")
+
+
+# ---- bootstrap by hashed weights ------------------------------------------------------------------
+
+
+def poisson_cuts(bits: int = 32) -> list[int]:
+    """Where a uniform number of ``bits`` bits passes the Poisson(1) distribution function: its draw is the cuts at or below it."""
+    cuts, term, total, k = [], math.exp(-1), math.exp(-1), 0
+    while (cut := math.floor(total * 2**bits)) < 2**bits and (not cuts or cut > cuts[-1]):
+        cuts.append(cut)
+        k += 1
+        term /= k
+        total += term
+    return cuts
+
+
+def poisson_weights(df: DataFrame, id_col: Column | str, replicates: int, seed: int) -> DataFrame:
+    """Each row once for every replicate that draws it, with its weight ``w`` (1, 2, ...).
+
+    A row's weight is Poisson(1), read from the md5 of its id, the replicate and the seed, so it depends on neither partitions
+    nor retries, and no task holds a resample. Four replicates share a hash. Rows with one id are drawn together; null ids are one id.
+    """
+    key = F.col(id_col) if isinstance(id_col, str) else id_col
+    hashed = df.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit((replicates - 1) // 4)))).withColumn(
+        "_hash", F.md5(F.concat_ws(":", F.coalesce(key.cast("string"), F.lit("null")), F.col("_block").cast("string"), F.lit(str(seed))))
+    )
+    lanes = hashed.withColumn("_lane", F.explode(F.sequence(F.lit(0), F.lit(3)))).withColumn("replicate", (F.col("_block") * 4 + F.col("_lane")).cast("long"))
+    u = F.conv(F.substring("_hash", F.col("_lane") * 8 + 1, F.lit(8)), 16, 10).cast("long")
+    weight = reduce(lambda a, b: a + b, [(F.col("_u") >= F.lit(c)).cast("int") for c in poisson_cuts()])
+    drawn = lanes.withColumn("_u", u).withColumn("w", weight).where((F.col("w") > 0) & (F.col("replicate") < replicates))
+    return drawn.drop("_block", "_hash", "_lane", "_u")
+
+
+def poisson_auc(df: DataFrame, y: str, s: str, id_col: Column | str, replicates: int = 1000, seed: int = 42, type_col: str | None = None) -> DataFrame:
+    """AUC of each Poisson bootstrap replicate; with ``type_col``, of each type's positives against all negatives of the replicate.
+
+    Weighted counts per replicate and distinct score are summed map-side before the only shuffle of rows. Null and NaN
+    scores and null truths take no part; the AUC is null where a replicate draws no row of a class.
+    """
+    score, truth = F.col(s).cast("double"), F.col(y).cast("int")
+    known = df.where(score.isNotNull() & ~F.isnan(score) & truth.isNotNull())
+    kind = F.when(truth == 1, F.col(type_col)) if type_col else F.lit(None).cast("string")
+    narrow = known.select((score + F.lit(0.0)).alias("s"), (truth == 1).alias("_pos"), kind.alias("_type"), (F.col(id_col) if isinstance(id_col, str) else id_col).alias("_id"))
+    w = F.col("w").cast("long")
+    counts = poisson_weights(narrow, "_id", replicates, seed).groupBy("replicate", "s", "_pos", "_type").agg(
+        F.sum(F.when(F.col("_pos"), w).otherwise(0)).alias("p"), F.sum(F.when(F.col("_pos"), 0).otherwise(w)).alias("n")
+    )
+    counts = materialize(counts, "poisson-counts")
+    if not type_col:
+        merged = counts.groupBy("replicate", "s").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
+        return auc_from_counts(merged, ["replicate"], range_cuts(counts, "s"))
+    ranged = counts.withColumn("_r", range_of("s", range_cuts(counts, "s")))
+    upto = Window.partitionBy("replicate", "_r").orderBy("s").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    same = Window.partitionBy("replicate", "_r", "s")
+    local = ranged.withColumn("_below", F.sum("n").over(upto) - F.sum("n").over(same) / 2)
+    part = local.groupBy("replicate", "_r", "_pos", "_type").agg(F.sum(F.col("p") * F.col("_below")).alias("u"), F.sum("p").alias("p"), F.sum("n").alias("n"))
+    earlier = Window.partitionBy("replicate").orderBy("_r").rangeBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy("replicate")
+    placed = part.withColumns({"_off": F.coalesce(F.sum("n").over(earlier), F.lit(0)), "_negatives": F.sum("n").over(whole)})  # ranges x types rows a replicate
+    pairs = F.nullif(F.sum("p").cast("double") * F.max("_negatives"), F.lit(0.0))
+    return placed.where("_pos").groupBy("replicate", F.col("_type").alias(type_col)).agg(
+        (F.sum(F.col("u") + F.col("p").cast("double") * F.col("_off")) / pairs).alias("auc"), F.sum("p").alias("n_pos"), F.max("_negatives").alias("n_neg")
+    )

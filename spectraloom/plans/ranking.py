@@ -195,6 +195,47 @@ def bootstrap_closer_rate_interval(spark, sf_dir):
     return K.bootstrap_interval(reps, "rate")
 
 
+def poisson_sql(source: str, key: str, s: str, replicates: int, seed: int, kind: str = "NULL") -> str:
+    """Weighted counts per replicate, score and type (check SQL)."""
+    weight = " + ".join(f"CAST(u >= {c} AS INT)" for c in K.poisson_cuts())
+    return f"""hashed AS (SELECT y, {s} AS s, {kind} AS kind, b, md5({key} || ':' || b || ':{seed}') AS h FROM {source}, (SELECT unnest(range(0, {-(-replicates // 4)})) AS b)),
+lanes AS (SELECT y, s, kind, b * 4 + l AS replicate, CAST(CAST('0x' || substr(h, 1 + 8 * CAST(l AS INT), 8) AS UBIGINT) AS BIGINT) AS u FROM hashed, (SELECT unnest(range(0, 4)) AS l)),
+drawn AS (SELECT *, {weight} AS w FROM lanes WHERE replicate < {replicates}),
+neg AS (SELECT replicate, s, CAST(sum(w) AS DOUBLE) AS n FROM drawn WHERE y = 0 GROUP BY ALL),
+pos AS (SELECT replicate, kind, s, CAST(sum(w) AS DOUBLE) AS p FROM drawn WHERE y = 1 GROUP BY ALL),
+spots AS (SELECT replicate, s, coalesce(n, 0) AS n FROM (SELECT replicate, s FROM pos UNION SELECT replicate, s FROM neg) LEFT JOIN neg USING (replicate, s)),
+below AS (SELECT *, sum(n) OVER (PARTITION BY replicate ORDER BY s) - n / 2 AS b, sum(n) OVER (PARTITION BY replicate) AS nn FROM spots),
+reps AS (SELECT replicate, kind, sum(p * b) / nullif(sum(p) * any_value(nn), 0) AS auc FROM pos JOIN below USING (replicate, s) GROUP BY ALL)"""
+
+
+INTERVAL_SQL = f"{R('avg(auc)')} AS mean, {R('stddev_pop(auc)')} AS std, {R('quantile_cont(auc, 0.025)')} AS ci_low, {R('quantile_cont(auc, 0.975)')} AS ci_high, count(*) AS replicates"
+
+
+def _interval(reps, by=None):
+    out = K.bootstrap_interval(reps, by=by)
+    return out.select(*(by or []), *[r(c).alias(c) for c in ("mean", "std", "ci_low", "ci_high")], "replicates")
+
+
+@query(
+    "G10",
+    f"""WITH rows AS (SELECT CAST(l_returnflag = 'R' AS INT) AS y, CAST(l_quantity AS DOUBLE) AS qty, l_orderkey || '-' || l_linenumber AS id FROM lineitem),
+{poisson_sql('rows', 'id', 'qty', 40, 11)} SELECT {INTERVAL_SQL} FROM reps""",
+)
+def bootstrap_auc_by_hashed_draws(spark, sf_dir):
+    """Interval of the AUC over all line items from forty resamples whose draws hash the row's own key."""
+    rows = table(spark, sf_dir, "lineitem").select(
+        (F.col("l_returnflag") == "R").cast("int").alias("y"), F.col("l_quantity").alias("qty"), F.concat_ws("-", "l_orderkey", "l_linenumber").alias("id")
+    )
+    return _interval(K.poisson_auc(rows, "y", "qty", "id", 40, 11))
+
+
+@query("G10", f"WITH {SCORES_CTE}, {poisson_sql('scores', 'sample_id', 'dist', 100, 7, 'label')} SELECT kind AS label, {INTERVAL_SQL} FROM reps GROUP BY kind")
+def bootstrap_auc_by_type_hashed_draws(spark, sf_dir):
+    """Interval of each type's AUC against the negatives of the same resample, over all scored samples."""
+    rows = cosine_scores(spark, sf_dir)
+    return _interval(K.poisson_auc(rows, "y", "dist", "sample_id", 100, 7, "label"), ["label"])
+
+
 @query(
     "G11",
     f"""WITH {PRICED}, lv AS (SELECT *, line AS ordinal, CAST(25 - 5 * line AS BIGINT) AS snr_db FROM priced),

@@ -1,5 +1,7 @@
 """Ranking metrics against plain NumPy, with and without range splitting, and their invariants."""
 
+import hashlib
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -122,6 +124,44 @@ def test_bootstrap_over_many_ranges(scored, monkeypatch):
     assert abs(got["mean"] - pairwise_auc(pdf.y.values, pdf.s.values)) < 0.015
 
 
+def test_poisson_cuts():
+    cuts = K.poisson_cuts()
+    share = np.diff([0, *cuts, 2**32]) / 2**32
+    np.testing.assert_allclose(share[:4], np.exp(-1) / np.array([1, 1, 2, 6]), rtol=1e-8)
+    assert abs((share * np.arange(len(share))).sum() - 1) < 1e-8
+
+
+def test_poisson_auc_against_plain_weights(spark, monkeypatch):
+    """Replicates equal the weighted pairwise AUC, also over many ranges and at another partitioning; nulls take no part."""
+    real = K.range_cuts
+    monkeypatch.setattr(K, "range_cuts", lambda values, col, rows_per_range=None: real(values, col, 40))
+    rng = np.random.default_rng(2)
+    rows = [(i, int(rng.random() < 0.4), float(np.round(rng.normal(), 1)), "ab"[i % 2]) for i in range(120)]
+    rows += [(500, 1, None, "a"), (501, None, 0.5, "a"), (502, 0, float("nan"), "b"), (None, 1, 0.3, "a"), (None, 0, 0.3, None)]
+    df = spark.createDataFrame(rows, "id long, y int, s double, kind string")
+    known = [r for r in rows if r[1] is not None and r[2] is not None and r[2] == r[2]]
+
+    def plain(rep, kind=None):
+        cuts, pos, neg = K.poisson_cuts(), [], []
+        for i, y, s, k in known:
+            h = hashlib.md5(f"{'null' if i is None else i}:{rep // 4}:9".encode()).hexdigest()
+            w = sum(int(h[8 * (rep % 4) :][:8], 16) >= c for c in cuts)
+            if y == 0 or kind in (None, k):
+                (pos if y else neg).append((s, w))
+        u = sum(a * b * ((x > z) + (x == z) / 2) for x, a in pos for z, b in neg)
+        return u / (sum(a for _, a in pos) * sum(b for _, b in neg))
+
+    for part in (1, 6):
+        got = {r["replicate"]: r["auc"] for r in K.poisson_auc(df.repartition(part), "y", "s", "id", 10, 9).collect()}
+        assert sorted(got) == list(range(10))
+        np.testing.assert_allclose([got[i] for i in range(10)], [plain(i) for i in range(10)])
+    typed = {(r["replicate"], r["kind"]): r["auc"] for r in K.poisson_auc(df, "y", "s", "id", 10, 9, "kind").collect()}
+    assert len(typed) == 20
+    for (rep, kind), value in typed.items():
+        assert abs(value - plain(rep, kind)) < 1e-12
+    assert K.poisson_auc(df.limit(0), "y", "s", "id", 10, 9).collect() == []
+
+
 def test_snr_floor(spark):
     curve = spark.createDataFrame([(0, 25, 0.99), (1, 10, 0.88), (2, 0, 0.80), (3, -5, 0.86)], "ordinal int, snr_db int, auc double")
     got = {r["limit"]: r["floor_db"] for r in K.snr_floor(curve, [0.85, 0.90, 0.5]).collect()}
