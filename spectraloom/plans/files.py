@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import struct
 import uuid
+import zlib
 
 import numpy as np
 import pandas as pd
@@ -13,7 +15,7 @@ from spectraloom.operators import gaussian as G
 from spectraloom.operators import signal as S
 from spectraloom.plans.base import LONG_CTE, SAMPLES_CTE, R, query, r, samples, table
 from spectraloom.session import shared_dir
-from spectraloom.sources import catalog, iq
+from spectraloom.sources import catalog, ingest, iq
 
 
 def new_folder(spark, name: str) -> str:
@@ -157,3 +159,73 @@ def manifest_appended(spark, sf_dir):
     for side in ("train", "holdout", "negatives"):
         catalog.append_manifest(spark, counts.where(F.col("split") == side), path)
     return spark.read.parquet(path).where("processed_at IS NOT NULL").groupBy("split").agg(F.count(F.lit(1)).alias("runs"), F.sum("n").alias("n"))
+
+
+@query(
+    "A14 A10 A13",
+    f"""WITH {SAMPLES_CTE}, rec AS (SELECT recording_id, CAST(floor((count(*) * 32 - 256) / 128) + 1 AS BIGINT) AS n FROM samples GROUP BY 1 HAVING count(*) >= 8),
+kind AS (SELECT *, CASE WHEN recording_id % 2 = 0 THEN 'even' ELSE 'odd' END AS drone_type FROM rec)
+SELECT drone_type, 'rec' || lpad(CAST(recording_id AS VARCHAR), 2, '0') || '.dat' AS recording, n, n AS in_manifest, 2 AS c, 8 AS h, 8 AS w,
+ CAST(0 AS DOUBLE) + 1 AS energy, CAST(sum(n) OVER (PARTITION BY drone_type) - 1 AS BIGINT) AS last_no, CAST(sum(n) OVER (PARTITION BY drone_type) AS BIGINT) AS numbers FROM kind""",
+)
+def recordings_ingested(spark, sf_dir):
+    """Every recording from its file to spectrogram rows of the store, type after type, with numbers and manifest."""
+    raw, store = new_folder(spark, "raw"), new_folder(spark, "ingested")
+    write_files(samples(spark, sf_dir), raw, (".dat",))
+    for kind, part in (("even", "part0"), ("odd", "part1")):
+        ingest.ingest(spark, f"{raw}/{part}", store, kind, segment_len=256, n_fft=32, hop=8, size=8, chunk=1024)
+    rows = spark.read.parquet(store).withColumn("recording", F.regexp_extract("recording_id", r"([^/]+)$", 1))
+    energy = F.aggregate(V.as_doubles("spec"), F.lit(0.0), lambda a, x: a + x * x) / F.size("spec")
+    per = rows.groupBy("drone_type", "recording").agg(
+        F.count(F.lit(1)).alias("n"), *[F.max(x).alias(x) for x in "chw"], r(F.avg(energy), 3).alias("energy")
+    )
+    numbered = rows.groupBy("drone_type").agg(F.max("sample_no").cast("long").alias("last_no"), F.count_distinct("sample_no").alias("numbers"))
+    noted = spark.read.parquet(f"{store}-manifest").select(
+        "drone_type", F.regexp_extract("recording_id", r"([^/]+)$", 1).alias("recording"), F.col("n_samples").alias("in_manifest")
+    )
+    return per.join(noted, ["drone_type", "recording"]).join(numbered, "drone_type")
+
+
+def gray_png(pixels: np.ndarray) -> bytes:
+    """An 8-bit grey image as PNG bytes."""
+    h, w = pixels.shape
+
+    def part(kind: bytes, data: bytes) -> bytes:
+        return struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+
+    lines = np.hstack([np.zeros((h, 1), np.uint8), pixels]).tobytes()  # every line begins with its filter
+    return b"\x89PNG\r\n\x1a\n" + part(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 0, 0, 0, 0)) + part(b"IDAT", zlib.compress(lines)) + part(b"IEND", b"")
+
+
+def write_images(rows, folder: str) -> str:
+    """One 8 x 8 grey image per vector, its components as bytes 0 to 255; written by the tasks."""
+
+    def write(frames):
+        from pyarrow.fs import FileSystem
+
+        system, root = FileSystem.from_uri(iq._uri(folder))
+        for frame in frames:
+            for name, rec, values in zip(frame["sample_id"], frame["recording_id"], frame["embedding"]):
+                system.create_dir(f"{root}/rec{rec}", recursive=True)
+                pixels = np.clip(np.floor((np.asarray(values) + 1.0) * 127.5), 0, 255).astype(np.uint8).reshape(8, 8)
+                with system.open_output_stream(f"{root}/rec{rec}/v{name}.png") as out:
+                    out.write(gray_png(pixels))
+            yield pd.DataFrame({"n": [len(frame)]})
+
+    rows.select("sample_id", "recording_id", "embedding").mapInPandas(write, "n long").agg(F.sum("n")).collect()
+    return folder
+
+
+@query(
+    "A9",
+    f"""WITH {SAMPLES_CTE}, px AS (SELECT sample_id, unnest(range(0, 64)) AS k, least(255, greatest(0, floor((unnest(embedding) + 1.0) * CAST(127.5 AS DOUBLE)))) / 255 AS x FROM samples),
+st AS (SELECT sample_id, avg(x) AS m, stddev_pop(x) AS s FROM px GROUP BY 1)
+SELECT sample_id, 3 AS c, 8 AS h, 8 AS w, {R('sum(CAST((x - m) / (CASE WHEN s < 1e-6 THEN 1 ELSE s END) AS FLOAT) * CAST(3 * k + 192 AS DOUBLE))', 2)} AS weighted
+FROM px JOIN st USING (sample_id) GROUP BY sample_id""",
+)
+def spectrogram_images_read_back(spark, sf_dir):
+    """Every vector as a grey image file, read as three equal standardised channels."""
+    folder = write_images(samples(spark, sf_dir), new_folder(spark, "images"))
+    images = iq.read_spectrogram_images(spark, folder, 8)
+    weighted = F.aggregate(F.transform(V.as_doubles("spec"), lambda x, i: x * i), F.lit(0.0), lambda a, x: a + x)
+    return images.select(F.regexp_extract("path", r"/v(\d+)\.png$", 1).cast("long").alias("sample_id"), "c", "h", "w", r(weighted, 2).alias("weighted"))
