@@ -47,9 +47,9 @@ flat AS (SELECT recording_id, (dense_rank() OVER (PARTITION BY recording_id ORDE
 pair AS (SELECT recording_id, p // 2 AS s, max(x) FILTER (p % 2 = 0) AS i, max(x) FILTER (p % 2 = 1) AS q FROM flat GROUP BY ALL)"""
 
 
-def chunk_sql(names: str, where: str = "TRUE") -> str:
+def chunk_sql(names: str) -> str:
     return f"""WITH {IQ_SQL} SELECT {names} AS recording_id, s // 100 * 100 AS start_sample, count(*) AS n, {R('sum(i)', 4)} AS sum_i, {R('sum(q * (s % 100 + 1))', 4)} AS weighted_q
-FROM pair WHERE {where} GROUP BY ALL"""
+FROM pair GROUP BY ALL"""
 
 
 def chunk_rows(chunks):
@@ -62,18 +62,17 @@ def chunk_rows(chunks):
 NAME_SQL = "'part' || (recording_id % 2) || '/rec' || lpad(CAST(recording_id AS VARCHAR), 2, '0') || "
 
 
-@query("A1 A2 A4", chunk_sql(NAME_SQL + "CASE WHEN recording_id % 3 = 0 THEN '.dat' WHEN recording_id % 3 = 1 THEN '.bin' ELSE '.csv' END", "recording_id % 3 < 2"))
+@query("A1 A2 A4", chunk_sql(NAME_SQL + "CASE WHEN recording_id % 3 = 0 THEN '.dat' WHEN recording_id % 3 = 1 THEN '.bin' ELSE '.cf32' END"))
 def raw_recordings_read_back(spark, sf_dir):
-    """Interleaved pairs under two suffixes, read by byte ranges of 250 samples in chunks of 100."""
-    rows = samples(spark, sf_dir).where("recording_id % 3 < 2")
-    folder = write_files(rows, new_folder(spark, "iq"), (".dat", ".bin", ".csv"))
+    """Interleaved pairs under three suffixes, read by byte ranges of 250 samples in chunks of 100."""
+    folder = write_files(samples(spark, sf_dir), new_folder(spark, "iq"), (".dat", ".bin", ".cf32"))
     return chunk_rows(iq.read_iq(spark, folder, chunk=100, range_samples=250))
 
 
-@query("A3 A4", chunk_sql(NAME_SQL + "'.csv'", "recording_id % 4 = 0"))
+@query("A3 A4", chunk_sql(NAME_SQL + "'.csv'"))
 def text_recordings_read_back(spark, sf_dir):
-    rows = samples(spark, sf_dir).where("recording_id % 4 = 0")
-    folder = write_files(rows, new_folder(spark, "csv"), (".csv",), text=True)
+    """Every recording as text, written by as many tasks as there are recordings."""
+    folder = write_files(samples(spark, sf_dir), new_folder(spark, "csv"), (".csv",), text=True)
     return chunk_rows(iq.read_iq(spark, folder, chunk=100))
 
 

@@ -534,17 +534,18 @@ def registry_repair_curve(spark, sf_dir):
 
 @query(
     "J10",
-    f"""WITH c(step, type, accuracy) AS (SELECT CAST(day(ts) AS BIGINT) - 1, event_type, avg(value) / 100 FROM events WHERE day(ts) <= 6 GROUP BY ALL),
+    f"""WITH c(step, type, accuracy) AS (SELECT CAST(day(ts) AS BIGINT) - 1, event_type, avg(value) / 100 FROM events GROUP BY ALL),
 b AS (SELECT event_type AS type, avg(value) / 100 + 0.1 AS best FROM events GROUP BY event_type),
 s AS (SELECT step, max(best - accuracy) AS worst FROM c JOIN b USING (type) GROUP BY step)
-SELECT CAST(coalesce(min(CASE WHEN worst <= 0.15 THEN step END), 5) AS BIGINT) AS steps, min(CASE WHEN worst <= 0.15 THEN step END) IS NOT NULL AS clean,
+SELECT CAST(coalesce(min(CASE WHEN worst <= 0.15 THEN step END), 30) AS BIGINT) AS steps, min(CASE WHEN worst <= 0.15 THEN step END) IS NOT NULL AS clean,
  {R('max(CASE WHEN step = 0 THEN worst END)')} AS drop_before, {R('min(worst)')} AS best_drop FROM s""",
 )
 def repair_stops_at_first_clean_step(spark, sf_dir):
+    """A step per day of the month, over all events."""
     ev = events(spark, sf_dir)
-    curve = ev.where(F.dayofmonth("ts") <= 6).groupBy(
+    curve = ev.groupBy(
         (F.dayofmonth("ts").cast("long") - 1).alias("step"), F.col("event_type").alias("type")
     ).agg((F.avg("value") / 100).alias("accuracy"))
     best = ev.groupBy(F.col("event_type").alias("type")).agg((F.avg("value") / 100 + F.lit(0.1)).alias("best"))
-    out = C.first_clean_step(curve, best, 0.15, 5)
+    out = C.first_clean_step(curve, best, 0.15, 30)
     return out.select("steps", "clean", r("drop_before").alias("drop_before"), r("best_drop").alias("best_drop"))
