@@ -32,18 +32,30 @@ def verify(df: DataFrame, registry: DataFrame, type_col: str, df_id: str, col: s
     )
 
 
-def _placed(registry: DataFrame, order: list[str], columns: list[str]) -> DataFrame:
-    """Registry rows with their place in enrolment order, written once. Only ids and order keys are sorted."""
-    every = Window.orderBy(*order, "serial")  # one narrow row per registry entry
-    places = registry.select("serial", *order).withColumn("place", F.row_number().over(every) - 1).select(F.col("serial").alias("_s"), "place")
+def _placed(registry: DataFrame, order: list[str], columns: list[str], ranges: int | None = None) -> DataFrame:
+    """Registry rows with their place in enrolment order, written once. Only ids and order keys are sorted.
+
+    They are range-partitioned and written with their range number; a window inside each range and the totals of the ranges before it give the place.
+    """
+    ranges = ranges or max(1, int(registry.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    keys = [*order, "serial"]
+    narrow = registry.select("serial", *order).repartitionByRange(ranges, *keys).withColumn("_range", F.spark_partition_id())
+    fixed = materialize(narrow, "registry-order")
+    inside, before = Window.partitionBy("_range").orderBy(*keys), Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    totals = fixed.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    offsets = totals.select(F.col("_range").alias("_r"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))  # one row per range
+    local = fixed.withColumn("_at", F.row_number().over(inside) - 1)
+    places = local.join(F.broadcast(offsets), F.col("_range") == F.col("_r")).select(
+        F.col("serial").alias("_s"), (F.col("_at") + F.col("_off")).cast("int").alias("place")
+    )
     return materialize(registry.join(places, F.col("serial") == F.col("_s")).select("serial", "place", *columns), "placed")
 
 
 def _blocks(placed: DataFrame, n: int, row_bytes: int, stack_bytes: int):
-    """Rows of the placed registry in order, at most ``stack_bytes`` of vectors at a time."""
+    """Start, rows in order and whether more follow, at most ``stack_bytes`` of vectors at a time."""
     step = max(1, stack_bytes // max(1, row_bytes))
     for start in range(0, n, step):
-        yield start, placed.where(F.col("place").between(start, start + step - 1)).orderBy("place").collect()
+        yield start, placed.where(F.col("place").between(start, start + step - 1)).orderBy("place").collect(), start + step < n
 
 
 def _size(placed: DataFrame) -> tuple[int, int]:
@@ -99,12 +111,13 @@ def enrollment_curve(
         return pa.array(out)
 
     rows = rows.select("type", "x", "own", own_similarity("x", "own_print").alias("sim"), F.lit(False).alias("beaten"), F.lit(n).alias("until"))
-    for start, block in _blocks(placed, n, row_bytes, stack_bytes):
+    for start, block, more in _blocks(placed, n, row_bytes, stack_bytes):
         unit = unit_rows(np.array([r["fingerprint"] for r in block], dtype=float))
 
         rows = rows.withColumn("_m", _meet(unit, start, n)("x", "sim", "own")).select(
             "type", "x", "own", "sim", (F.col("beaten") | F.col("_m.beaten")).alias("beaten"), F.least("until", "_m.until").alias("until")
         )
+        rows = materialize(rows, "curve-rows") if more else rows  # the block leaves the driver before the next is fetched
     right = ~F.col("beaten") & (F.col("sim") >= thr)
     ends = materialize(rows.groupBy("type", "own", "until").agg(F.count(F.lit(1)).alias("n"), F.sum(right.cast("long")).alias("ok")), "curve-ends")
     totals = ends.groupBy("type", "own").agg(F.sum("n").alias("n"), F.sum("ok").alias("ok"))
@@ -173,11 +186,12 @@ def repair_curve(
 
     right = F.transform(F.col("sim"), lambda s: s >= thr)
     rows = rows.select("type", "x", "own", own_similarity("x", "own_print", "own_old").alias("sim")).withColumn("right", right)
-    for start, block in _blocks(placed, n, 2 * row_bytes * len(keep), stack_bytes):
+    for start, block, more in _blocks(placed, n, 2 * row_bytes * len(keep), stack_bytes):
         now, was = (np.array([r[c] for r in block], dtype=float) for c in ("fingerprint", "old"))
         units = [unit_rows(k * now + (1 - k) * was) for k in keep]
 
         rows = rows.withColumn("right", F.zip_with("right", _unbeaten(units, start)("x", "sim", "own"), lambda a, b: a & b))
+        rows = materialize(rows, "repair-rows") if more else rows  # the block leaves the driver before the next is fetched
     flags = rows.select("type", F.posexplode("right").alias("step", "ok"))
     return flags.groupBy(F.col("step").cast("long").alias("step"), "type").agg(F.avg(F.col("ok").cast("double")).alias("accuracy"))
 

@@ -277,6 +277,16 @@ def test_curves_do_not_depend_on_the_block_size(rows):
         assert whole == row(run(1)) and len(whole) > 3
 
 
+@pytest.mark.parametrize("ranges", [1, 5])
+def test_places_in_enrolment_order(spark, ranges):
+    rows = [(f"s{i * 7 % 60:02d}", None if i % 10 == 0 else i % 4, [float(i)]) for i in range(60)]
+    reg = spark.createDataFrame(rows, "serial string, step int, fingerprint array<double>").repartition(3)
+    got = {r["serial"]: r["place"] for r in C._placed(reg, ["step"], ["fingerprint"], ranges).collect()}
+    want = sorted(rows, key=lambda r: (r[1] is not None, r[1] or 0, r[0]))
+    assert [got[r[0]] for r in want] == list(range(60))
+    assert C._placed(reg.limit(0), ["step"], ["fingerprint"], ranges).count() == 0
+
+
 def test_equal_similarity_goes_to_the_earliest_enrolled(spark):
     reg = spark.createDataFrame(
         [("b", [1.0, 0.0], "2024-01-02"), ("a", [1.0, 0.0], "2024-01-05"), ("c", [1.0, 0.0], "2024-01-02"), ("z", [0.0, 1.0], None), ("y", [0.0, 1.0], "1960-01-01")],
